@@ -1,0 +1,48 @@
+"""Queries of this subpackage over the tables of a folder."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from . import cutting, groups, packing, tokens
+
+
+def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return cutting.cut_items(_table(spark, folder, "split_record"), _table(spark, folder, "align_window"))
+
+
+def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return cutting.cut_texts(_table(spark, folder, "split_record"))
+
+
+def p3_windows(spark: SparkSession, folder: str) -> DataFrame:
+    return cutting.cut_windows(_table(spark, folder, "align_window"), _table(spark, folder, "split_record"))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return groups.broken_groups(_table(spark, folder, "family_spec"))
+
+
+def p4_assigned(spark: SparkSession, folder: str) -> DataFrame:
+    return groups.assign_splits(_table(spark, folder, "family_spec"), _table(spark, folder, "split_record"))
+
+
+def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.encode(_table(spark, folder, "documents"))
+
+
+def p7_packed(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, folder, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (p3_found, p3_pieces, p3_windows, p4_found, p4_assigned, p6_ids, p7_packed)
+}
+
+SQL: dict[str, str] = {}
