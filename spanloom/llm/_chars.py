@@ -23,12 +23,17 @@ STEP_CHARS = 1 << 20
 WHITE_SPACE = (9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 
 
+#: No letter, number or cased character stands at or above.
+TABLE_END = 0x34000
+
+
 @lru_cache(maxsize=1)
 def class_table() -> np.ndarray:
     """Class of every code point: letter (L*), number (N*), white space or other."""
-    first = {"L": LETTER, "N": NUMBER}
-    category = unicodedata.category
-    table = np.fromiter((first.get(category(chr(c))[0], OTHER) for c in range(0x110000)), np.uint8, 0x110000)
+    table = np.zeros(0x110000, np.uint8)
+    kinds = np.array([x[0] for x in map(unicodedata.category, map(chr, range(TABLE_END)))])
+    table[:TABLE_END][kinds == "L"] = LETTER
+    table[:TABLE_END][kinds == "N"] = NUMBER
     table[list(WHITE_SPACE)] = SPACE
     return table
 
@@ -36,8 +41,10 @@ def class_table() -> np.ndarray:
 @lru_cache(maxsize=1)
 def lower_table() -> np.ndarray:
     """Lower case of every code point; the ones whose lower case is longer stay."""
-    low = (chr(c).lower() for c in range(0x110000))
-    return np.fromiter((ord(x) if len(x) == 1 else c for c, x in enumerate(low)), np.uint32, 0x110000)
+    table = np.arange(0x110000, dtype=np.uint32)
+    low = [x.lower() for x in map(chr, range(TABLE_END))]
+    table[:TABLE_END] = [ord(x) if len(x) == 1 else c for c, x in enumerate(low)]
+    return table
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -124,47 +131,48 @@ def by_steps(texts: Sequence[str]) -> Iterator[tuple[int, int]]:
     yield from steps(np.fromiter(map(len, texts), np.int64, len(texts)))
 
 
-def word_shingles(texts: Sequence[str], words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct runs of successive words of each text, with how often each stands there.
+#: Bits of a shingle's hash; the rest of a 64-bit sort key holds the text's position in its step.
+SHINGLE_BITS = 44
+
+
+def _distinct(of: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    key = (of.astype(U64) << U64(SHINGLE_BITS)) | (run >> U64(64 - SHINGLE_BITS))
+    key.sort()
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    at = np.flatnonzero(new)
+    counts = np.diff(at, append=len(key))
+    key = key[at]
+    return (key >> U64(SHINGLE_BITS)).astype(np.int64), key & U64((1 << SHINGLE_BITS) - 1), counts
+
+
+def word_shingles(texts: Sequence[str], words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct runs of successive words of each text: the text's position, the run's hash and its count there, ordered by the first two.
 
-    Words are the maximal runs of letters and digits, in simple lower case. Gives the text's position, the
-    hash, the count, and the number of words of each text. Texts with fewer words have no run.
+    Words are the maximal runs of letters and digits, in simple lower case. Texts with fewer words have no run.
     """
     joined = Joined(texts)
     k = joined.classes()
     starts, ends = runs((k == LETTER) | (k == NUMBER))
-    hashes = mix(Hashed(lower_table()[joined.codes]).spans(starts, ends))
-    of = np.searchsorted(joined.ends, starts)
-    n_words = np.bincount(of, minlength=len(texts))
-    m = len(hashes) - words + 1
+    m = len(starts) - words + 1
     if m <= 0:
         none = np.zeros(0, np.int64)
-        return none, none.astype(U64), none, n_words
+        return none, none.astype(U64), none
+    hashes = mix(Hashed(lower_table()[joined.codes]).spans(starts, ends))
+    of = np.searchsorted(joined.ends, starts)
     run = np.zeros(m, U64)
     for i in range(words):
         run = mix(run * U64(0xD6E8FEB86659FD93) + hashes[i : i + m])
     whole = of[:m] == of[words - 1 :]
-    of, run = of[:m][whole], run[whole]
-    order = np.lexsort((run, of))
-    of, run = of[order], run[order]
-    new = np.ones(len(run), bool)
-    new[1:] = (of[1:] != of[:-1]) | (run[1:] != run[:-1])
-    at = np.flatnonzero(new)
-    return of[at], run[at], np.diff(at, append=len(run)), n_words
+    return _distinct(of[:m][whole], run[whole])
 
 
-def char_shingles(texts: Sequence[str], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def char_shingles(texts: Sequence[str], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct pieces of `size` characters of each text, as word_shingles gives runs of words."""
     joined = Joined(texts)
-    n_chars = joined.ends - joined.starts
-    of = np.repeat(np.arange(len(texts)), np.maximum(n_chars - size + 1, 0))
+    many = np.maximum(joined.ends - joined.starts - size + 1, 0)
+    of = np.repeat(np.arange(len(texts)), many)
     if not len(of):
-        return of, of.astype(U64), of, n_chars
-    first = np.repeat(joined.starts - np.concatenate(([0], np.cumsum(np.maximum(n_chars - size + 1, 0))[:-1])), np.maximum(n_chars - size + 1, 0))
-    run = mix(Hashed(joined.codes).windows(size)[np.arange(len(of)) + first])
-    order = np.lexsort((run, of))
-    of, run = of[order], run[order]
-    new = np.ones(len(run), bool)
-    new[1:] = (of[1:] != of[:-1]) | (run[1:] != run[:-1])
-    at = np.flatnonzero(new)
-    return of[at], run[at], np.diff(at, append=len(run)), n_chars
+        return of, of.astype(U64), of
+    first = np.repeat(joined.starts - (np.cumsum(many) - many), many)
+    return _distinct(of, mix(Hashed(joined.codes).windows(size)[np.arange(len(of)) + first]))

@@ -36,6 +36,11 @@ def name_key(column: Column) -> Column:
     return present(F.regexp_replace(id_key(column), r"[_\-.\p{Z}\s]+", ""))
 
 
+def spaced_name(column: Column) -> Column:
+    """A name in lower case, without outer blanks, each run of _ - . and blanks made one _."""
+    return F.regexp_replace(outer_clean(column), r"[_\-.\p{Z}\s]+", "_")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) from links(node bigint, key): nodes that share a key, also through others; component is the smallest node.
 

@@ -6,13 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cutting, groups, packing, tokens
+from pyspark.sql import functions as F
+
+from . import crosssplit, cutting, groups, neardup, packing, tokens
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    text = neardup.near_duplicate_pairs(_table(spark, folder, "split_record"), "record_idx", "text", neardup.TEXT)
+    specs = _table(spark, folder, "family_spec").select("spec_id", groups.spaced_name(F.col("template_family")).alias("name"))
+    family = neardup.near_duplicate_pairs(specs, "spec_id", "name", neardup.NAME)
+    return text.select(F.lit("text").alias("field_name"), "key_a", "key_b").unionByName(family.select(F.lit("family").alias("field_name"), "key_a", "key_b"))
+
+
+def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_duplicate_groups(_table(spark, folder, "split_record"), "record_idx", "text", neardup.TEXT)
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return cutting.cut_items(_table(spark, folder, "split_record"), _table(spark, folder, "align_window"))
 
@@ -33,6 +46,14 @@ def p4_assigned(spark: SparkSession, folder: str) -> DataFrame:
     return groups.assign_splits(_table(spark, folder, "family_spec"), _table(spark, folder, "split_record"))
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return crosssplit.overlaps(_table(spark, folder, "split_record"))
+
+
+def p5_report(spark: SparkSession, folder: str) -> DataFrame:
+    return crosssplit.report(_table(spark, folder, "split_record"))
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode(_table(spark, folder, "documents"))
 
@@ -42,7 +63,7 @@ def p7_packed(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p3_found, p3_pieces, p3_windows, p4_found, p4_assigned, p6_ids, p7_packed)
+    f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_pieces, p3_windows, p4_found, p4_assigned, p5_found, p5_report, p6_ids, p7_packed)
 }
 
 SQL: dict[str, str] = {}
