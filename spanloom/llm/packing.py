@@ -44,7 +44,7 @@ def pack_sizes(sizes: DataFrame, key: str = "doc_id", size: str = "n_tokens", ca
         out["container_id"] = ids
         return out
 
-    grouped = pieces.withColumn("pack_group", F.pmod(F.xxhash64("row", "piece_index"), F.lit(groups)))
+    grouped = pieces.withColumn("pack_group", F.pmod(F.xxhash64("row", "piece_index"), F.lit(groups))).repartition(min(groups, 10_000), "pack_group")
     return grouped.groupBy("pack_group").applyInPandas(run, f"`{key}` {kind}, piece_index int, token_start bigint, token_end bigint, container_id bigint")
 
 

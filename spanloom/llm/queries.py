@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import crosssplit, cutting, groups, neardup, packing, tokens
+from . import crosssplit, cutting, groups, neardup, packing, shared_spans, tokens
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -62,8 +62,16 @@ def p7_packed(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(_table(spark, folder, "documents"))
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return shared_spans.shared_spans(_table(spark, folder, "documents"))
+
+
+def p8_share(spark: SparkSession, folder: str) -> DataFrame:
+    return shared_spans.shared_share(_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_pieces, p3_windows, p4_found, p4_assigned, p5_found, p5_report, p6_ids, p7_packed)
+    f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_pieces, p3_windows, p4_found, p4_assigned, p5_found, p5_report, p6_ids, p7_packed, p8_found, p8_share)
 }
 
 SQL: dict[str, str] = {}
