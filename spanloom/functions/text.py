@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Spellings of languages.
 LANGUAGES = {"english": "en", "eng": "en", "spanish": "es", "swedish": "sv", "german": "de", "italian": "it", "french": "fr", "dutch": "nl"}
@@ -64,7 +65,7 @@ def slug(x: Column) -> Column:
 
 
 def markdown_cell(x: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(x, r"\|", r"\\\\|"), r"[\r\n]+", " ")
+    return F.regexp_replace(F.regexp_replace(x, r"\|", r"\\|"), r"[\r\n]+", " ")
 
 
 def skeleton(x: Column) -> Column:
@@ -98,7 +99,7 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))), F.lit(1.0))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp similarity without the junk heuristic."""
     from difflib import SequenceMatcher

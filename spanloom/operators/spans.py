@@ -28,7 +28,7 @@ def span_faults(records: DataFrame) -> DataFrame:
     """gold_spans with `fault`: the first rule a span breaks, null for a valid one. missing_field, out_of_bounds, unknown_label, duplicate, overlap (with the
     span before, in order of start, end and label)."""
     g = gold_spans(records)
-    order = Window.partitionBy("record_idx").orderBy("s", "e", "label", "gold_idx")
+    order = Window.partitionBy("record_idx").orderBy(F.asc_nulls_last("s"), F.asc_nulls_last("e"), F.asc_nulls_last("label"), "gold_idx")
     same = Window.partitionBy("record_idx", "s", "e", "label").orderBy("gold_idx")
     g = g.withColumn("nth", F.row_number().over(same)).withColumn("last_end", F.lag("e").over(order))
     fault = (

@@ -77,7 +77,7 @@ def label_distribution_zero_filled(t: Tables) -> DataFrame:
 
 
 @query(f"""WITH {_RAW}, x AS (SELECT *, row_number() OVER (PARTITION BY record_idx, s, e, label ORDER BY gold_idx) AS nth,
-  lag(e) OVER (PARTITION BY record_idx ORDER BY s NULLS FIRST, e NULLS FIRST, label NULLS FIRST, gold_idx) AS p FROM raw)
+  lag(e) OVER (PARTITION BY record_idx ORDER BY s NULLS LAST, e NULLS LAST, label NULLS LAST, gold_idx) AS p FROM raw)
 SELECT CASE WHEN s IS NULL OR e IS NULL OR label IS NULL THEN 'missing_field' WHEN n IS NULL OR s < 0 OR s >= e OR e > n THEN 'out_of_bounds'
   WHEN label NOT IN {_in(LABELS)} THEN 'unknown_label' WHEN nth > 1 THEN 'duplicate' WHEN p > s THEN 'overlap' ELSE 'valid' END AS fault, count(*) AS spans FROM x GROUP BY 1""")
 def span_validation_faults(t: Tables) -> DataFrame:

@@ -9,10 +9,10 @@ from ..operators.spans import in_bounds
 from ..schema import LABELS
 
 
-def record_stream(spark: SparkSession, folder: str, files_per_trigger: int | None = None) -> DataFrame:
-    """Parquet files of records as they arrive."""
-    schema = spark.read.parquet(folder).schema
-    reader = spark.readStream.schema(schema)
+def record_stream(spark: SparkSession, folder: str, files_per_trigger: int | None = None, pattern: str = "*.parquet") -> DataFrame:
+    """Parquet files of records as they arrive in a folder; the files of the pattern that are there tell the schema."""
+    schema = spark.read.option("pathGlobFilter", pattern).parquet(folder).schema
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return reader.parquet(folder)
