@@ -23,7 +23,7 @@ def _blocks(element: np.ndarray, units: np.ndarray) -> tuple[np.ndarray, np.ndar
     at = np.flatnonzero(units > 0)
     while len(at):
         index.append(at)
-        state.append(mix(element[at] + GOLDEN * U64(level + 1)))
+        state.append(mix(element[at] + U64((int(GOLDEN) * (level + 1)) % (1 << 64))))
         width.append(np.full(len(at), float(size)))
         count.append(np.minimum(units[at] - low, size).astype(float))
         low, size, level = low + size, max(1, low + size), level + 1
