@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics as M
 from ..functions import text as X
-from ..operators import conversion, corpus, decoding, gates, matching, outcomes, spans
+from ..operators import audits, conversion, corpus, decoding, gates, matching, outcomes, spans, synthesis
 from ..schema import HIGH_RISK, LABELS, REVIEW_STATES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -496,3 +496,55 @@ def metric_comparison(t: Tables) -> DataFrame:
 @query(f"SELECT mask_action, high_risk, label IN {_in(HIGH_RISK)} AS listed, count(*) AS labels FROM label_spec GROUP BY 1, 2, 3")
 def ontology_contract(t: Tables) -> DataFrame:
     return t.label_spec.groupBy("mask_action", "high_risk", F.col("label").isin(*HIGH_RISK).alias("listed")).agg(F.count(F.lit(1)).alias("labels"))
+
+
+# ---- audits and synthesis
+
+
+@query(f"""WITH {_RAW}, {_FACTS}, x AS (SELECT *, row_number() OVER (PARTITION BY record_idx, s, e, label ORDER BY gold_idx) AS nth, lag(e) OVER (PARTITION BY record_idx ORDER BY s NULLS LAST, e NULLS LAST, label NULLS LAST, gold_idx) AS p FROM raw),
+  sh AS (SELECT kind, count(*) AS pairs FROM (SELECT DISTINCT a.kind, a.split AS x, b.split AS y FROM f a JOIN f b ON a.kind = b.kind AND a.value = b.value AND a.split < b.split) q GROUP BY 1),
+  o AS (SELECT 'span_faults' AS gate, count(*) FILTER (s IS NULL OR e IS NULL OR label IS NULL OR n IS NULL OR s < 0 OR s >= e OR e > n OR label NOT IN {_in(LABELS)} OR nth > 1 OR p > s) AS actual FROM x
+    UNION ALL SELECT 'repeated_texts', count(*) FROM (SELECT text FROM split_record WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1) q
+    UNION ALL SELECT 'cross_split_' || k, coalesce(pairs, 0) FROM (VALUES ('text'), ('source_record_id'), ('template_family'), ('value_sha256')) v(k) LEFT JOIN sh ON kind = k)
+SELECT gate, actual, 0::BIGINT AS expected, actual = 0 AS passed FROM o""")
+def dataset_gates(t: Tables) -> DataFrame:
+    return audits.dataset_gates(t.split_record).where("gate in ('span_faults', 'repeated_texts') or gate like 'cross_split%'")
+
+
+@query()
+def error_tags(t: Tables) -> DataFrame:
+    tax = matching.taxonomy(t.scored_gold, t.pred).where("category <> 'exact'")
+    placed = tax.join(t.pred.select("record_idx", "pred_idx", "s", "e"), ["record_idx", "pred_idx"]).select("record_idx", "s", "e", "gold_label", "pred_label")
+    look = {"ssn_vs_business": "SSN", "card_vs_transaction": "CREDIT_CARD_NUMBER", "account_vs_batch": "BANK_ACCOUNT_NUMBER", "phone_vs_ticket": "PHONE", "ip_vs_build": "IP_ADDRESS", "token_vs_trace": "AUTH_TOKEN"}
+    return audits.error_tags(placed, t.split_record, outcomes.targets(t.split_record), look)
+
+
+@query(f"""WITH {_OVER} SELECT count(*) AS predictions, count(DISTINCT record_idx) AS records FROM pred p WHERE label = 'BUSINESS_ID' AND record_idx IN (SELECT record_idx FROM split_record WHERE meta.template_family LIKE 'account%')
+  AND NOT EXISTS (SELECT 1 FROM o WHERE o.record_idx = p.record_idx AND o.pred_idx = p.pred_idx)""")
+def accountlike_overmask(t: Tables) -> DataFrame:
+    p = audits.overmasked(t.pred, t.scored_gold, t.split_record, "BUSINESS_ID", F.col("meta.template_family").like("account%"))
+    return p.agg(F.count(F.lit(1)).alias("predictions"), F.countDistinct("record_idx").alias("records"))
+
+
+@query()
+def family_most_similar(t: Tables) -> DataFrame:
+    f = t.family_spec.where("template_family is not null").select(F.col("template_family").alias("name"), F.regexp_replace("template_family", "_", " ").alias("template")).distinct()
+    return audits.most_similar(f, f)
+
+
+@query("SELECT meta.source AS part, count(*) AS records, round(count(*) / CAST((SELECT count(*) FROM split_record) AS DOUBLE), 6) AS share FROM split_record GROUP BY 1")
+def corpus_composition(t: Tables) -> DataFrame:
+    return audits.composition(t.split_record, F.col("meta.source"))
+
+
+@query()
+def synthetic_records(t: Tables) -> DataFrame:
+    forms = [("user {PERSON_NAME} signed in from {IP_ADDRESS}", "json"), ("charge {CREDIT_CARD_NUMBER} declined for {EMAIL}", "syslog"), ("ssn {SSN} on file, call {PHONE}", "kv"), ("wire {IBAN} via {ROUTING_NUMBER}", "bracketed")]
+    templates = t.spark.createDataFrame([(f"form{i}_v1", x, s) for i, (x, s) in enumerate(forms)], "template_family string, template string, style string")
+    return synthesis.generate(t.spark, templates, 2000)
+
+
+@query()
+def synthetic_pairs(t: Tables) -> DataFrame:
+    f = t.family_spec.where("morphology_class is not null and pair_count is not null").select(F.col("template_family").alias("family"), F.col("morphology_class").alias("label"), F.col("pair_count").alias("pairs"), F.lit("verified value {FOCUS} of the customer").alias("sensitive"), F.lit("order reference {FOCUS} replayed").alias("harmless"))
+    return synthesis.contrast_pairs(t.spark, f.distinct())
