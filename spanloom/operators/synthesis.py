@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import luhn_check_digit, mod97
+from ..schema import LABELS
 
 
 def draw(n: Column | int, *parts: Column) -> Column:
@@ -89,7 +90,8 @@ def generate(spark: SparkSession, templates: DataFrame, rows: int, seed: int = 4
     numbered = templates.selectExpr("*", "row_number() over (order by template_family) - 1 as slot")
     base = spark.range(rows).select(F.col("id").alias("record_idx"), F.pmod("id", F.lit(n)).alias("slot")).join(F.broadcast(numbered), "slot")  # templates are a catalogue of bounded size
     labels = F.array_distinct(F.regexp_extract_all("template", F.lit(r"\{([A-Z_]+)\}"), F.lit(1)))
-    values = F.map_from_entries(F.transform(labels, lambda x: F.struct(x, value_for(x, F.col("record_idx"), seed))))
+    known = F.filter(labels, lambda x: x.isin(*LABELS))
+    values = F.map_from_entries(F.transform(known, lambda x: F.struct(x, value_for(x, F.col("record_idx"), seed))))
     made = base.withColumn("r", render(F.col("template"), values))
     whole = wrap(F.col("style"), F.col("r.text"), F.col("record_idx"))
     shift = F.instr(whole, F.col("r.text")) - 1
