@@ -58,3 +58,28 @@ def resolve_overlaps(candidates: DataFrame) -> DataFrame:
         "transform(slice(filter(a, y -> y.kept and y.s < x.e and x.s < y.e), 1, 1), y -> struct(y.s as s, y.e as e, y.label as label)) as conflicts))))"
     )
     return per.select("record_idx", F.explode(fold).alias("m")).select("record_idx", "m.s", "m.e", "m.label", "m.members", "m.kept", F.get("m.conflicts", 0).alias("conflict"))
+
+
+def convert(rows: DataFrame, aliases: dict[str, str], deferred: tuple[str, ...] = (), healthcare: tuple[str, ...] = (), benign: tuple[str, ...] = ()) -> DataFrame:
+    """(record_idx, text, entities, provenance, excluded, training_exclusion) from rows(record_idx, text, raw_spans): every source span ends in exactly one place.
+
+    entities: kept spans in order of start, end and label; provenance: every candidate behind them with its source label; excluded: all others with their reason, losers of overlaps among them.
+    training_exclusion: whether any excluded span blocks. Rows without text are left out."""
+    text = rows.where(filled(F.col("text"))).select("record_idx", "text")
+    parsed = parse_spans(rows, "record_idx", "raw_spans").where("start is not null or end is not null or label is not null")
+    whole = lambda c: F.when(F.col(c).rlike("^-?[0-9]{1,9}$"), F.col(c).cast("int"))
+    s = parsed.join(text, "record_idx").select("record_idx", F.col("span_index").alias("gold_idx"), whole("start").alias("s"), whole("end").alias("e"), "label", F.length("text").alias("text_length"))
+    d = dispositions(s, aliases, deferred, healthcare, benign)
+    good = d.where("disposition = 'candidate'").select("record_idx", "gold_idx", "s", "e", F.col("canonical").alias("label"), F.col("label").alias("source_label"))
+    resolved = resolve_overlaps(good)
+    members = good.join(resolved.select("record_idx", "s", "e", "label", "kept"), ["record_idx", "s", "e", "label"])
+    entity = F.struct(F.col("s").alias("span_start"), F.col("e").alias("span_end"), "label")
+    kept = resolved.where("kept").groupBy("record_idx").agg(F.array_sort(F.collect_list(entity)).alias("entities"))
+    prov = F.struct(F.col("s").alias("span_start"), F.col("e").alias("span_end"), "label", "source_label", F.col("gold_idx").alias("source_span_index"))
+    provenance = members.where("kept").groupBy("record_idx").agg(F.array_sort(F.collect_list(prov)).alias("provenance"))
+    lost = members.where("not kept").select("record_idx", "gold_idx", "s", "e", "source_label", F.lit("overlap_conflict").alias("reason"), F.lit(True).alias("blocks"))
+    out = d.where("disposition <> 'candidate'").select("record_idx", "gold_idx", "s", "e", F.col("label").alias("source_label"), F.col("disposition").alias("reason"), "blocks").unionByName(lost)
+    item = F.struct(F.coalesce("s", F.lit(2147483647)).alias("order_start"), F.coalesce("e", F.lit(2147483647)).alias("order_end"), F.col("gold_idx").alias("source_span_index"), "source_label", "reason", "blocks")
+    excluded = out.groupBy("record_idx").agg(F.array_sort(F.collect_list(item)).alias("excluded"), F.max("blocks").alias("b"))
+    j = text.join(kept, "record_idx", "left").join(provenance, "record_idx", "left").join(excluded, "record_idx", "left")
+    return j.withColumn("training_exclusion", F.coalesce("b", F.lit(False))).drop("b")

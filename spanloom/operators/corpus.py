@@ -155,3 +155,42 @@ def representatives(rows: DataFrame, key: str, features: dict[str, Column]) -> D
 
 def seeded_order(rows: DataFrame, key: str, seed: int = 42) -> DataFrame:
     return rows.withColumn("place_key", stable_seed(F.lit(seed), F.col(key)))
+
+
+def is_kind(category: Column, disposition: Column, reason: Column, word: str) -> Column:
+    """Whether an excluded span is of a kind (deferred, health care): its category names it, its disposition begins with the word or its reason has it."""
+    low = lambda c: F.coalesce(F.lower(F.trim(c)), F.lit(""))
+    return low(category).contains(word) | low(disposition).startswith(word) | low(reason).contains(word)
+
+
+def training_excluded(flag: Column, excluded: Column) -> Column:
+    """Whether a record is kept from training: its flag, or that of any of its excluded spans (field `blocks`)."""
+    return F.coalesce(flag, F.lit(False)) | F.coalesce(F.exists(excluded, lambda x: F.coalesce(x["blocks"], F.lit(False))), F.lit(False))
+
+
+def merge(records: DataFrame, source: Column) -> tuple[DataFrame, DataFrame]:
+    """(merged, stats) from records(record_idx, text, entities, excluded, training_exclusion, valid): invalid records go first, then excluded ones, then later copies of a text among what is left.
+
+    stats by source: read, invalid, excluded, duplicates, conflicts (a copy whose spans differ from the first), merged."""
+    r = records.withColumn("source", F.coalesce(source, F.lit("<unattributed>"))).withColumn("out", ~F.col("valid") | training_excluded(F.col("training_exclusion"), F.col("excluded")))
+    r = r.withColumn("h", F.sha2("text", 256)).withColumn("sig", signature(F.col("entities")))
+    first = r.where("not out").groupBy("h").agg(F.min(F.struct("record_idx", "sig")).alias("f"))
+    j = r.join(first, "h", "left").withColumn("copy", ~F.col("out") & (F.col("record_idx") != F.col("f.record_idx")))
+    n = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    stats = j.groupBy("source").agg(
+        F.count(F.lit(1)).alias("read"), n(~F.col("valid")).alias("invalid"), n(F.col("valid") & F.col("out")).alias("excluded"), n(F.col("copy")).alias("duplicates"), n(F.col("copy") & (F.col("sig") != F.col("f.sig"))).alias("conflicts"),
+        n(~F.col("out") & ~F.col("copy")).alias("merged"),
+    )
+    return j.where("not out and not copy").select(*records.columns), stats
+
+
+def hard_negatives(records: DataFrame) -> DataFrame:
+    """(template_family, records, formats, styles, <split>...): families of records that look like what they are not."""
+    h = records.where("meta.scenario_kind = 'hard_negative' and meta.template_family is not null").select("split", *[F.col(f"meta.{c}").alias(c) for c in ("template_family", "text_format", "surface_style")])
+    by = [F.count_if(F.col("split") == s).alias(s) for s in SPLITS]
+    return h.groupBy("template_family").agg(F.count(F.lit(1)).alias("records"), F.countDistinct("text_format").alias("formats"), F.countDistinct("surface_style").alias("styles"), *by)
+
+
+def excluded_counts(excluded: DataFrame) -> DataFrame:
+    """(source_label, reason, spans, blocking) of excluded spans (source_label, reason, blocks), most frequent first."""
+    return excluded.groupBy("source_label", "reason").agg(F.count(F.lit(1)).alias("spans"), F.count_if("blocks").alias("blocking")).orderBy(F.desc("spans"), "source_label", "reason")

@@ -68,3 +68,29 @@ def average_vectors(rows: DataFrame, keys: list[str], vector: str) -> DataFrame:
 def classify(rows: DataFrame, key: str, vector: str) -> DataFrame:
     """(key, best, confidence): first largest element and its softmax."""
     return rows.select(key, argmax(F.col(vector)).cast("bigint").alias("best"), F.round(F.array_max(softmax(F.col(vector))), 6).alias("confidence"))
+
+
+def overflow_windows(tokens_: DataFrame, most: int = 384, stride: int = 128) -> DataFrame:
+    """(record_idx, window_index, tok_idx, ts, te) from (record_idx, tok_idx, ts, te): windows of at most `most` tokens that share `stride`. Each token goes to the windows it
+    stands in by arithmetic on its position; no sequence is gathered."""
+    step = most - stride
+    last = F.max("tok_idx").over(Window.partitionBy("record_idx"))
+    low = F.greatest(F.lit(0), F.ceil((F.col("tok_idx") - (most - 1)) / step))
+    # no window begins where the one before already reaches the end
+    high = F.least(F.floor(F.col("tok_idx") / step), F.greatest(F.lit(0), F.ceil((F.col("last") + 1 - most) / step)))
+    t = tokens_.withColumn("last", last).withColumn("window_index", F.explode(F.sequence(low.cast("int"), F.greatest(low, high).cast("int"))))
+    return t.select("record_idx", "window_index", (F.col("tok_idx") - F.col("window_index") * step).cast("int").alias("tok_idx"), "ts", "te")
+
+
+def bio_tags(windowed: DataFrame, spans: DataFrame) -> DataFrame:
+    """windowed with tag: B- at a span's first token in a window, I- after, O elsewhere, IGNORE for tokens that two spans share."""
+    hit = windowed.join(spans.select("record_idx", "gold_idx", "s", "e", "label"), "record_idx").where("ts < e and s < te")
+    first = F.min("tok_idx").over(Window.partitionBy("record_idx", "window_index", "gold_idx"))
+    hit = hit.withColumn("first", first).groupBy("record_idx", "window_index", "tok_idx").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("s", "e", "label", "first")).alias("x"))
+    tag = F.when(F.col("n").isNull(), "O").when(F.col("n") > 1, "IGNORE").when(F.col("tok_idx") == F.col("x.first"), F.concat(F.lit("B-"), "x.label")).otherwise(F.concat(F.lit("I-"), "x.label"))
+    return windowed.join(hit, ["record_idx", "window_index", "tok_idx"], "left").select("record_idx", "window_index", "tok_idx", "ts", "te", tag.alias("tag"))
+
+
+def weighted_loss(batches: DataFrame) -> DataFrame:
+    """(loss): mean of (loss, tokens) weighted by tokens; null without tokens."""
+    return batches.agg(F.try_divide(F.sum(F.col("loss") * F.col("tokens")), F.sum("tokens")).alias("loss"))

@@ -380,9 +380,37 @@ def top3_contexts_per_confusion(t: Tables) -> DataFrame:
     return outcomes.top_contexts(pairs, F.coalesce("meta.contrast_category", "meta.source", F.lit("unclassified")), t.split_record)
 
 
+@query("""SELECT meta.template_family AS template_family, count(*) AS records, count(DISTINCT meta.text_format) AS formats, count(DISTINCT meta.surface_style) AS styles, count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'dev') AS dev, count(*) FILTER (split = 'test') AS test
+FROM split_record WHERE meta.scenario_kind = 'hard_negative' AND meta.template_family IS NOT NULL GROUP BY 1""")
+def hard_negative_families(t: Tables) -> DataFrame:
+    return corpus.hard_negatives(t.split_record)
+
+
+@query()
+def converted_records(t: Tables) -> DataFrame:
+    raw = t.split_record.select("record_idx", "text", F.to_json(F.transform("entities", lambda x: F.struct(x["span_start"].alias("start"), x["span_end"].alias("end"), x["label"].alias("label")))).alias("raw_spans"))
+    return conversion.convert(raw, {}, ("SWIFT_BIC",), ("DOB", "AGE"), ("COUNTRY",))
+
+
+@query("""WITH r AS (SELECT record_idx, coalesce(meta.source, '<unattributed>') AS source, text, regexp_replace(text, '[\\s\\p{Z}]+', '', 'g') <> '' AS ok, NOT coalesce(meta.license_reviewed, true) AS x, list_sort(coalesce(list_transform(entities, lambda x: (x.span_start, x.span_end, x.label)::VARCHAR), [])) AS sig FROM split_record),
+  v AS (SELECT *, coalesce(ok, false) AS valid, NOT coalesce(ok, false) OR x AS gone FROM r), f AS (SELECT text, min(record_idx) AS first_idx, arg_min(sig, record_idx) AS fs FROM v WHERE NOT gone GROUP BY 1)
+SELECT source, count(*) AS read, count(*) FILTER (NOT valid) AS invalid, count(*) FILTER (valid AND gone) AS excluded, count(*) FILTER (NOT gone AND record_idx <> first_idx) AS duplicates, count(*) FILTER (NOT gone AND record_idx <> first_idx AND sig <> fs) AS conflicts,
+  count(*) FILTER (NOT gone AND record_idx = first_idx) AS merged FROM v LEFT JOIN f USING (text) GROUP BY 1""")
+def merge_statistics(t: Tables) -> DataFrame:
+    r = t.split_record.withColumn("valid", X.filled(F.col("text"))).withColumn("training_exclusion", ~F.coalesce("meta.license_reviewed", F.lit(True)))
+    return corpus.merge(r.withColumn("excluded", F.array().cast("array<struct<blocks:boolean>>")), F.col("meta.source"))[1]
+
+
 # ---- tokens and scores
 
 
+@query()
+def overflow_windows(t: Tables) -> DataFrame:
+    first = decoding.tokens(t.align_window).where("window_index = 0").select("record_idx", "tok_idx", "ts", "te")
+    tagged = decoding.bio_tags(decoding.overflow_windows(first), t.gold)
+    return tagged.groupBy("record_idx", "window_index").agg(F.count(F.lit(1)).alias("tokens"), F.count_if(F.col("tag").startswith("B-")).alias("begins"), F.count_if(F.col("tag") == "IGNORE").alias("ignored"))
+
+
 @query()
 def span_token_alignment(t: Tables) -> DataFrame:
     a = decoding.align_spans(t.gold, t.align_window, t.split_record)
