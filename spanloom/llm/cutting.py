@@ -18,7 +18,7 @@ MAX_TOKENS, OVERLAP_TOKENS = 384, 128
 BROADCAST_KEYS = 500_000
 #: Characters that end a sentence before white space, and those that end it anywhere (fixed values).
 ENDS, WIDE_ENDS = ".!?…;", "。！？"
-NEW_LINES = "\n\r\x0b\x0c\x85  "
+NEW_LINES = "\n\r\x0b\x0c\x85\u2028\u2029"
 KINDS = ("hard", "word", "sentence", "line")
 
 

@@ -2,7 +2,7 @@
 
 The texts of a batch are one stream, cut into overlapping windows of fixed size. Every window is scored by the network; of each position the
 scores of the window in which it lies farthest from the edges count. The tags are then decoded over the whole stream: where every tag but
-"outside" is worse by more than all transitions could give back, the best path is outside, and only the zones between such places go through Viterbi.
+"outside" is worse by more than CLEAR the path goes outside, and the zones between such places go through Viterbi.
 The exact check moves a decoded mention to the nearest whole value of its kind's written forms and leaves out what has none of them.
 """
 
@@ -12,6 +12,7 @@ import os
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache, partial
+from unicodedata import combining
 
 import numpy as np
 import pyarrow as pa
@@ -23,22 +24,24 @@ from ._chars import Joined, by_steps
 from .bilstm import KINDS, TAGS, Model, symbol_table, viterbi
 
 MODEL = os.path.join(os.path.dirname(__file__), "pii_model.npz")
-WINDOW, OVERLAP = 320, 64
-LOCKSTEP = 384
+WINDOW, OVERLAP = 640, 64
+#: Windows in lockstep; the margin of logarithmic odds beyond which a position is outside for sure; how far outside is held back, for recall.
+LOCKSTEP, CLEAR, BIAS = 512, 5.0, 1.0
 REACH = 48
 
+
 _W = r"\p{L}[\p{L}\p{M}'’]*"
 _UP = r"\p{Lu}[\p{L}\p{M}'’]*"
 _NAME = rf"{_W}(?:-{_W})*"
 _PARTICLE = r"(?:(?i:von|van|der|den|de|del|della|di|da|du|la|le|af|av|ter|ten|zu|zur) )*"
 _STREET = rf"\d{{1,5}} (?:[NSEW]\. )?{_UP} {_UP}\.?"
 _UNIT = r"(?:(?i:apt|suite|unit|flat)\.? |# ?)\d{1,4}"
-_END = r"(?![\p{L}\p{N}])"
+_END = r"(?![\p{L}\p{M}\p{N}])"
 _START = r"(?<![\p{L}\p{N}])"
 _AT = r"(?:@|%40| ?[\[({] ?(?i:at) ?[\])}] ?)"
 _DOT = r"(?:\.| ?[\[({] ?(?i:dot) ?[\])}] ?)"
 _LABEL = r"[\p{L}\p{N}](?:[\p{L}\p{M}\p{N}-]*[\p{L}\p{N}])?"
-_S = r"[   ]"
+_S = r"[ \u00a0\u202f]"
 _D = r"[-–‑.]"
 #: The written forms of each kind; a name is told by its words alone.
 FORMS = {
@@ -54,12 +57,28 @@ FORMS = {
     ],
     "address": [
         rf"{_START}{_STREET}(?:, {_UNIT})?", rf"{_START}{_UNIT},? {_STREET}", rf"{_START}\d{{1,4}}(?: (?:bis|ter))?,? \p{{Ll}}+ (?:(?:de la|de|du|des) )?{_UP}", rf"{_START}{_UP}(?: (?:de la|de|del|di|von))? {_UP} \d{{1,4}}[a-z]?",
-        rf"{_START}{_UP} \d{{1,4}}[a-z]?",
+        rf"{_START}(?!(?i:apt|suite|unit|flat) ){_UP} \d{{1,4}}[a-z]?",
     ],
     "name": [rf"{_START}{_NAME}, {_NAME}", rf"{_START}\p{{L}}\.(?: ?\p{{L}}\.)? {_PARTICLE}{_NAME}", rf"{_START}{_NAME} (?:\p{{L}}\. )?{_PARTICLE}{_NAME}"],
 }
 
 
+#: What a text calls something else just before a value, and after a name (fixed values).
+NOT_BEFORE = r"(?i:\b(?:order(?:[ _]ref(?:erence)?)?|ticket|batch(?:[ _]id)?|card|account|device|build|trace|txn|request|release|route|policy|rule(?: \d+(?: of)?)?)(?: no\.?| number| id|#)?[ =:#]{1,3})$"
+NOT_AFTER = r"(?: lane)? policy\b"
+
+
+@lru_cache(maxsize=1)
+def _nots() -> tuple[regex.Pattern, regex.Pattern]:
+    return regex.compile(NOT_BEFORE), regex.compile(NOT_AFTER, regex.IGNORECASE)
+
+
+def called_else(text: str, start: int, end: int) -> bool:
+    """Whether the text calls the value an order, ticket, batch, card, account, device, build or trace, or it names a rule, release, route or policy."""
+    before, after = _nots()
+    return bool(before.search(text, max(0, start - 28), start)) or bool(after.match(text, end))
+
+
 @lru_cache(maxsize=1)
 def _forms() -> dict[str, list[regex.Pattern]]:
     return {k: [regex.compile(x + _END) for x in v] for k, v in FORMS.items()}
@@ -72,6 +91,10 @@ def _model(path: str) -> Model:
 
 def settle(text: str, start: int, end: int, kind: str) -> tuple[int, int] | None:
     """The whole value of the kind that agrees best with text[start:end], None if nothing near has its form."""
+    if kind not in ("phone", "address") and not (start and text[start - 1].isalnum()) and not (end < len(text) and (text[end].isalnum() or combining(text[end]))):
+        for form in _forms()[kind]:
+            if form.fullmatch(text, start, end):
+                return start, end
     lo, hi = max(0, start - REACH), min(len(text), end + REACH)
     best, score = None, 0.34
     for form in _forms()[kind]:
@@ -109,24 +132,25 @@ def _scores(m: Model, symbols: np.ndarray) -> np.ndarray:
     for at in range(0, count, LOCKSTEP):
         e = m.emissions(windows[at : at + LOCKSTEP])
         begin = at * step
-        k = len(e)
-        out[begin + edge : begin + edge + k * step] = e[:, edge : edge + step].reshape(-1, TAGS)
+        k = e.shape[1]
+        out[begin + edge : begin + edge + k * step].reshape(k, step, TAGS)[:] = e[edge : edge + step].transpose(1, 0, 2)
         if at == 0:
-            out[:edge] = e[0, :edge]
+            out[:edge] = e[:edge, 0]
         if at + k == count:
-            out[begin + edge + k * step :] = e[-1, edge + step :]
+            out[begin + edge + k * step :] = e[edge + step :, -1]
     return out[:n]
 
 
-def decode(m: Model, joined: Joined) -> list[tuple[int, int, int]]:
+def decode(m: Model, joined: Joined, bias: float = 0.0) -> list[tuple[int, int, int]]:
     """(start, end, kind) of the mentions in the stream."""
     symbols = symbol_table()[joined.codes]
     symbols[joined.ends] = 0
     e = _scores(m, symbols)
     t = m.t
-    free = t[t > -15]
-    bound = 2 * float(free.max() - min(t[0, 0], free.min()))
-    open_ = (e[:, 1:].max(1) - e[:, 0] > -min(bound, 12.0))
+    e[:, 0] -= bias
+    open_ = e[:, 1] > (outside := e[:, 0] - CLEAR)
+    for k in range(2, TAGS):
+        open_ |= e[:, k] > outside
     open_[joined.ends] = False
     edges = np.flatnonzero(np.diff(np.concatenate(([0], open_.view(np.int8), [0]))))
     starts, ends = edges[0::2], edges[1::2]
@@ -153,19 +177,21 @@ def decode(m: Model, joined: Joined) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def find(texts: list[str], m: Model, check: bool = True) -> list[list[tuple[int, int, str]]]:
+def find(texts: list[str], m: Model, check: bool = True, bias: float = BIAS) -> list[list[tuple[int, int, str]]]:
     """Mentions (start, end, kind) of each text, in order, without overlap: of overlapping ones the longer stays, then the earlier."""
     out: list[list[tuple[int, int, str]]] = []
     for lo, hi in by_steps(texts):
         joined = Joined(texts[lo:hi])
         ends = joined.ends.tolist()
         own: list[list] = [[] for _ in range(hi - lo)]
-        for a, b, k in decode(m, joined):
+        for a, b, k in decode(m, joined, bias):
             i = bisect_left(ends, a)
             base = int(joined.starts[i])
             span = (a - base, min(b, ends[i]) - base)
             if check:
                 span = settle(texts[lo + i], *span, KINDS[k])
+                if span and called_else(texts[lo + i], *span):
+                    span = None
             if span:
                 own[i].append((*span, KINDS[k]))
         for mentions in own:

@@ -8,13 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import crosssplit, cutting, groups, neardup, packing, shared_spans, tokens
+from . import crosssplit, cutting, groups, neardup, packing, pii, shared_spans, tokens
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.mentions(_table(spark, folder, "split_record"))
+
+
+def p1_masked(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.mask(_table(spark, folder, "split_record"), _table(spark, folder, "label_spec"))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     text = neardup.near_duplicate_pairs(_table(spark, folder, "split_record"), "record_idx", "text", neardup.TEXT)
     specs = _table(spark, folder, "family_spec").select("spec_id", groups.spaced_name(F.col("template_family")).alias("name"))
@@ -71,7 +79,7 @@ def p8_share(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_pieces, p3_windows, p4_found, p4_assigned, p5_found, p5_report, p6_ids, p7_packed, p8_found, p8_share)
+    f.__name__: f for f in (p1_found, p1_masked, p2_found, p2_groups, p3_found, p3_pieces, p3_windows, p4_found, p4_assigned, p5_found, p5_report, p6_ids, p7_packed, p8_found, p8_share)
 }
 
 SQL: dict[str, str] = {}

@@ -1,12 +1,13 @@
 """python -m spanloom.llm.train_pii SPLIT_RECORD_PARQUET OUT: trains the model of pii.py from labelled spans.
 
-Two rounds. The first learns from windows around the labelled spans that agree with a written form of their kind (the delivered annotation is partly wrong). As it is
-also incomplete, the first model then searches the same texts, and the second round learns from both. The sample is bounded by MOST_RECORDS.
+Three rounds. The first learns from windows around the labelled spans that agree with a written form of their kind (the delivered annotation is partly wrong). As it is
+also incomplete, each model then searches the same texts, and the next round learns from both. The sample is bounded by MOST_RECORDS.
 """
 
 from __future__ import annotations
 
 import sys
+from collections import Counter
 
 import numpy as np
 
@@ -16,6 +17,8 @@ from .bilstm import KINDS, Model, symbol_table, train
 
 MOST_RECORDS = 40_000
 WIDTH, SIZE = 112, 24
+#: Characters before and after a mention that tell its surroundings, and how many labelled spans must share them.
+BEFORE, AFTER, OFTEN = 6, 7, 25
 #: Labels of each kind (fixed values).
 KIND_OF = {"EMAIL": "email", "PHONE": "phone", "SSN": "id_number", "ITIN": "id_number", "TAX_ID": "id_number", "PASSPORT_NUMBER": "id_number", "DRIVER_LICENSE": "id_number", "STREET_ADDRESS": "address", "PERSON_NAME": "name"}
 
@@ -37,56 +40,73 @@ def clean(text: str, entities: list) -> tuple[list[tuple[int, int, str]], list[t
     return good, doubt
 
 
-def windows(texts: list[str], spans: list[list], doubts: list[list], around: int, free: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+def windows(texts: list[str], spans: list[list], doubts: list[list], free: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of the stream of all texts: one around each span and `free` others a text, none with a place of doubt, none that begins within a mention."""
     r = np.random.default_rng(seed)
-    table = symbol_table()
-    xs, ys = [], []
-    for text, own, bad in zip(texts, spans, doubts, strict=True):
-        joined = Joined([text])
-        sym = np.zeros(len(text) + 2 * WIDTH, np.uint8)
-        sym[WIDTH : WIDTH + len(text)] = table[joined.codes[:-1]]
-        tag = np.zeros(len(sym), np.int64)
+    joined = Joined(texts)
+    symbols = symbol_table()[joined.codes]
+    symbols[joined.ends] = 0
+    tags = np.zeros(len(symbols), np.int8)
+    bad = np.zeros(len(symbols) + 1, np.int32)
+    starts = []
+    for base, own, doubt in zip(joined.starts.tolist(), spans, doubts, strict=True):
         for a, b, k in own:
             i = KINDS.index(k)
-            tag[WIDTH + a] = 1 + 2 * i
-            tag[WIDTH + a + 1 : WIDTH + b] = 2 + 2 * i
-        spots = [int(r.integers(max(0, b + WIDTH - WIDTH + 2), a + WIDTH)) if b - a < WIDTH - 8 else None for a, b, _ in own for _ in range(around)]
-        spots += [int(r.integers(WIDTH // 2, WIDTH + len(text))) for _ in range(int(free) + (r.random() < free % 1))]
-        for s in spots:
-            if s is None or s + WIDTH > len(sym) or any(a + WIDTH < s + WIDTH and b + WIDTH > s for a, b in bad):
-                continue
-            y = tag[s : s + WIDTH].copy()
-            if y[0] and y[0] % 2 == 0:  # cut mentions are not told
-                y[: int(np.argmax(y != y[0]) or WIDTH)] = 0
-            xs.append(sym[s : s + WIDTH])
-            ys.append(y)
-    return np.array(xs), np.array(ys)
+            tags[base + a] = 1 + 2 * i
+            tags[base + a + 1 : base + b] = 2 + 2 * i
+            starts.append(base + a - int(r.integers(4, WIDTH - 20)))
+        for a, b in doubt:
+            bad[base + a : base + b] = 1
+    starts = np.concatenate((np.array(starts, np.int64), r.integers(0, len(symbols) - WIDTH, int(free * len(texts)))))
+    starts = starts[(starts >= 0) & (starts < len(symbols) - WIDTH)]
+    upto = np.concatenate(([0], np.cumsum(bad)))
+    inside = (tags > 0) & (tags % 2 == 0)
+    starts = starts[(upto[starts + WIDTH] == upto[starts]) & ~inside[starts]]
+    at = starts[:, None] + np.arange(WIDTH)
+    return symbols[at], tags[at].astype(np.int64)
+
+
+def supported(texts: list[str], spans: list[list], found: list[list]) -> list[list]:
+    """Of found mentions those whose surroundings are told by many labelled spans of their kind: what stands before (for a name in small letters: after) them."""
+    before, after = Counter(), Counter()
+    for text, own in zip(texts, spans, strict=True):
+        for a, b, k in own:
+            before[k, text[max(0, a - BEFORE) : a]] += 1
+            after[k, text[b : b + AFTER]] += 1
+
+    def holds(text: str, a: int, b: int, k: str) -> bool:
+        small = k == "name" and text[a:b].islower()
+        return after[k, text[b : b + AFTER]] >= OFTEN or (not small and before[k, text[max(0, a - BEFORE) : a]] >= OFTEN)
+
+    return [[x for x in more if holds(text, *x)] for text, more in zip(texts, found, strict=True)]
+
+
+def _search(task: tuple[Model, list[str], float]) -> list:
+    m, texts, bias = task
+    return pii.find(texts, m, bias=bias)
 
 
 def main(source: str, out: str) -> None:
+    import multiprocessing
+
     import pyarrow.parquet as pq
 
+    tell = lambda s: print(s, flush=True)
     rows = [r for r in pq.read_table(source, columns=["text", "entities"]).slice(0, MOST_RECORDS).to_pylist() if r["text"] and r["text"].strip()]
     texts = [r["text"] for r in rows]
     cleaned = [clean(r["text"], r["entities"]) for r in rows]
     spans, doubts = [x[0] for x in cleaned], [x[1] for x in cleaned]
-    print("spans", sum(map(len, spans)), "doubts", sum(map(len, doubts)), flush=True)
+    tell(f"spans {sum(map(len, spans))}, doubts {sum(map(len, doubts))}")
     m = Model.new(SIZE, 1)
-    x, y = windows(texts, spans, doubts, 1, 0.0, 1)
-    print("windows", x.shape, flush=True)
-    train(m, x, y, 4, seed=1, tell=lambda s: print(s, flush=True))
-    for turn in (2, 3):
-        found = pii.find(texts, m)
-        merged = []
-        for own, more, bad in zip(spans, found, doubts, strict=True):
-            both = list(own)
-            both += [f for f in more if all(f[1] <= o[0] or f[0] >= o[1] for o in own)]
-            merged.append(both)
+    train(m, *windows(texts, spans, doubts, 1.0, 1), 8, seed=1, tell=tell)
+    for turn, (epochs, bias) in enumerate(((5, 1.0), (9, 0.5)), 2):
+        with multiprocessing.get_context("fork").Pool(7) as pool:
+            found = [x for part in pool.map(_search, [(m, texts[i : i + 1500], bias) for i in range(0, len(texts), 1500)], chunksize=1) for x in part]
+        found = supported(texts, spans, found)
+        merged = [list(own) + [f for f in more if all(f[1] <= o[0] or f[0] >= o[1] for o in own)] for own, more in zip(spans, found, strict=True)]
         left = [[d for d in bad if not any(d[0] < s[1] and d[1] > s[0] for s in own)] for own, bad in zip(merged, doubts, strict=True)]
-        print("spans", sum(map(len, merged)), flush=True)
-        x, y = windows(texts, merged, left, 1, 1.0, turn)
-        print("windows", x.shape, flush=True)
-        train(m, x, y, 2 if turn == 2 else 3, rate=3e-3, seed=turn, tell=lambda s: print(s, flush=True))
+        tell(f"spans {sum(map(len, merged))}")
+        train(m, *windows(texts, merged, left, 1.0, turn), epochs, rate=5e-3, seed=turn, tell=tell)
     m.save(out)
 
 

@@ -1,0 +1,126 @@
+"""The BiLSTM-CRF against finite differences and brute force, and the mentions against held-out accuracy."""
+
+from __future__ import annotations
+
+from itertools import product
+
+import numpy as np
+import pyarrow.parquet as pq
+import pytest
+
+from spanloom.llm import pii, train_pii
+from spanloom.llm._chars import Joined
+from spanloom.llm.bilstm import SYMBOLS, TAGS, Model, allowed, gradients, train, viterbi
+
+
+def test_gradients():
+    m, r = Model.new(5, 0), np.random.default_rng(0)
+    x, y = r.integers(0, SYMBOLS, (3, 8)).astype(np.uint8), np.zeros((3, 8), np.int64)
+    y[0, 2], y[0, 3:5], y[2, 7] = 1, 2, 5
+    _, g = gradients(m, x, y)
+    for k in m.NAMES:
+        value = getattr(m, k)
+        at = np.unravel_index(np.abs(g[k]).argmax(), g[k].shape)
+        keep = value[at]
+        value[at] = keep + 1e-2
+        up = gradients(m, x, y)[0]
+        value[at] = keep - 1e-2
+        down = gradients(m, x, y)[0]
+        value[at] = keep
+        assert g[k][at] == pytest.approx((up - down) / 2e-2, rel=2e-2)
+
+
+def test_viterbi_is_the_best_path():
+    r = np.random.default_rng(1)
+    t = np.where(allowed(), r.normal(size=(TAGS, TAGS)), -30).astype(np.float32)
+    e = r.normal(size=(4, 4, TAGS)).astype(np.float32) * 2
+    e[:, :, 7:] -= 50
+    got = viterbi(e, np.array([4, 3, 1, 2]), t)
+    for w, n in enumerate((4, 3, 1, 2)):
+        def score(path):
+            s = t[0, path[0]] + e[w, 0, path[0]] - (30 if path[0] and path[0] % 2 == 0 else 0)
+            for i in range(1, len(path)):
+                s += t[path[i - 1], path[i]] + e[w, i, path[i]]
+            return s + t[path[-1], 0]
+
+        best = max(product(range(7), repeat=n), key=score)
+        assert tuple(got[w, :n]) == best
+
+
+def test_windows_agree_with_one_pass():
+    m, r = Model.new(6, 2), np.random.default_rng(2)
+    x = r.integers(0, SYMBOLS, 3000).astype(np.uint8)
+    whole = m.emissions(x[None])[:, 0]
+    stitched = pii._scores(m, x)
+    assert np.abs(whole - stitched).mean() < 0.05 and stitched.shape == (3000, TAGS)
+
+
+def test_training_lowers_the_loss():
+    m, r = Model.new(8, 3), np.random.default_rng(3)
+    x = r.integers(2, 20, (64, 20)).astype(np.uint8)
+    y = np.zeros((64, 20), np.int64)
+    y[x == 5] = 1
+    before = gradients(m, x, y)[0]
+    train(m, x, y, 30, batch=32, workers=2, tell=lambda s: None)
+    assert gradients(m, x, y)[0] < before / 3
+
+
+@pytest.mark.parametrize(
+    ("text", "near", "kind", "want"),
+    [
+        ("write a.b+c@d-e.co.test now", "b+c@d-e.co", "email", "a.b+c@d-e.co.test"), ("x y (at) z (dot) test.", "y (at) z", "email", "y (at) z (dot) test"), ("to q@bus here", "q@bus", "email", None),
+        ("cb#+44 7700 900 517)", "7700 900", "phone", "+44 7700 900 517"), ("call (301) 555-0100 2033", "301) 555-01", "phone", "(301) 555-0100"), ("ssn=000–12–3927", "12–3927", "id_number", "000–12–3927"), ("EIN 52 571 341 334 is", "571 341", "id_number", "52 571 341 334"),
+        ("at 90 bis avenue de Abc since", "bis avenue de Abc", "address", "90 bis avenue de Abc"), ("at 1506 Abc Ave, # 18|", "1506 Abc Ave", "address", "1506 Abc Ave, # 18"), ("at Apt 17, 63 Abc Hill z", "17, 63 Abc Hil", "address", "Apt 17, 63 Abc Hill"),
+        ("met O'Abc, Xyz at", "Abc, Xyz", "name", "O'Abc, Xyz"), ("from A. von Bcd - x", "A. von Bc", "name", "A. von Bcd"), ("a B", "a", "phone", None),
+    ],
+)
+def test_settle(text, near, kind, want):
+    a = text.index(near)
+    span = pii.settle(text, a, a + len(near), kind)
+    assert (text[span[0] : span[1]] if span else None) == want
+
+
+def test_what_the_text_calls_else():
+    for text, value in (("order reference 966-33-3834", "966-33-3834"), ("ticket X12832682 reopened", "X12832682"), ("release Abc Def rolled", "Abc Def"), ("rule 35 of Abc Lane policy", "35 of Abc")):
+        a = text.index(value)
+        assert pii.called_else(text, a, a + len(value))
+    assert not pii.called_else("ssn 966-33-3834 on", 4, 15)
+
+
+@pytest.fixture(scope="module")
+def held_out():
+    """Rows the model was not trained on, with the labelled spans that agree with a form of their kind."""
+    rows = [r for r in pq.read_table("/root/testdata/sf0.01/split_record.parquet", columns=["text", "entities"]).slice(0, 1500).to_pylist() if r["text"]]
+    return [r["text"] for r in rows], [train_pii.clean(r["text"], r["entities"])[0] for r in rows]
+
+
+def test_held_out_recall(held_out):
+    texts, labelled = held_out
+    found = pii.find(texts, Model.load(pii.MODEL))
+    hit, all_ = dict.fromkeys(pii.KINDS, 0), dict.fromkeys(pii.KINDS, 0)
+    for text, own, want in zip(texts, found, labelled, strict=True):
+        for x in set(want):
+            if not pii.called_else(text, *x[:2]):
+                all_[x[2]] += 1
+                hit[x[2]] += x in own
+    for kind, least in (("email", 0.97), ("phone", 0.97), ("id_number", 0.97), ("address", 0.93), ("name", 0.85)):
+        assert hit[kind] >= least * all_[kind], (kind, hit[kind], all_[kind])
+
+
+def test_mentions_and_masks(spark):
+    text = "2035 WARN x[1] reply to ab.cd@efg.test bounced; ssn=000-12-3927\n"
+    df = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "  "), (1, "x" * 9000), (5, "🙂 " + text)], "record_idx bigint, text string")
+    got = {(r.record_idx, r.span_start, r.span_end, r.pii_kind) for r in pii.mentions(df).collect()}
+    a, s = text.index("ab.cd"), text.index("000-")
+    assert got == {(k, a + d, a + d + 14, "email") for k, d in ((1, 0), (5, 2))} | {(k, s + d, s + d + 11, "id_number") for k, d in ((1, 0), (5, 2))}
+    labels = spark.createDataFrame([("email", "<EMAIL>"), ("id_number", "<ID_NUMBER>"), (None, None)], "pii_kind string, placeholder string")
+    masked = sorted((r.record_idx, r.masked, r.replaced) for r in pii.mask(df, labels).where("record_idx in (2, 5)").collect())
+    assert masked == [(2, None, 0), (5, "🙂 2035 WARN x[1] reply to <EMAIL> bounced; ssn=<ID_NUMBER>\n", 2)]
+    assert pii.mentions(df.limit(0)).count() == 0
+
+
+def test_decode_does_not_cross_texts():
+    m = Model.load(pii.MODEL)
+    joined = Joined(["reply to ab@cd.test", "", "reply to ab@cd.test"])
+    for a, b, _ in pii.decode(m, joined):
+        assert not any(a < e < b for e in joined.ends.tolist())
