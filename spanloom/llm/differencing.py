@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_left, insort
 
 import numpy as np
 
@@ -87,13 +88,39 @@ def relieve(weights: np.ndarray, of: np.ndarray, bins: int, capacity: int) -> bo
     return True
 
 
+#: Share of the weight, in the smallest pieces, that closes the gaps which differencing leaves.
+CLOSING = 0.3
+
+
+def _close_gaps(weights: np.ndarray, small: np.ndarray, of: np.ndarray, load: np.ndarray, capacity: int) -> bool:
+    """Puts each small weight, the heaviest first, into the bin it leaves least room in; whether all found one."""
+    room = sorted((capacity - int(x), b) for b, x in enumerate(load))
+    for i in small.tolist():
+        w = int(weights[i])
+        at = bisect_left(room, (w, -1))
+        if at == len(room):
+            return False
+        free, b = room.pop(at)
+        of[i] = b
+        insort(room, (free - w, b))
+    return True
+
+
 def pack(weights: np.ndarray, capacity: int) -> np.ndarray:
-    """Bin of each weight (none over capacity) in as few bins of the capacity as differencing finds: the count starts at the
-    least possible and rises whenever the capacity is exceeded."""
+    """Bin of each weight (none over capacity) in as few bins of the capacity as found: the large weights are differenced into near-equal bins,
+    the small ones close the gaps. The count of bins starts at the least possible and rises whenever the capacity is exceeded."""
     n = len(weights)
-    bins = max(1, -(-int(weights.sum()) // capacity)) if n else 0
+    if n == 0:
+        return np.zeros(0, np.int64)
+    order = np.argsort(-weights, kind="stable")
+    small = int(np.searchsorted(np.cumsum(weights[order[::-1]]), CLOSING * weights.sum()))
+    large, small = order[: n - small], order[n - small :]
+    bins = max(1, -(-int(weights.sum()) // capacity))
     while True:
-        of = difference(weights, bins)
-        if n == 0 or relieve(weights, of, bins, capacity):
-            return of
+        of = np.zeros(n, np.int64)
+        part = difference(weights[large], bins)
+        if relieve(weights[large], part, bins, capacity):
+            of[large] = part
+            if _close_gaps(weights, small, of, np.bincount(part, weights[large], bins), capacity):
+                return of
         bins += max(1, bins // 400)
