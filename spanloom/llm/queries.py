@@ -82,4 +82,37 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (p1_found, p1_masked, p2_found, p2_groups, p3_found, p3_pieces, p3_windows, p4_found, p4_assigned, p5_found, p5_report, p6_ids, p7_packed, p8_found, p8_share)
 }
 
-SQL: dict[str, str] = {}
+_TRIM = "regexp_replace(lower({0}), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')"
+_HAVE = "CASE WHEN {0} IN ('', 'unknown', 'n/a', 'none', '-') OR regexp_full_match({0}, '0+') THEN NULL ELSE {0} END"
+
+
+def _id(x: str) -> str:
+    return _HAVE.format(_TRIM.format(x))
+
+
+def _name(x: str) -> str:
+    return _HAVE.format(f"regexp_replace({_id(x)}, '[_\\-.\\p{{Z}}\\s]+', '', 'g')")
+
+
+_TEXT_PAIRS = """w AS (SELECT record_idx AS k, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM split_record WHERE text IS NOT NULL),
+  s AS (SELECT k, unnest(list_distinct(list_transform(generate_series(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS h FROM w WHERE len(w) > 2), n AS (SELECT k, count(*) AS n FROM s GROUP BY 1),
+  o AS (SELECT a.k AS a, b.k AS b, count(*) AS v FROM s a JOIN s b USING (h) WHERE a.k < b.k GROUP BY 1, 2), pairs AS (SELECT a, b FROM o JOIN n x ON x.k = a JOIN n y ON y.k = b WHERE 3 * v >= x.n + y.n)"""
+_FAMILY_PAIRS = f"""fw AS (SELECT spec_id AS k, regexp_replace({_TRIM.format("template_family")}, '[_\\-.\\p{{Z}}\\s]+', '_', 'g') AS f FROM family_spec WHERE template_family IS NOT NULL),
+  fs AS (SELECT k, unnest(list_distinct(list_transform(generate_series(1, length(f) - 2), lambda i: substring(f, i, 3)))) AS h FROM fw WHERE length(f) > 2), fn AS (SELECT k, count(*) AS n FROM fs GROUP BY 1),
+  fo AS (SELECT a.k AS a, b.k AS b, count(*) AS v FROM fs a JOIN fs b USING (h) WHERE a.k < b.k GROUP BY 1, 2), fpairs AS (SELECT a, b FROM fo JOIN fn x ON x.k = a JOIN fn y ON y.k = b WHERE 16 * v >= 6 * (x.n + y.n))"""
+_SPLIT = _TRIM.format("split")
+_KIND = """SELECT record_idx, '{0}' AS overlap_kind FROM r WHERE sp IN ('dev', 'test') AND {1} IN (SELECT {1} FROM r WHERE sp = 'train' AND {1} IS NOT NULL)"""
+
+#: Of the queries that SQL can express on whole tables.
+SQL: dict[str, str] = {
+    "p2_found": f"WITH {_TEXT_PAIRS}, {_FAMILY_PAIRS} SELECT 'text' AS field_name, a AS key_a, b AS key_b FROM pairs UNION ALL SELECT 'family', a, b FROM fpairs",
+    "p3_found": "SELECT 'record' AS item_kind, record_idx, -1 AS window_index FROM split_record WHERE length(text) > 1200 UNION ALL SELECT DISTINCT 'window', record_idx, window_index FROM align_window WHERE len(offset_mapping) > 384",
+    "p4_found": f"""WITH RECURSIVE k AS (SELECT DISTINCT spec_id, key FROM (SELECT spec_id, 'f' || {_name("template_family")} AS key FROM family_spec UNION ALL SELECT spec_id, 's' || {_id("semantic_signature")} FROM family_spec
+      UNION ALL SELECT spec_id, 'v' || {_id("seed_value_hash")} FROM family_spec) q WHERE key IS NOT NULL), e AS (SELECT DISTINCT a.spec_id AS a, b.spec_id AS b FROM k a JOIN k b USING (key)),
+      r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), g AS (SELECT a AS spec_id, min(b) AS group_id FROM r GROUP BY 1),
+      x AS (SELECT group_id FROM g JOIN family_spec USING (spec_id) GROUP BY 1 HAVING count(DISTINCT nullif({_TRIM.format("intended_split")}, '')) > 1) SELECT spec_id, group_id FROM g JOIN x USING (group_id)""",
+    "p5_found": f"""WITH {_TEXT_PAIRS}, r AS (SELECT record_idx, {_SPLIT} AS sp, {_id("meta.source")} || chr(0) || {_id("meta.source_record_id")} AS sid, {_name("meta.template_family")} AS fam,
+      {_id("list_filter(meta.contrast_targets, lambda x: x.target_role = 'focus')[1].value_sha256")} AS vh FROM split_record), d AS (SELECT a AS p, b AS q FROM pairs UNION ALL SELECT b, a FROM pairs)
+      {_KIND.format("source_id", "sid")} UNION ALL {_KIND.format("family", "fam")} UNION ALL {_KIND.format("value_hash", "vh")}
+      UNION ALL SELECT DISTINCT p, 'text' FROM d JOIN r a ON a.record_idx = p JOIN r b ON b.record_idx = q WHERE a.sp IN ('dev', 'test') AND b.sp = 'train'""",
+}

@@ -1,0 +1,28 @@
+"""The queries with SQL give the same rows as DuckDB on the smallest tables."""
+
+from __future__ import annotations
+
+from pathlib import Path
+
+import duckdb
+import pytest
+
+from spanloom.llm.queries import QUERIES, SQL
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_same_rows(spark, name):
+    con = duckdb.connect()
+    for f in Path(FOLDER).glob("*.parquet"):
+        con.execute(f"create view {f.stem} as select * from '{f}'")
+    want = con.execute(SQL[name])
+    columns = [c[0] for c in want.description]
+    got = QUERIES[name](spark, FOLDER).select(*columns).collect()
+    assert sorted(map(tuple, got)) == sorted(want.fetchall())
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
+def test_runs(spark, name):
+    assert QUERIES[name](spark, FOLDER).count() >= 0
