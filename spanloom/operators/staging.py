@@ -19,3 +19,14 @@ def cut(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared folder: it survives the loss of executors."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+#: Inputs whose files have at most this size are spread over all cores before work in Python; larger ones come in enough parts.
+SMALL_BYTES = 32 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df in at least as many parts as there are cores, where it is small: a file of one row group is one task else. The rows are the same."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SMALL_BYTES else df
