@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.staging import cut
+from ..operators.staging import cut, spread
 from ._chars import U64, by_steps, char_shingles, mix, word_shingles
 from .bagminhash import band_keys, signatures
 from .groups import components
@@ -64,7 +64,7 @@ def members(rows: DataFrame, key: str, text: str, like: Likeness) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).filter(pa.array(some)), pa.array(sid[some].view(np.int64))], names=[key, "sid"])
 
     kind = rows.schema[key].dataType.simpleString()
-    return rows.select(key, text).mapInArrow(run, f"`{key}` {kind}, sid bigint")
+    return spread(rows.select(key, text)).mapInArrow(run, f"`{key}` {kind}, sid bigint")
 
 
 def _banded(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[pa.RecordBatch]:
@@ -140,7 +140,7 @@ def similar_classes(rows: DataFrame, text: str, like: Likeness, side: str | None
     only pairs with one class among the true rows and the other among the false ones are looked for.
     """
     kind = "key bigint, sid bigint" + (", side boolean" if side else "")
-    bands = rows.select(text, *([side] if side else [])).mapInArrow(partial(_banded, like=like), kind)
+    bands = spread(rows.select(text, *([side] if side else []))).mapInArrow(partial(_banded, like=like), kind)
     if side:
         keyed = "max(case when side then 1 else 0 end) over (partition by key) + max(case when side then 0 else 1 end) over (partition by key)"
         shared = bands.selectExpr("*", f"{keyed} as sides").where("sides = 2").select("key", "sid", "side").distinct()
@@ -153,7 +153,7 @@ def similar_classes(rows: DataFrame, text: str, like: Likeness, side: str | None
     pairs = cut(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
     bags = "sid bigint, bag array<int>" + (", counts array<int>" if like.weighted else "")
-    bag = rows.select(text).mapInArrow(partial(_bags, like=like), bags).join(wanted, "sid", "left_semi").dropDuplicates(["sid"])
+    bag = spread(rows.select(text)).mapInArrow(partial(_bags, like=like), bags).join(wanted, "sid", "left_semi").dropDuplicates(["sid"])
     bag = cut(bag)
     counts = ["counts"] if like.weighted else []
     one, two = bag.toDF("a", "bag_a", *(x + "_a" for x in counts)), bag.toDF("b", "bag_b", *(x + "_b" for x in counts))

@@ -20,6 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.staging import spread
 from ._chars import Joined, by_steps
 from .bilstm import KINDS, TAGS, Model, symbol_table, viterbi
 
@@ -219,7 +220,7 @@ def mentions(records: DataFrame, key: str = "record_idx", text: str = "text", mo
     Null and empty texts have none; rows with equal keys are searched each. Whole texts are read; nothing is shuffled.
     """
     kind = records.schema[key].dataType.simpleString()
-    return records.select(key, text).mapInArrow(partial(_found, path=model), f"`{key}` {kind}, span_start int, span_end int, pii_kind string")
+    return spread(records.select(key, text)).mapInArrow(partial(_found, path=model), f"`{key}` {kind}, span_start int, span_end int, pii_kind string")
 
 
 def _masked(batches: Iterator[pa.RecordBatch], path: str, placeholders: dict[str, str]) -> Iterator[pa.RecordBatch]:
@@ -245,4 +246,4 @@ def mask(records: DataFrame, labels: DataFrame, key: str = "record_idx", text: s
     told = {r.pii_kind: r.placeholder for r in labels.where("pii_kind is not null").groupBy("pii_kind").agg(F.min("placeholder").alias("placeholder")).collect()}  # one row a kind
     placeholders = {k: told.get(k) or f"<{k.upper()}>" for k in KINDS}
     kind = records.schema[key].dataType.simpleString()
-    return records.select(key, text).mapInArrow(partial(_masked, path=model, placeholders=placeholders), f"`{key}` {kind}, masked string, replaced int")
+    return spread(records.select(key, text)).mapInArrow(partial(_masked, path=model, placeholders=placeholders), f"`{key}` {kind}, masked string, replaced int")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.staging import cut
+from ..operators.staging import cut, spread
 from ._chars import U64, Hashed, Joined, by_steps, mix
 
 MIN_CHARS = 160
@@ -171,7 +171,7 @@ def shared_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", wante
     if wanted < 8:
         raise ValueError("at least 8 characters")
     texts = docs.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text")).where((F.length(text) >= wanted) & F.col(key).isNotNull())
-    level = texts.mapInArrow(partial(_quarter, wanted=wanted), "doc bigint, h bigint")
+    level = spread(texts).mapInArrow(partial(_quarter, wanted=wanted), "doc bigint, h bigint")
     marks = _repeated(level).groupBy("doc").agg(F.collect_set("h").alias("mark"))
     level = _with_texts(texts, marks).mapInArrow(partial(_half, wanted=wanted), "doc bigint, h bigint")
     marks = _repeated(level).groupBy("doc").agg(F.collect_set("h").alias("mark"))

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.staging import spread
 from ._chars import LETTER, NUMBER, OTHER, SEP, SPACE, Joined, by_steps
 
 #: Vocabulary as ranks; a parameter of every function here.
@@ -115,7 +116,7 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", ranks_path:
                 at += n
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
+    return spread(docs.select(key, text)).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
 
 
 def count_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", ranks_path: str = BYTE_BPE_50K) -> DataFrame:
@@ -127,7 +128,7 @@ def count_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", ranks
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate([*sizes, np.zeros(0, np.int64)]).astype(np.int64))], names=[key, "n_tokens"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_tokens bigint")
+    return spread(docs.select(key, text)).mapInArrow(run, f"`{key}` {kind}, n_tokens bigint")
 
 
 def decode(ids: DataFrame, key: str = "doc_id", ranks_path: str = BYTE_BPE_50K) -> DataFrame:
