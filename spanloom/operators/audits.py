@@ -88,8 +88,8 @@ def shared_skeletons(templates: DataFrame) -> DataFrame:
 
 def composition(records: DataFrame, by: Column) -> DataFrame:
     """(part, records, share) by a column."""
-    total = records.agg(F.count(F.lit(1)).alias("total"))
-    return records.groupBy(by.alias("part")).agg(F.count(F.lit(1)).alias("records")).crossJoin(total).select("part", "records", r6(ratio(F.col("records"), F.col("total"))).alias("share"))  # one row
+    total = records.agg(F.count(F.lit(1)).alias("total")).scalar()
+    return records.groupBy(by.alias("part")).agg(F.count(F.lit(1)).alias("records")).select("part", "records", r6(ratio(F.col("records"), total)).alias("share"))
 
 
 def alignment_problems(status: DataFrame, allowed: tuple[str, ...] = ("failed",)) -> DataFrame:

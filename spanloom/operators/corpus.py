@@ -74,8 +74,13 @@ def assign_groups(records: DataFrame, seed: int = 42, ratios: dict[str, float] =
     """(group_id, stratum, split): the groups of each stratum in the order of their seeded hash, cut by `allocation`. A group is of its smallest stratum."""
     groups = group_id(records).groupBy("group_id").agg(F.min("stratum").alias("stratum"))
     counts = allocation(groups.groupBy("stratum").agg(F.count(F.lit(1)).alias("groups")), ratios)
-    rank = F.row_number().over(Window.partitionBy("stratum").orderBy(F.sha2(F.concat(F.lit(f"{seed}\0"), "stratum", F.lit("\0"), "group_id"), 256), "group_id"))
-    joined = groups.withColumn("rank", rank).join(counts, "stratum")
+    # the rank in a stratum, without gathering the stratum: ranks in 4,096 ranges of the hash, and how many groups the ranges before hold
+    groups = groups.withColumn("h", F.sha2(F.concat(F.lit(f"{seed}\0"), "stratum", F.lit("\0"), "group_id"), 256)).withColumn("bucket", F.substring("h", 1, 3))
+    sizes = groups.groupBy("stratum", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("stratum").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = F.row_number().over(Window.partitionBy("stratum", "bucket").orderBy("h", "group_id"))
+    ranked = groups.withColumn("within", within).join(sizes.withColumn("before", before), ["stratum", "bucket"]).withColumn("rank", F.col("before") + F.col("within"))
+    joined = ranked.join(counts, "stratum")
     split, upto = None, F.lit(0)
     for s in ratios:
         upto = upto + F.col(s)

@@ -78,8 +78,8 @@ def label_distribution(spans: DataFrame, labels: DataFrame) -> DataFrame:
     """(label_ord, label, spans, share): every label of the ontology, with 0 where there is none."""
     counts = spans.groupBy("label").agg(F.count(F.lit(1)).alias("spans"))
     all_ = labels.select(F.col("label_ord").cast("bigint").alias("label_ord"), "label").join(counts, "label", "left").select("label_ord", "label", F.coalesce("spans", F.lit(0)).cast("bigint").alias("spans"))
-    total = spans.agg(F.count(F.lit(1)).alias("total"))
-    return all_.crossJoin(total).select("label_ord", "label", "spans", F.round(F.coalesce(F.try_divide(F.col("spans").cast("double"), F.col("total")), F.lit(0.0)), 6).alias("share"))  # one row
+    total = spans.agg(F.count(F.lit(1)).alias("total")).scalar()
+    return all_.select("label_ord", "label", "spans", F.round(F.coalesce(F.try_divide(F.col("spans").cast("double"), total), F.lit(0.0)), 6).alias("share"))
 
 
 def provenance_agreement(records: DataFrame) -> DataFrame:
