@@ -3,7 +3,7 @@
 The edit-distance segment join named for this problem cannot give the required result: a pair counts when half of the distinct runs of
 three words agree, wherever they stand, so a text of n words may be n / 9 and more edits (or any reordering) away. Cut into that many
 segments plus one, each segment is three words or less, and such runs stand in up to thousands of texts each. The almost equal texts
-therefore come from the banded BagMinHash join with its exact check of the overlap, restricted to pairs across the splits. README.md has the figures.
+therefore come from the banded BagMinHash join with its exact check of the overlap, restricted to pairs across the splits. README.md has the figures. edited_overlaps is the segment join for texts that are a few edits apart.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..operators.staging import cut
 from .groups import id_key, name_key, outer_clean
 from .neardup import TEXT, Likeness, members, similar_classes
+from .segments import EDITS, edit_join
 
 EVALUATION, TRAINING = ("dev", "test"), "train"
 #: Copies of a shared key on the side without rows, against hot keys.
@@ -54,6 +55,15 @@ def text_overlaps(records: DataFrame, like: Likeness = TEXT) -> DataFrame:
     return known.join(train.unionByName(links).distinct(), "sid", "left_semi").select("record_idx").distinct()
 
 
+def edited_overlaps(records: DataFrame, edits: int = EDITS) -> DataFrame:
+    """(record_idx, distance): evaluation records whose text is at most `edits` edits from a training text, with the least distance. Blank texts are left out."""
+    split = outer_clean(F.col("split"))
+    rows = records.where(split.isin(*EVALUATION, TRAINING) & (outer_clean(F.col("text")) != "")).select("record_idx", "text", (split != TRAINING).alias("evaluated"))
+    pairs = edit_join(rows.where("evaluated"), rows.where("not evaluated"), edits=edits)
+    least = pairs.groupBy(F.col("evaluation").alias("h")).agg(F.min("distance").alias("distance"))
+    return rows.where("evaluated").select("record_idx", F.xxhash64("text").alias("h")).join(least, "h").select("record_idx", "distance")
+
+
 def overlaps(records: DataFrame) -> DataFrame:
     """(record_idx, overlap_kind): each way in which a dev or test record overlaps some training record.
 

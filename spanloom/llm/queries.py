@@ -62,6 +62,10 @@ def p5_report(spark: SparkSession, folder: str) -> DataFrame:
     return crosssplit.report(_table(spark, folder, "split_record"))
 
 
+def p5_edited(spark: SparkSession, folder: str) -> DataFrame:
+    return crosssplit.edited_overlaps(_table(spark, folder, "split_record"))
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode(_table(spark, folder, "documents"))
 
@@ -79,7 +83,7 @@ def p8_share(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_masked, p2_found, p2_groups, p3_found, p3_pieces, p3_windows, p4_found, p4_assigned, p5_found, p5_report, p6_ids, p7_packed, p8_found, p8_share)
+    f.__name__: f for f in (p1_found, p1_masked, p2_found, p2_groups, p3_found, p3_pieces, p3_windows, p4_found, p4_assigned, p5_found, p5_report, p5_edited, p6_ids, p7_packed, p8_found, p8_share)
 }
 
 _TRIM = "regexp_replace(lower({0}), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')"

@@ -11,7 +11,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from spanloom.llm import bagminhash, crosssplit, cutting, differencing, groups, neardup, packing, shared_spans, tokens
+from spanloom.llm import bagminhash, crosssplit, cutting, differencing, groups, neardup, packing, segments, shared_spans, tokens
 from spanloom.llm._chars import Joined, char_shingles, word_shingles
 
 SLOW = settings(max_examples=60, deadline=None, suppress_health_check=list(HealthCheck))
@@ -284,6 +284,43 @@ def test_overlaps(spark):
     assert crosssplit.overlaps(df.limit(0)).count() == 0
 
 
+def levenshtein(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+@SLOW
+@given(st.text("ab", max_size=12), st.text("ab", max_size=12), st.integers(0, 4))
+def test_banded_distance(a, b, most):
+    want = levenshtein(a, b)
+    assert segments.distance_within(a, b, most) == (want if want <= most else None)
+
+
+def test_segment_join(spark):
+    r = random.Random(5)
+
+    def edit(t):
+        t = list(t)
+        for _ in range(r.randint(0, 4)):
+            i = r.randrange(len(t) + 1)
+            t[i : i + r.randint(0, 1)] = r.choice(["", "x", "y"])
+        return "".join(t)
+
+    base = ["".join(r.choice("abcd🙂") for _ in range(r.randint(3, 40))) for _ in range(40)]
+    train, test = [edit(t) for t in base] + [None, ""], [edit(t) for t in base] + [base[0], None]
+    a, b = (spark.createDataFrame([(t,) for t in x], "text string") for x in (test, train))
+    from pyspark.sql import functions as F
+
+    h = {t: k for t, k in spark.createDataFrame([(t,) for t in {*train, *test} - {None}], "text string").select("text", F.xxhash64("text")).collect()}
+    want = {(h[x], h[y], levenshtein(x, y)) for x in test for y in train if x is not None and y is not None and levenshtein(x, y) <= 3}
+    assert {tuple(p) for p in segments.edit_join(a, b).collect()} == want
+
+
 # ---- shared spans
 
 
