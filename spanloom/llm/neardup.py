@@ -165,8 +165,9 @@ def near_duplicate_pairs(rows: DataFrame, key: str, text: str, like: Likeness) -
     """(key_a, key_b), key_a < key_b: all pairs of rows whose texts are at least as similar as the threshold, equal ones too.
 
     Null and blank texts, and those too short for a shingle, are in no pair. Rows with equal keys are one."""
-    member = cut(members(rows, key, text, like).select(F.col(key).alias("k"), "sid").distinct())
-    links = similar_classes(rows, text, like)
+    rows = rows.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    member = cut(members(rows, "k", "t", like).distinct())
+    links = similar_classes(rows, "t", like)
     one, two = member.toDF("key_a", "a"), member.toDF("key_b", "b")
     within = one.join(two, F.col("a") == F.col("b")).where("key_a < key_b").select("key_a", "key_b")
     across = links.join(one, "a").join(two, "b").select(F.least("key_a", "key_b").alias("key_a"), F.greatest("key_a", "key_b").alias("key_b"))
@@ -176,11 +177,12 @@ def near_duplicate_pairs(rows: DataFrame, key: str, text: str, like: Likeness) -
 def near_duplicate_groups(rows: DataFrame, key: str, text: str, like: Likeness) -> DataFrame:
     """(key, group_id, class_rows, links): for each row with shingles its group through links (its smallest class), how many rows have its very
     bag, and with how many other classes it is linked. Copies are never paired."""
-    member = cut(members(rows, key, text, like).distinct())
-    links = cut(similar_classes(rows, text, like).select("a", "b"))
+    rows = rows.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    member = cut(members(rows, "k", "t", like).distinct())
+    links = cut(similar_classes(rows, "t", like).select("a", "b"))
     ends = links.union(links.select("b", "a"))
     edge = F.xxhash64("a", "b")
     nodes = links.select(F.col("a").alias("node"), edge.alias("key")).union(links.select(F.col("b"), edge))
     group = components(nodes).toDF("sid", "group_id")
     sizes = member.groupBy("sid").agg(F.count(F.lit(1)).alias("class_rows")).join(ends.groupBy(F.col("a").alias("sid")).agg(F.count(F.lit(1)).alias("links")), "sid", "left").join(group, "sid", "left")
-    return member.join(sizes, "sid").select(key, F.coalesce("group_id", "sid").alias("group_id"), "class_rows", F.coalesce("links", F.lit(0)).alias("links"))
+    return member.join(sizes, "sid").select(F.col("k").alias(key), F.coalesce("group_id", "sid").alias("group_id"), "class_rows", F.coalesce("links", F.lit(0)).alias("links"))

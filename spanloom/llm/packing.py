@@ -23,11 +23,11 @@ def pack_sizes(sizes: DataFrame, key: str = "doc_id", size: str = "n_tokens", ca
     come out with piece_index 0, an empty range and a null container. Equal keys are separate items. An empty table gives none.
     Groups are by a hash of the row's number, so a hot key cannot fill one.
     """
-    items = cut(sizes.select(F.col(key), F.greatest(F.coalesce(F.col(size), F.lit(0)), F.lit(0)).cast("bigint").alias("n")))
+    items = cut(sizes.select(F.col(key).alias("item_key"), F.greatest(F.coalesce(F.col(size), F.lit(0)), F.lit(0)).cast("bigint").alias("n")))
     pieces = items.withColumn("row", F.monotonically_increasing_id()).select(
-        key, "row", "n", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("n") / capacity) - 1, F.lit(0)).cast("int"))).alias("piece_index")
+        "item_key", "row", "n", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("n") / capacity) - 1, F.lit(0)).cast("int"))).alias("piece_index")
     )
-    pieces = pieces.select(key, "row", "piece_index", (F.col("piece_index") * F.lit(capacity).cast("bigint")).alias("token_start"), F.least("n", (F.col("piece_index") + 1) * F.lit(capacity).cast("bigint")).alias("token_end"))
+    pieces = pieces.select("item_key", "row", "piece_index", (F.col("piece_index") * F.lit(capacity).cast("bigint")).alias("token_start"), F.least("n", (F.col("piece_index") + 1) * F.lit(capacity).cast("bigint")).alias("token_end"))
     count = items.agg(F.sum(F.greatest(F.ceil(F.col("n") / capacity), F.lit(1)))).first()[0] or 0
     groups = max(1, -(-int(count) // group_pieces))
     kind = sizes.schema[key].dataType.simpleString()
@@ -40,12 +40,12 @@ def pack_sizes(sizes: DataFrame, key: str = "doc_id", size: str = "n_tokens", ca
         container[used] = pack(n[used], capacity)
         ids = pd.array(container + int(group["pack_group"].iloc[0]) * (1 << 24), dtype="Int64")
         ids[container < 0] = pd.NA
-        out = group[[key, "piece_index", "token_start", "token_end"]].copy()
+        out = group[["item_key", "piece_index", "token_start", "token_end"]].copy()
         out["container_id"] = ids
         return out
 
     grouped = pieces.withColumn("pack_group", F.pmod(F.xxhash64("row", "piece_index"), F.lit(groups))).repartition(min(groups, 10_000), "pack_group")
-    return grouped.groupBy("pack_group").applyInPandas(run, f"`{key}` {kind}, piece_index int, token_start bigint, token_end bigint, container_id bigint")
+    return grouped.groupBy("pack_group").applyInPandas(run, f"item_key {kind}, piece_index int, token_start bigint, token_end bigint, container_id bigint").withColumnRenamed("item_key", key)
 
 
 def pack_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, ranks_path: str = BYTE_BPE_50K) -> DataFrame:

@@ -363,3 +363,14 @@ def test_shared_spans(spark, seed):
 def test_shared_spans_of_nothing(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert shared_spans.shared_spans(df).count() == 0
+
+
+def test_clashing_and_extra_columns(spark):
+    text = " ".join(WORDS * 4)
+    extra = "sid bigint, t string, n bigint, key bigint, doc bigint, h bigint, side boolean, mark bigint, ids bigint, text bigint, item_key bigint"
+    df = spark.createDataFrame([(i, text, 5, None, 1, 1, True, 1, None, 1, 1) for i in (1, 2)], extra)
+    assert [tuple(r) for r in neardup.near_duplicate_pairs(df, "sid", "t", neardup.TEXT).collect()] == [(1, 2)]
+    assert {r.sid: r.class_rows for r in neardup.near_duplicate_groups(df, "sid", "t", neardup.TEXT).collect()} == {1: 2, 2: 2}
+    assert packing.pack_sizes(df, "sid", "n").select("sid").count() == 2 and packing.pack_sizes(df, "item_key", "n").columns[0] == "item_key"
+    assert sorted(tuple(r) for r in shared_spans.shared_spans(df, "sid", "t").collect()) == [(1, 0, len(text)), (2, 0, len(text))]
+    assert tokens.encode(df, "sid", "t").count() == 2 and cutting.cut_texts(df, "sid", "t").count() == 0
