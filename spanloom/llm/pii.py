@@ -90,11 +90,20 @@ def _model(path: str) -> Model:
     return Model.load(path)
 
 
+PARTICLES = {"von", "van", "der", "den", "de", "del", "della", "di", "da", "du", "la", "le", "af", "av", "ter", "ten", "zu", "zur"}
+
+
+def one_case(name: str) -> bool:
+    """Whether a name has two parts at least besides particles, all of them capitalised or none."""
+    parts = [w for w in regex.split(r"[ ,.\-]+", name) if w and w.lower() not in PARTICLES]
+    return len(parts) > 1 and len({w[0].isupper() for w in parts}) == 1
+
+
 def settle(text: str, start: int, end: int, kind: str) -> tuple[int, int] | None:
     """The whole value of the kind that agrees best with text[start:end], None if nothing near has its form."""
     if kind not in ("phone", "address") and not (start and text[start - 1].isalnum()) and not (end < len(text) and (text[end].isalnum() or combining(text[end]))):
         for form in _forms()[kind]:
-            if form.fullmatch(text, start, end):
+            if form.fullmatch(text, start, end) and (kind != "name" or one_case(text[start:end])):
                 return start, end
     lo, hi = max(0, start - REACH), min(len(text), end + REACH)
     best, score = None, 0.34
@@ -104,7 +113,8 @@ def settle(text: str, start: int, end: int, kind: str) -> tuple[int, int] | None
             found = []
             at = max(lo, start - 14)
             while at < end and (m := form.search(text, at, hi)) and m.start() < end:
-                found.append(m)
+                if one_case(m[0]):
+                    found.append(m)
                 at = m.start() + 1
         else:
             found = form.finditer(text, lo, hi, overlapped=kind == "address")
