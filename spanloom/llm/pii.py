@@ -39,6 +39,7 @@ _STREET = rf"\d{{1,5}} (?:[NSEW]\. )?{_UP} {_UP}\.?"
 _UNIT = r"(?:(?i:apt|suite|unit|flat)\.? |# ?)\d{1,4}"
 _END = r"(?![\p{L}\p{M}\p{N}])"
 _START = r"(?<![\p{L}\p{N}])"
+_NSTART = _START + r"(?<!\p{L}['’-])"
 _AT = r"(?:@|%40| ?[\[({] ?(?i:at) ?[\])}] ?)"
 _DOT = r"(?:\.| ?[\[({] ?(?i:dot) ?[\])}] ?)"
 _LABEL = r"[\p{L}\p{N}](?:[\p{L}\p{M}\p{N}-]*[\p{L}\p{N}])?"
@@ -60,7 +61,7 @@ FORMS = {
         rf"{_START}{_STREET}(?:, {_UNIT})?", rf"{_START}{_UNIT},? {_STREET}", rf"{_START}\d{{1,4}}(?: (?:bis|ter))?,? \p{{Ll}}+ (?:(?:de la|de|du|des) )?{_UP}", rf"{_START}{_UP}(?: (?:de la|de|del|di|von))? {_UP} \d{{1,4}}[a-z]?",
         rf"{_START}(?!(?i:apt|suite|unit|flat) ){_UP} \d{{1,4}}[a-z]?",
     ],
-    "name": [rf"{_START}{_NAME}, {_NAME}", rf"{_START}\p{{L}}\.(?: ?\p{{L}}\.)? {_PARTICLE}{_NAME}", rf"{_START}{_NAME} (?:\p{{L}}\. )?{_PARTICLE}{_NAME}"],
+    "name": [rf"{_NSTART}{_NAME}, {_NAME}", rf"{_NSTART}\p{{L}}\.(?: ?\p{{L}}\.)? {_PARTICLE}{_NAME}", rf"{_NSTART}{_NAME} (?:\p{{L}}\. )?{_PARTICLE}{_NAME}"],
 }
 
 
@@ -99,9 +100,18 @@ def one_case(name: str) -> bool:
     return len(parts) > 1 and len({w[0].isupper() for w in parts}) == 1
 
 
+def _within_word(text: str, at: int, step: int) -> bool:
+    """Whether the character beside a span belongs to a word that the span cuts; a hyphen or apostrophe does where the word goes on behind it."""
+    if not 0 <= at < len(text):
+        return False
+    if text[at] in "-'’":
+        return 0 <= at + step < len(text) and text[at + step].isalnum()
+    return text[at].isalnum() or combining(text[at]) > 0
+
+
 def settle(text: str, start: int, end: int, kind: str) -> tuple[int, int] | None:
     """The whole value of the kind that agrees best with text[start:end], None if nothing near has its form."""
-    if kind not in ("phone", "address") and not (start and text[start - 1].isalnum()) and not (end < len(text) and (text[end].isalnum() or combining(text[end]))):
+    if kind not in ("phone", "address") and not _within_word(text, start - 1, -1) and not _within_word(text, end, 1):
         for form in _forms()[kind]:
             if form.fullmatch(text, start, end) and (kind != "name" or one_case(text[start:end])):
                 return start, end
