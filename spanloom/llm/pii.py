@@ -50,7 +50,7 @@ FORMS = {
     "email": [rf"(?<![\p{{L}}\p{{N}}._%+-])[\p{{L}}\p{{N}}](?:[\p{{L}}\p{{M}}\p{{N}}._+-]*[\p{{L}}\p{{N}}])?{_AT}{_LABEL}(?:{_DOT}{_LABEL})*{_DOT}\p{{L}}{{2,}}(?!\p{{L}})"],
     "phone": [
         rf"{_START}\(\d{{3}}\){_S}?\d{{3}}[-–. ]\d{{4}}", rf"{_START}\d{{3}}([-.–])\d{{3}}\1\d{{4}}", rf"\+\d{{10,14}}", rf"\+1{_S}\d{{3}}{_S}\d{{3}}{_S}\d{{4}}",
-        rf"\+\d{{2}}{_S}\d{{1,5}}(?:{_S}\d{{2,4}}){{1,3}}", rf"{_START}00\d{{2}}/\d{{1,4}}/\d{{6,9}}", rf"{_START}0\d{{4}}{_S}\d{{6}}", rf"{_START}0\d(?:{_S}\d{{2}}){{4}}",
+        rf"\+\d{{2,3}}{_S}\d{{1,5}}{_S}\d{{2,8}}(?:{_S}\d{{2,4}}){{0,2}}", rf"{_START}00\d{{2}}/\d{{1,4}}/\d{{6,9}}", rf"{_START}0\d{{4}}{_S}\d{{6}}", rf"{_START}0\d(?:{_S}\d{{2}}){{4}}",
         rf"{_START}\d{{3}}{_S}\d{{3}}{_S}\d{{4}}", r"\+1[-.]\d{3}[-.]\d{3}[-.]\d{4}",
     ],
     "id_number": [

@@ -1,4 +1,4 @@
-"""python -m spanloom.llm.train_pii SPLIT_RECORD_PARQUET OUT: trains the model of pii.py from labelled spans.
+"""python -m spanloom.llm.train_pii SPLIT_RECORD_PARQUET OUT [START]: trains the model of pii.py from labelled spans; with START that model goes on, in two shorter later rounds.
 
 Three rounds. The first learns from windows around the labelled spans that agree with a written form of their kind (the delivered annotation is partly wrong). As it is
 also incomplete, each model then searches the same texts, and the next round learns from both. The sample is bounded by MOST_RECORDS.
@@ -86,7 +86,7 @@ def _search(task: tuple[Model, list[str], float]) -> list:
     return pii.find(texts, m, bias=bias)
 
 
-def main(source: str, out: str) -> None:
+def main(source: str, out: str, start: str | None = None) -> None:
     import multiprocessing
 
     import pyarrow.parquet as pq
@@ -97,9 +97,10 @@ def main(source: str, out: str) -> None:
     cleaned = [clean(r["text"], r["entities"]) for r in rows]
     spans, doubts = [x[0] for x in cleaned], [x[1] for x in cleaned]
     tell(f"spans {sum(map(len, spans))}, doubts {sum(map(len, doubts))}")
-    m = Model.new(SIZE, 1)
-    train(m, *windows(texts, spans, doubts, 1.0, 1), 8, seed=1, tell=tell)
-    for turn, (epochs, bias) in enumerate(((5, 1.0), (9, 0.5)), 2):
+    m = Model.load(start) if start else Model.new(SIZE, 1)
+    if not start:
+        train(m, *windows(texts, spans, doubts, 1.0, 1), 8, seed=1, tell=tell)
+    for turn, (epochs, bias) in enumerate(((2, 1.0), (4, 0.5)) if start else ((5, 1.0), (9, 0.5)), 2):
         with multiprocessing.get_context("fork").Pool(7) as pool:
             found = [x for part in pool.map(_search, [(m, texts[i : i + 1500], bias) for i in range(0, len(texts), 1500)], chunksize=1) for x in part]
         found = supported(texts, spans, found)
@@ -111,4 +112,4 @@ def main(source: str, out: str) -> None:
 
 
 if __name__ == "__main__":
-    main(*sys.argv[1:3])
+    main(*sys.argv[1:4])

@@ -7,6 +7,7 @@ from itertools import product
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+import regex
 
 from spanloom.llm import pii, train_pii
 from spanloom.llm._chars import Joined
@@ -80,6 +81,13 @@ def test_settle(text, near, kind, want):
     assert (text[span[0] : span[1]] if span else None) == want
 
 
+@pytest.mark.parametrize("value", ["+49 30 23125 914", "+49 30 23125914", "+358 9 23125 914", "+44 7700 900 517", "+46 8 465 004 75"])
+def test_long_groups_of_a_phone_number(value):
+    text = f"cb#{value} lag=5"
+    assert pii.settle(text, 5, 12, "phone") == (3, 3 + len(value))
+    assert pii.settle(text, 3, 3 + len(value), "phone") == (3, 3 + len(value))
+
+
 def test_what_the_text_calls_else():
     for text, value in (("order reference 966-33-3834", "966-33-3834"), ("ticket X12832682 reopened", "X12832682"), ("release Abc Def rolled", "Abc Def"), ("rule 35 of Abc Lane policy", "35 of Abc")):
         a = text.index(value)
@@ -107,6 +115,17 @@ def test_held_out_recall(held_out):
         assert hit[kind] >= least * all_[kind], (kind, hit[kind], all_[kind])
 
 
+def test_recall_of_labels_themselves():
+    """Against the labelled spans, whether or not a form fits them: international numbers with a group of five digits."""
+    shape = regex.compile(r"\+\d\d \d\d \d{5} \d{3}")
+    rows = [r for r in pq.read_table("/root/testdata/sf0.01/split_record.parquet", columns=["text", "entities"]).to_pylist() if r["text"]]
+    want = [{(e["span_start"], e["span_end"], "phone") for e in r["entities"] or [] if e["label"] == "PHONE" and shape.fullmatch(r["text"][e["span_start"] or 0 : e["span_end"] or 0])} for r in rows]
+    some = [i for i, x in enumerate(want) if x]
+    found = pii.find([rows[i]["text"] for i in some], Model.load(pii.MODEL))
+    hit, all_ = sum(len(want[i] & set(own)) for i, own in zip(some, found, strict=True)), sum(map(len, want))
+    assert all_ > 40 and hit >= 0.95 * all_, (hit, all_)
+
+
 def test_mentions_and_masks(spark):
     text = "2035 WARN x[1] reply to ab.cd@efg.test bounced; ssn=000-12-3927\n"
     df = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "  "), (1, "x" * 9000), (5, "🙂 " + text)], "record_idx bigint, text string")
