@@ -61,7 +61,7 @@ FORMS = {
         rf"{_START}{_STREET}(?:, {_UNIT})?", rf"{_START}{_UNIT},? {_STREET}", rf"{_START}\d{{1,4}}(?: (?:bis|ter))?,? \p{{Ll}}+ (?:(?:de la|de|du|des) )?{_UP}", rf"{_START}{_UP}(?: (?:de la|de|del|di|von))? {_UP} \d{{1,4}}[a-z]?",
         rf"{_START}(?!(?i:apt|suite|unit|flat) ){_UP} \d{{1,4}}[a-z]?",
     ],
-    "name": [rf"{_NSTART}{_NAME}, {_NAME}", rf"{_NSTART}\p{{L}}\.(?: ?\p{{L}}\.)? {_PARTICLE}{_NAME}", rf"{_NSTART}{_NAME} (?:\p{{L}}\. )?{_PARTICLE}{_NAME}"],
+    "name": [rf"{_NSTART}{_PARTICLE}{_NAME}, {_NAME}", rf"{_NSTART}\p{{L}}\.(?: ?\p{{L}}\.)? {_PARTICLE}{_NAME}", rf"{_NSTART}{_NAME} (?:\p{{L}}\. )?{_PARTICLE}{_NAME}"],
 }
 
 

@@ -88,6 +88,13 @@ def test_long_groups_of_a_phone_number(value):
     assert pii.settle(text, 3, 3 + len(value), "phone") == (3, 3 + len(value))
 
 
+@pytest.mark.parametrize(("text", "name"), [("Mr. de Klaxrund, Shiplu insists", "de Klaxrund, Shiplu"), ("sier de von Wique, Begon clos", "von Wique, Begon"), ("met van der Abc, Xyz at", "van der Abc, Xyz"), ("sier de Abc, Xyz clos", "Abc, Xyz")])
+def test_a_particle_leads_the_family_name(text, name):
+    a = text.index(name)
+    for end in (a + len(name), a + len(name) - 2):
+        assert pii.settle(text, a, end, "name") == (a, a + len(name))
+
+
 def test_what_the_text_calls_else():
     for text, value in (("order reference 966-33-3834", "966-33-3834"), ("ticket X12832682 reopened", "X12832682"), ("release Abc Def rolled", "Abc Def"), ("rule 35 of Abc Lane policy", "35 of Abc")):
         a = text.index(value)
