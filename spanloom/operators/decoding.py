@@ -19,6 +19,12 @@ def tokens(windows: DataFrame) -> DataFrame:
     return w.select("record_idx", "window_index", "tok_idx", F.col("t.tok_start").alias("ts"), F.col("t.tok_end").alias("te")).where("te > ts")
 
 
+def record_tokens(windows: DataFrame) -> DataFrame:
+    """(record_idx, tok_idx, ts, te): the tokens of each record over all its windows, once each and numbered from 0 without gaps."""
+    t = tokens(windows).select("record_idx", "ts", "te").distinct()
+    return t.select("record_idx", (F.row_number().over(Window.partitionBy("record_idx").orderBy("ts", "te")) - 1).alias("tok_idx"), "ts", "te")
+
+
 def align_spans(spans: DataFrame, windows: DataFrame, records: DataFrame, most_adjusted: int = 3) -> DataFrame:
     """(record_idx, gold_idx, status, windows_seen): how each span meets the tokens of its record's windows.
 

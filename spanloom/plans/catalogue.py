@@ -406,8 +406,7 @@ def merge_statistics(t: Tables) -> DataFrame:
 
 @query()
 def overflow_windows(t: Tables) -> DataFrame:
-    first = decoding.tokens(t.align_window).where("window_index = 0").select("record_idx", "tok_idx", "ts", "te")
-    tagged = decoding.bio_tags(decoding.overflow_windows(first), t.gold)
+    tagged = decoding.bio_tags(decoding.overflow_windows(decoding.record_tokens(t.align_window)), t.gold)
     return tagged.groupBy("record_idx", "window_index").agg(F.count(F.lit(1)).alias("tokens"), F.count_if(F.col("tag").startswith("B-")).alias("begins"), F.count_if(F.col("tag") == "IGNORE").alias("ignored"))
 
 

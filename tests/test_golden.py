@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from spanloom.functions import text as X
 from spanloom.functions.metrics import harmonic_mean
 from spanloom.operators import conversion, corpus, decoding, evidence, gates, matching, outcomes, spans
+from spanloom.plans import catalogue
 from spanloom.schema import bio_dim, label_dim
 
 GOLD = "record_idx bigint, gold_idx int, s int, e int, label string"
@@ -186,3 +187,15 @@ def test_evidence(spark, tmp_path):
     want = have.withColumn("bytes", F.when(F.col("path").endswith("r.json"), 0).otherwise(F.col("bytes")).cast("bigint"))
     assert sorted(r.state for r in evidence.verify(want, have).collect()) == ["changed", "same", "same"]
     assert evidence.jsonl_sha256(spark.createDataFrame([(2, "b"), (1, "a")], "k int, t string"), "k", "t") == hashlib.sha256(b"a\nb\n").hexdigest()
+
+
+def test_overflow_windows_cut_the_whole_record(spark, tmp_path):
+    """A record delivered in two overlapping windows, the later one aligned twice: its whole token list is cut, and the span in its tail gets its tag."""
+    at = lambda lo, hi: [(i * 2, i * 2 + 2) for i in range(lo, hi)]
+    w = spark.createDataFrame([(1, 0, [*at(0, 384), (0, 0)], 1), (1, 1, at(256, 500), 2), (1, 1, at(256, 300), 1), (2, 0, at(0, 3), 1)], "record_idx bigint, window_index int, offset_mapping array<struct<tok_start:int,tok_end:int>>, aligned_at int")
+    assert [(r.record_idx, r.n, r.last, r.te) for r in decoding.record_tokens(w).groupBy("record_idx").agg(F.count("ts").alias("n"), F.max("tok_idx").alias("last"), F.max("te").alias("te")).orderBy("record_idx").collect()] == [(1, 500, 499, 1000), (2, 3, 2, 6)]
+    w.write.parquet(str(tmp_path / "align_window.parquet"))
+    r = spark.createDataFrame([(1, "x" * 1000, [(980, 984, "SSN")], "dev"), (2, "abcdef", [], "dev")], "record_idx bigint, text string, entities array<struct<span_start:int,span_end:int,label:string>>, split string")
+    r.write.parquet(str(tmp_path / "split_record.parquet"))
+    got = sorted(map(tuple, catalogue.QUERIES["overflow_windows"](spark, str(tmp_path)).collect()))
+    assert got == [(1, 0, 384, 0, 0), (1, 1, 244, 1, 0), (2, 0, 3, 0, 0)]
