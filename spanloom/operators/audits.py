@@ -37,18 +37,20 @@ def dataset_gates(records: DataFrame) -> DataFrame:
 
 
 def error_tags(errors: DataFrame, records: DataFrame, target: DataFrame, morphology: dict[str, str], subtypes: tuple[str, ...] = ()) -> DataFrame:
-    """errors(record_idx, s, e, gold_label, pred_label) with tags, in the order of TAGS: what about the targets that overlap an error may have led to it."""
-    t = target.select("record_idx", F.col("s").alias("t_s"), F.col("e").alias("t_e"), "expected_label", "category")
+    """errors(record_idx, gs, ge, ps, pe, gold_label, pred_label) with tags, in the order of TAGS: what about the targets that overlap an error, by its gold or its predicted span, may have led to it.
+    Missed spans have no predicted span, spurious ones no gold span; without such a target key and structure tell nothing."""
+    t = target.groupBy("record_idx").agg(F.collect_list(F.struct("s", "e", "expected_label", "category")).alias("targets"))
     looks = F.create_map(*[F.lit(x) for kv in morphology.items() for x in kv]) if morphology else F.create_map().cast("map<string,string>")
-    near = errors.join(t, "record_idx").where("s < t_e and t_s < e").select("record_idx", "s", "e", "pred_label", "expected_label", F.try_element_at(looks, F.col("category")).alias("look"))
-    harmless = F.col("expected_label").isin("O", "BUSINESS_ID")
-    flags = near.groupBy("record_idx", "s", "e", "pred_label").agg(
-        F.max(F.coalesce(harmless & (F.col("pred_label") == F.col("look")), F.lit(False))).alias("a"),
-        F.max(F.coalesce(~harmless & (F.col("expected_label") == F.col("look")) & F.col("pred_label").isin("BUSINESS_ID", "O"), F.lit(False))).alias("b"),
-    )
     m = records.select("record_idx", F.col("meta.text_format").alias("format"), F.col("meta.surface_style").alias("style"), F.transform("meta.entity_provenance", lambda v: F.upper(v["source_label"])).alias("sources"))
-    j = errors.join(flags, ["record_idx", "s", "e", "pred_label"], "left").join(m, "record_idx", "left")
-    yes = (F.col("a"), F.col("b"), F.arrays_overlap("sources", F.array(*map(F.lit, subtypes or ("",)))), F.col("style") == "abbreviated_key", F.col("format").isin(*STRUCTURED))
+    touches = lambda x, s, e: F.coalesce((F.col(s) < x["e"]) & (F.col(e) > x["s"]), F.lit(False))
+    near = F.filter("targets", lambda x: touches(x, "gs", "ge") | touches(x, "ps", "pe"))
+    j = errors.join(t, "record_idx", "left").join(m, "record_idx", "left").withColumn("near", near)
+    harmless = lambda x: x["expected_label"].isin("O", "BUSINESS_ID")
+    look = lambda x: F.try_element_at(looks, x["category"])
+    a = F.exists("near", lambda x: F.coalesce(harmless(x) & (F.col("pred_label") == look(x)), F.lit(False)))
+    b = F.exists("near", lambda x: F.coalesce(~harmless(x) & (x["expected_label"] == look(x)) & F.col("pred_label").isin("BUSINESS_ID", "O"), F.lit(False)))
+    some = F.size("near") > 0
+    yes = (a, b, some & F.arrays_overlap("sources", F.array(*map(F.lit, subtypes or ("",)))), some & (F.col("style") == "abbreviated_key"), some & F.col("format").isin(*STRUCTURED))
     tags = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(t)) for t, c in zip(TAGS, yes, strict=True)]))
     return j.select(*errors.columns, tags.alias("tags"))
 

@@ -541,7 +541,8 @@ def dataset_gates(t: Tables) -> DataFrame:
 @query()
 def error_tags(t: Tables) -> DataFrame:
     tax = matching.taxonomy(t.scored_gold, t.pred).where("category <> 'exact'")
-    placed = tax.join(t.pred.select("record_idx", "pred_idx", "s", "e"), ["record_idx", "pred_idx"]).select("record_idx", "s", "e", "gold_label", "pred_label")
+    gold, pred = t.scored_gold.select("record_idx", "gold_idx", F.col("s").alias("gs"), F.col("e").alias("ge")), t.pred.select("record_idx", "pred_idx", F.col("s").alias("ps"), F.col("e").alias("pe"))
+    placed = tax.join(gold, ["record_idx", "gold_idx"], "left").join(pred, ["record_idx", "pred_idx"], "left").select("record_idx", "category", "gs", "ge", "ps", "pe", "gold_label", "pred_label")
     look = {"ssn_vs_business": "SSN", "card_vs_transaction": "CREDIT_CARD_NUMBER", "account_vs_batch": "BANK_ACCOUNT_NUMBER", "phone_vs_ticket": "PHONE", "ip_vs_build": "IP_ADDRESS", "token_vs_trace": "AUTH_TOKEN"}
     return audits.error_tags(placed, t.split_record, outcomes.targets(t.split_record), look)
 
