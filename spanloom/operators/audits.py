@@ -27,7 +27,7 @@ def dataset_gates(records: DataFrame) -> DataFrame:
     repeated = lambda c: records.where(c.isNotNull()).groupBy(F.sha2(c, 256)).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     gates = [
         gate("span_faults", faults), gate("provenance_differs", spans.provenance_agreement(records).where("not same_set")), gate("target_offsets", target.where("not in_bounds")), gate("target_hashes", target.where("in_bounds and not hash_ok")),
-        gate("target_labels", target.where("in_bounds and not label_ok")), gate("repeated_texts", repeated(F.col("text"))), gate("repeated_ids", repeated(F.concat_ws("\0", F.col("meta.source"), F.col("meta.source_record_id")))),
+        gate("target_labels", target.where("in_bounds and not label_ok")), gate("repeated_texts", repeated(F.col("text"))), gate("repeated_ids", repeated(F.concat(F.coalesce("meta.source", F.lit("")), F.lit("\0"), "meta.source_record_id"))),
         *[gate(f"cross_split_{k}", shared.where(F.col("kind") == k)) for k in ("text", "source_record_id", "template_family", "value_sha256")],
     ]
     out = gates[0]

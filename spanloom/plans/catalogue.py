@@ -538,6 +538,11 @@ def dataset_gates(t: Tables) -> DataFrame:
     return audits.dataset_gates(t.split_record).where("gate in ('span_faults', 'repeated_texts') or gate like 'cross_split%'")
 
 
+@query()
+def all_dataset_gates(t: Tables) -> DataFrame:
+    return audits.dataset_gates(t.split_record)
+
+
 @query()
 def error_tags(t: Tables) -> DataFrame:
     tax = matching.taxonomy(t.scored_gold, t.pred).where("category <> 'exact'")

@@ -30,3 +30,38 @@ def test_error_tags_has_every_error(spark):
     tax = matching.taxonomy(t.scored_gold, t.pred).where("category <> 'exact'").groupBy("category").count().collect()
     got = catalogue.QUERIES["error_tags"](spark, FOLDER).groupBy("category").count().collect()
     assert "false_negative" in {r.category for r in got} and sorted(map(tuple, got)) == sorted(map(tuple, tax))
+
+
+def test_all_dataset_gates(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    table = pq.read_table(f"{FOLDER}/split_record.parquet")
+    pq.write_table(pa.concat_tables([table, table.slice(0, 5)]), tmp_path / "split_record.parquet")
+    rows = pq.read_table(tmp_path / "split_record.parquet").to_pylist()
+    want = dict.fromkeys(("provenance_differs", "target_offsets", "target_hashes", "target_labels", "repeated_ids"), 0)
+    ids: dict = {}
+    import hashlib
+
+    for r in rows:
+        m, text = r["meta"] or {}, r["text"]
+        spans = {(x["span_start"], x["span_end"], x["label"]) for x in r["entities"] or []}
+        want["provenance_differs"] += spans != {(x["span_start"], x["span_end"], x["label"]) for x in m.get("entity_provenance") or []}
+        if m.get("source_record_id") is not None:
+            k = (m.get("source") or "", m["source_record_id"])
+            ids[k] = ids.get(k, 0) + 1
+        for x in m.get("contrast_targets") or []:
+            s, e = x["span_start"], x["span_end"]
+            fits = text is not None and s is not None and e is not None and 0 <= s < e <= len(text)
+            want["target_offsets"] += not fits
+            if fits:
+                want["target_hashes"] += x["value_sha256"] is None or hashlib.sha256(text[s:e].encode()).hexdigest() != x["value_sha256"].lower()
+                if x["expected_label"] == "O":
+                    ok = r["entities"] is not None and not any(y["span_start"] < e and y["span_end"] > s for y in r["entities"] if y["span_start"] is not None and y["span_end"] is not None)
+                else:
+                    ok = (s, e, x["expected_label"]) in spans
+                want["target_labels"] += not ok
+    want["repeated_ids"] = sum(n > 1 for n in ids.values())
+    got = {r.gate: r.actual for r in catalogue.QUERIES["all_dataset_gates"](spark, str(tmp_path)).collect()}
+    assert len(got) == 11 and want["repeated_ids"] > 0
+    assert {k: got[k] for k in want} == want
