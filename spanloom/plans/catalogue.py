@@ -562,7 +562,7 @@ def accountlike_overmask(t: Tables) -> DataFrame:
 @query()
 def family_most_similar(t: Tables) -> DataFrame:
     f = t.family_spec.where("template_family is not null").select(F.col("template_family").alias("name"), F.regexp_replace("template_family", "_", " ").alias("template")).distinct()
-    return audits.most_similar(f, f)
+    return audits.greatest_similarities(f, f)
 
 
 @query("SELECT meta.source AS part, count(*) AS records, round(count(*) / CAST((SELECT count(*) FROM split_record) AS DOUBLE), 6) AS share FROM split_record GROUP BY 1")

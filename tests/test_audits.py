@@ -13,6 +13,23 @@ from spanloom.plans import catalogue
 FOLDER = "/root/testdata/sf0.001"
 
 
+def test_greatest_similarities_against_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(audits, "BLOCK", 7)
+    r = random.Random(5)
+    names = {f"n{i:02d}": " ".join(r.choice(["card", "cards", "key", "ip", "log", "login"]) for _ in range(r.randint(1, 5))) for i in range(40)} | {"z": "qqq www zzz"}
+    t = spark.createDataFrame(list(names.items()), "name string, template string")
+    got = {x.name: x for x in audits.greatest_similarities(t, t).collect()}
+    assert set(got) == set(names)
+    grams = {k: {tuple(v.split()[i : i + 3]) for i in range(len(v.split()) - 2)} for k, v in names.items()}
+    for k, v in names.items():
+        ratio = {o: SequenceMatcher(None, v, w, autojunk=False).ratio() for o, w in names.items() if o != k}
+        share = {o: len(grams[k] & grams[o]) / len(grams[k] | grams[o]) if grams[k] | grams[o] else 1.0 for o in names if o != k}
+        best, most = max(ratio.values()), max(share.values())
+        assert (got[k].ratio, got[k].ratio_other) == (pytest.approx(best, abs=1e-6), min(o for o in ratio if ratio[o] == best))
+        assert got[k].trigram == pytest.approx(most, abs=1e-6)
+        assert got[k].other == (min(o for o in share if share[o] == most) if most else None)
+
+
 def test_error_tags_of_missed_spans_and_gold_sides(spark):
     errors = [(1, 0, 4, None, None, "SSN", None), (1, 20, 30, 26, 34, "SSN", "BUSINESS_ID"), (1, None, None, 50, 54, None, "SSN"), (1, 60, 64, None, None, "SSN", None)]
     e = spark.createDataFrame(errors, "record_idx bigint, gs int, ge int, ps int, pe int, gold_label string, pred_label string")
