@@ -7,8 +7,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Spellings of languages.
-LANGUAGES = {"english": "en", "eng": "en", "spanish": "es", "swedish": "sv", "german": "de", "italian": "it", "french": "fr", "dutch": "nl"}
+# Spellings of languages; * stands for all.
+LANGUAGES = {
+    "*": "*", "all": "*", "any": "*", "eng": "en", "english": "en", "spa": "es", "spanish": "es", "swe": "sv", "swedish": "sv", "deu": "de", "ger": "de", "german": "de",
+    "ita": "it", "italian": "it", "fra": "fr", "fre": "fr", "france": "fr", "french": "fr", "nld": "nl", "dut": "nl", "dutch": "nl",
+}
 
 
 def strip(x: Column) -> Column:
@@ -88,8 +91,8 @@ def blank_spans(text: Column, spans: Column) -> Column:
 
 
 def token_trigrams(x: Column) -> Column:
-    """Distinct runs of three tokens [a-z0-9]+ of the lower-case text without placeholders."""
-    tokens = F.regexp_extract_all(F.regexp_replace(F.lower(x), "<placeholder>", " "), F.lit("([a-z0-9]+)"), F.lit(1))
+    """Distinct runs of three tokens [a-z0-9]+ of the skeleton of a text, without its placeholders."""
+    tokens = F.regexp_extract_all(F.regexp_replace(skeleton(x), "<placeholder>", " "), F.lit("([a-z0-9]+)"), F.lit(1))
     last = F.size(tokens) - 2
     return F.when(last >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.concat_ws(" ", F.slice(tokens, i, F.lit(3)))))).otherwise(F.array().cast("array<string>"))
 

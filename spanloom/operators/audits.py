@@ -14,9 +14,11 @@ from ..functions.metrics import r6, ratio
 from ..functions.text import jaccard, sequence_ratio, token_trigrams
 from . import corpus, outcomes, spans
 
-# The order in which tags of an error are told, formats and styles that are structured.
-TAGS = ("morphology-over-context", "context-over-morphology", "unseen-business-subtype", "ambiguous-key", "structured-field-confusion")
+# The order in which tags of an error are told; subtypes of business ids that were not seen in training; formats and styles that are structured.
+TAGS = ("morphology-over-context", "context-over-morphology", "ambiguous-key", "unseen-business-subtype", "structured-field-confusion")
+UNSEEN = ("ORDER_ID", "CASE_ID", "TICKET_ID", "INVOICE_ID", "REFERENCE_ID", "REQUEST_ID", "WORKFLOW_ID")
 STRUCTURED = ("json", "key_value")
+STRUCTURED_STYLES = ("abbreviated_key", "json_flat", "json_nested", "key_colon", "key_equals", "structured_audit")
 
 
 def gate(name: str, rows: DataFrame, expected: int = 0) -> DataFrame:
@@ -41,21 +43,29 @@ def dataset_gates(records: DataFrame) -> DataFrame:
     return out
 
 
-def error_tags(errors: DataFrame, records: DataFrame, target: DataFrame, morphology: dict[str, str], subtypes: tuple[str, ...] = ()) -> DataFrame:
+def error_tags(errors: DataFrame, records: DataFrame, target: DataFrame, morphology: dict[str, str]) -> DataFrame:
     """errors(record_idx, gs, ge, ps, pe, gold_label, pred_label) with tags, in the order of TAGS: what about the targets that overlap an error, by its gold or its predicted span, may have led to it.
-    Missed spans have no predicted span, spurious ones no gold span; without such a target key and structure tell nothing."""
-    t = target.groupBy("record_idx").agg(F.collect_list(F.struct("s", "e", "expected_label", "category")).alias("targets"))
+
+    target has category and, where known, subtype (of a business id); morphology: the label that a category's values look like. Missed spans have no predicted span, spurious ones no gold span;
+    an error that no target overlaps has no tags. The field ambiguous_key of meta counts where there is one."""
+    t = target if "subtype" in target.columns else target.withColumn("subtype", F.lit(None).cast("string"))
+    t = t.groupBy("record_idx").agg(F.collect_list(F.struct("s", "e", "expected_label", "category", "subtype")).alias("targets"))
     looks = F.create_map(*[F.lit(x) for kv in morphology.items() for x in kv]) if morphology else F.create_map().cast("map<string,string>")
-    m = records.select("record_idx", F.col("meta.text_format").alias("format"), F.col("meta.surface_style").alias("style"), F.transform("meta.entity_provenance", lambda v: F.upper(v["source_label"])).alias("sources"))
+    told = F.coalesce(F.col("meta.ambiguous_key"), F.lit(False)) if "ambiguous_key" in records.schema["meta"].dataType.fieldNames() else F.lit(False)
+    m = records.select("record_idx", F.col("meta.text_format").alias("format"), F.col("meta.surface_style").alias("style"), told.alias("told"))
     touches = lambda x, s, e: F.coalesce((F.col(s) < x["e"]) & (F.col(e) > x["s"]), F.lit(False))
     near = F.filter("targets", lambda x: touches(x, "gs", "ge") | touches(x, "ps", "pe"))
     j = errors.join(t, "record_idx", "left").join(m, "record_idx", "left").withColumn("near", near)
-    harmless = lambda x: x["expected_label"].isin("O", "BUSINESS_ID")
     look = lambda x: F.try_element_at(looks, x["category"])
-    a = F.exists("near", lambda x: F.coalesce(harmless(x) & (F.col("pred_label") == look(x)), F.lit(False)))
-    b = F.exists("near", lambda x: F.coalesce(~harmless(x) & (x["expected_label"] == look(x)) & F.col("pred_label").isin("BUSINESS_ID", "O"), F.lit(False)))
-    some = F.size("near") > 0
-    yes = (a, b, some & F.arrays_overlap("sources", F.array(*map(F.lit, subtypes or ("",)))), some & (F.col("style") == "abbreviated_key"), some & F.col("format").isin(*STRUCTURED))
+    some = lambda f: F.exists("near", lambda x: F.coalesce(f(x), F.lit(False)))
+    any_ = F.size("near") > 0
+    yes = (
+        some(lambda x: x["expected_label"].isin("O", "BUSINESS_ID") & (F.col("pred_label") == look(x))),
+        some(lambda x: (x["expected_label"] == look(x)) & (F.col("pred_label") == "BUSINESS_ID")),
+        any_ & (F.col("told") | F.coalesce(F.col("style") == "abbreviated_key", F.lit(False))),
+        some(lambda x: (x["expected_label"] == "BUSINESS_ID") & F.upper(x["subtype"]).isin(*UNSEEN)),
+        any_ & (F.coalesce(F.col("format").isin(*STRUCTURED), F.lit(False)) | F.coalesce(F.col("style").isin(*STRUCTURED_STYLES), F.lit(False))),
+    )
     tags = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(t)) for t, c in zip(TAGS, yes, strict=True)]))
     return j.select(*errors.columns, tags.alias("tags"))
 

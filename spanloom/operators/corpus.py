@@ -18,9 +18,10 @@ def signature(entities: Column) -> Column:
 def duplicate_texts(records: DataFrame) -> DataFrame:
     """(first_idx, copies, conflicts) of texts that stand in more than one record; conflicts differ from the first in their spans. Texts are grouped by SHA-256."""
     r = records.where("text is not null").select("record_idx", F.sha2("text", 256).alias("h"), signature(F.col("entities")).alias("sig"))
-    first = r.groupBy("h").agg(F.min(F.struct("record_idx", "sig")).alias("f"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    clash = r.join(first, "h").groupBy("h").agg(F.count_if(F.expr("sig <> f.sig")).alias("conflicts"))
-    return first.join(clash, "h").select(F.col("f.record_idx").alias("first_idx"), "copies", "conflicts")
+    # by text and spans first: a text that a third of all rows have costs a row a task and a row for each way in which it is annotated
+    ways = r.groupBy("h", "sig").agg(F.min("record_idx").alias("i"), F.count(F.lit(1)).alias("n"))
+    first = ways.groupBy("h").agg(F.min_by("sig", "i").alias("fs"), F.min("i").alias("first_idx"), F.sum("n").alias("copies"), F.collect_list(F.struct("sig", "n")).alias("w")).where("copies > 1")
+    return first.select("first_idx", "copies", F.expr("aggregate(w, 0L, (a, x) -> a + if(x.sig <> fs, x.n, 0L))").alias("conflicts"))
 
 
 def first_seen(records: DataFrame) -> DataFrame:
@@ -162,10 +163,22 @@ def seeded_order(rows: DataFrame, key: str, seed: int = 42) -> DataFrame:
     return rows.withColumn("place_key", stable_seed(F.lit(seed), F.col(key)))
 
 
-def is_kind(category: Column, disposition: Column, reason: Column, word: str) -> Column:
-    """Whether an excluded span is of a kind (deferred, health care): its category names it, its disposition begins with the word or its reason has it."""
+def is_kind(category: Column, disposition: Column, reason: Column, word: str, categories: tuple[str, ...]) -> Column:
+    """Whether an excluded span is of a kind (deferred, health care): its category is one of the kind's, its disposition begins with the word or its reason has it."""
     low = lambda c: F.coalesce(F.lower(F.trim(c)), F.lit(""))
-    return low(category).contains(word) | low(disposition).startswith(word) | low(reason).contains(word)
+    return low(category).isin(*categories) | low(disposition).startswith(word) | low(reason).contains(word)
+
+
+# Categories of excluded spans that are left for later, and of those that belong to health care.
+DEFERRED, HEALTHCARE = ("deferred", "deferred_ml_v1"), ("healthcare", "healthcare_extension")
+
+
+def is_deferred(category: Column, disposition: Column, reason: Column) -> Column:
+    return is_kind(category, disposition, reason, "defer", DEFERRED)
+
+
+def is_healthcare(category: Column, disposition: Column, reason: Column) -> Column:
+    return is_kind(category, disposition, reason, "healthcare", HEALTHCARE)
 
 
 def training_excluded(flag: Column, excluded: Column) -> Column:

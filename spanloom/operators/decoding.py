@@ -37,7 +37,9 @@ def align_spans(spans: DataFrame, windows: DataFrame, records: DataFrame, most_a
     hit = t.join(s, "record_idx").where("ts < e and s < te")
     shared = hit.groupBy("record_idx", "window_index", "tok_idx").agg(F.count(F.lit(1)).alias("n"))
     per = hit.join(shared, ["record_idx", "window_index", "tok_idx"]).groupBy("record_idx", "window_index", "gold_idx", "s", "e")
-    per = per.agg(F.min("ts").alias("a"), F.max("te").alias("b"), F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("ts", "te"))).alias("tt")).join(records.select("record_idx", "text"), "record_idx")
+    per = per.agg(F.min("ts").alias("a"), F.max("te").alias("b"), F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("ts", "te"))).alias("tt"))
+    # texts of records without windows never leave the scan's side of the shuffle
+    per = per.join(records.join(windows.select("record_idx").distinct(), "record_idx", "left_semi").select("record_idx", "text"), "record_idx")
     # white space between neighbouring tokens and before the first; anything else there is uncovered
     gaps = F.expr("aggregate(tt, struct(s as at, true as ok), (x, t) -> struct(greatest(x.at, t.te) as at, x.ok and (t.ts <= x.at or trim(regexp_replace(substring(text, x.at + 1, least(t.ts, e) - x.at), '\\\\s+', ' ')) = '') as ok))")
     per = per.withColumn("g", gaps).withColumn("whole", F.col("g.ok") & ((F.col("g.at") >= F.col("e")) | (F.trim(F.regexp_replace(F.expr("substring(text, g.at + 1, e - g.at)"), r"\s+", " ")) == "")))

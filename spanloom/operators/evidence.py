@@ -30,13 +30,23 @@ def fingerprint(entries: dict[str, str]) -> str:
 
 
 def jsonl_sha256(records: DataFrame, order: str, text: str) -> str:
-    """SHA-256 of the lines in order, each with its line end. Lines stream through the driver one partition at a time."""
+    """SHA-256 of the lines in order, each with its line end, as of a file. A hash of one file is made in order, so lines stream through the driver: meant for a file that is
+    written as one. lines_sha256 is for tables of any size."""
     h = hashlib.sha256()
     for row in records.orderBy(order).select(text).toLocalIterator():
         h.update(row[0].encode() + b"\n")
     return h.hexdigest()
 
 
+def lines_sha256(records: DataFrame, order: str, text: str) -> str:
+    """SHA-256 over a whole table in any order and partitioning, without the rows passing the driver: the sum modulo 2**256 of the SHA-256 of each (order, text), with the number of rows.
+    Equal tables have equal hashes; order must be unique for rows to keep their places."""
+    parts = [F.conv(F.substring(F.sha2(F.to_json(F.struct(order, text)), 256), 1 + 8 * i, 8), 16, 10).cast("decimal(38,0)") for i in range(8)]
+    row = records.agg(F.count(F.lit(1)).alias("n"), *[F.sum(p).alias(f"p{i}") for i, p in enumerate(parts)]).first()
+    total = sum(int(row[f"p{i}"] or 0) << (32 * (7 - i)) for i in range(8)) % (1 << 256)
+    return hashlib.sha256(f"{row.n}:{total:064x}".encode()).hexdigest()
+
+
 def _put(path: str, text: str, mode: str) -> None:
     with open(path, mode, encoding="utf-8") as out:
         out.write(text)

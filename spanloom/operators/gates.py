@@ -6,11 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Operators that a gate may name.
+OPERATORS = (">=", "<=", ">", "<", "==")
+
+
 def gate_operator(name: Column) -> Column:
-    """>= where the name has the word minimum or min, <= with maximum or max, = with neither, null (ambiguous) with both."""
-    words = F.split(name, "_")
+    """>= where the name, in lower case, has the word minimum or min, <= with maximum or max; with neither or both the gate must tell its operator, so that is an error."""
+    words = F.split(F.lower(name), "_")
     low, high = F.array_contains(words, "minimum") | F.array_contains(words, "min"), F.array_contains(words, "maximum") | F.array_contains(words, "max")
-    return F.when(low & high, None).when(low, ">=").when(high, "<=").otherwise("=")
+    return F.when(low == high, F.raise_error(F.concat(F.lit("gate must tell minimum, maximum or an operator: "), name))).when(low, ">=").otherwise("<=")
 
 
 def gate_metric(name: Column) -> Column:
@@ -18,15 +22,30 @@ def gate_metric(name: Column) -> Column:
     return F.regexp_replace(name, "_(minimum|maximum|min|max)$", "")
 
 
-def evaluate_gates(gates: DataFrame, metrics: DataFrame) -> DataFrame:
-    """(name, metric, operator, threshold, actual, passed) from gates(name, threshold) and metrics(metric, actual). A metric of the whole name comes before that of
-    the name without suffix; a missing or not finite one fails."""
-    g = gates.select("name", "threshold", gate_operator(F.col("name")).alias("operator"), gate_metric(F.col("name")).alias("short"))
-    full, cut = metrics.select(F.col("metric").alias("name"), F.col("actual").alias("x")), metrics.select(F.col("metric").alias("short"), F.col("actual").alias("y"))
-    j = g.join(full, "name", "left").join(cut, "short", "left").withColumn("metric", F.when(F.col("x").isNotNull(), F.col("name")).otherwise(F.col("short"))).withColumn("actual", F.coalesce("x", "y"))
-    ok = F.when(F.col("operator") == ">=", F.col("actual") >= F.col("threshold")).when(F.col("operator") == "<=", F.col("actual") <= F.col("threshold")).when(F.col("operator") == "=", F.col("actual") == F.col("threshold"))
-    finite = ~F.isnan("actual") & (F.abs("actual") < float("inf"))
-    return j.select("name", "metric", "operator", "threshold", "actual", F.coalesce(ok & finite, F.lit(False)).alias("passed"))
+def evaluate_gates(gates: DataFrame, metrics: DataFrame, lenient: bool = False) -> DataFrame:
+    """(name, metric, operator, threshold, actual, passed) from gates(name, threshold[, metric, operator, flag]) and metrics(metric, actual[, flag]).
+
+    metric and operator, where told, come before what the name tells. A metric of the gate's whole name comes before that of its metric. flag, a boolean on both sides, is compared instead of
+    numbers, with == only. A missing metric, an unknown operator and a number that is not finite are errors; lenient: a missing or not finite metric fails its gate instead."""
+    told = lambda c, kind: F.col(c).cast(kind) if c in gates.columns else F.lit(None).cast(kind)
+    known = lambda c, kind: F.col(c).cast(kind) if c in metrics.columns else F.lit(None).cast(kind)
+    wrong = lambda what: F.raise_error(F.concat(F.lit(f"{what}: "), F.col("name")))
+    g = gates.select("name", F.col("threshold").cast("double").alias("threshold"), told("flag", "boolean").alias("want"), F.coalesce(told("operator", "string"), gate_operator(F.col("name"))).alias("operator"), F.coalesce(told("metric", "string"), gate_metric(F.col("name"))).alias("short"))
+    m = metrics.select("metric", F.col("actual").cast("double").alias("actual"), known("flag", "boolean").alias("have"))
+    j = g.join(m.toDF("name", "x", "f"), "name", "left").join(m.toDF("short", "y", "h"), "short", "left")
+    whole, part = F.col("x").isNotNull() | F.col("f").isNotNull(), F.col("y").isNotNull() | F.col("h").isNotNull()
+    j = j.withColumns({"metric": F.when(whole, F.col("name")).otherwise(F.col("short")), "actual": F.when(whole, F.col("x")).otherwise(F.col("y")), "have": F.when(whole, F.col("f")).otherwise(F.col("h")), "there": whole | part})
+    flags = F.col("have").isNotNull() | F.col("want").isNotNull()
+    a, t = F.col("actual"), F.col("threshold")
+    finite = F.coalesce(~F.isnan(a) & (F.abs(a) < float("inf")), F.lit(False)) & F.coalesce(~F.isnan(t) & (F.abs(t) < float("inf")), F.lit(False))
+    passed = F.when(F.col("operator") == ">=", a >= t).when(F.col("operator") == "<=", a <= t).when(F.col("operator") == ">", a > t).when(F.col("operator") == "<", a < t).otherwise(a == t)
+    bad = F.lit(False) if lenient else None
+    out = (
+        F.when(~F.col("operator").isin(*OPERATORS), wrong("unsupported operator")).when(~F.col("there"), bad if lenient else wrong("no actual value"))
+        .when(flags & (F.col("operator") != "=="), wrong("boolean gates need =="))
+        .when(flags, F.coalesce(F.col("have") == F.col("want"), F.lit(False))).when(~finite, bad if lenient else wrong("values must be finite")).otherwise(passed)
+    )
+    return j.select("name", "metric", "operator", "threshold", "actual", out.cast("boolean").alias("passed"))
 
 
 def compare_metrics(a: DataFrame, b: DataFrame) -> DataFrame:

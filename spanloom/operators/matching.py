@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.metrics import prf, r6, ratio
@@ -40,30 +40,52 @@ def overlap_candidates(gold: DataFrame, pred: DataFrame) -> DataFrame:
     return both.withColumn("iou", iou)
 
 
+#: Of the array c in order, each pair unless one of its spans is taken.
+TAKE = "aggregate(c, slice(c, 1, 0), (a, x) -> if(exists(a, y -> y.gold_idx = x.gold_idx or y.pred_idx = x.pred_idx), a, concat(a, array(x))))"
+
+
 def greedy_pairs(candidates: DataFrame) -> DataFrame:
-    """candidates taken one to one in each record: by falling ratio, then gold_idx, then pred_idx, each unless one of its spans is taken."""
+    """candidates taken one to one in each record: by falling ratio, then falling gold_idx, then falling pred_idx, each unless one of its spans is taken."""
     pair = F.struct("iou", "gold_idx", "pred_idx", "gs", "ge", "gold_label", "ps", "pe", "pred_label", "confidence")
     ordered = F.sort_array(F.collect_list(pair), asc=False)
     per = candidates.groupBy("record_idx").agg(ordered.alias("c"))
-    kept = F.expr("aggregate(c, slice(c, 1, 0), (a, x) -> if(exists(a, y -> y.gold_idx = x.gold_idx or y.pred_idx = x.pred_idx), a, concat(a, array(x))))")
-    return per.select("record_idx", F.explode(kept).alias("m")).select("record_idx", "m.*")
+    return per.select("record_idx", F.explode(F.expr(TAKE)).alias("m")).select("record_idx", "m.*")
 
 
 def taxonomy(gold: DataFrame, pred: DataFrame) -> DataFrame:
-    """(record_idx, category, gold_idx, pred_idx, gold_label, pred_label, confidence): a row for each exact pair, each greedy pair, and each span left over."""
-    exact = exact_matches(gold, pred).select("record_idx", F.lit("exact").alias("category"), "gold_idx", "pred_idx", F.col("label").alias("gold_label"), F.col("label").alias("pred_label"), "confidence")
-    pairs = greedy_pairs(overlap_candidates(gold, pred))
-    kind = (
-        F.when(F.col("gold_label") != F.col("pred_label"), "wrong_class").when((F.col("ps") >= F.col("gs")) & (F.col("pe") <= F.col("ge")), "too_short")
-        .when((F.col("gs") >= F.col("ps")) & (F.col("ge") <= F.col("pe")), "too_long").otherwise("shifted")
+    """(record_idx, category, gold_idx, pred_idx, gold_label, pred_label, confidence): a row for each exact pair, each greedy pair, and each span left over.
+
+    One full outer join tells exact pairs and what is left of either side; the rest is done within a record, whose spans are few."""
+    g, p = numbered(gold, pred)
+    one, two = g.withColumn("g", F.lit(True)), p.withColumn("p", F.lit(True))
+    both = one.join(two, [*SIGN, "rn"], "full")
+    left = F.struct("gold_idx", F.col("s").alias("gs"), F.col("e").alias("ge"), F.col("label").alias("gold_label"))
+    right = F.struct("pred_idx", F.col("s").alias("ps"), F.col("e").alias("pe"), F.col("label").alias("pred_label"), "confidence")
+    each = F.struct("gold_idx", "pred_idx", "label", "confidence")
+    per = both.groupBy("record_idx").agg(
+        F.collect_list(F.when(F.col("g") & F.col("p"), each)).alias("exact"), F.collect_list(F.when(F.col("p").isNull(), left)).alias("missed"), F.collect_list(F.when(F.col("g").isNull(), right)).alias("more"),
     )
-    paired = pairs.select("record_idx", kind.alias("category"), "gold_idx", "pred_idx", "gold_label", "pred_label", "confidence")
-    g, p = unmatched(gold, pred)
-    missed = g.join(pairs.select("record_idx", "gold_idx"), ["record_idx", "gold_idx"], "left_anti")
-    missed = missed.select("record_idx", F.lit("false_negative").alias("category"), "gold_idx", F.lit(None).cast("int").alias("pred_idx"), F.col("label").alias("gold_label"), F.lit(None).cast("string").alias("pred_label"), F.lit(None).cast("double").alias("confidence"))
-    spurious = p.join(pairs.select("record_idx", "pred_idx"), ["record_idx", "pred_idx"], "left_anti")
-    spurious = spurious.select("record_idx", F.lit("false_positive").alias("category"), F.lit(None).cast("int").alias("gold_idx"), "pred_idx", F.lit(None).cast("string").alias("gold_label"), F.col("label").alias("pred_label"), "confidence")
-    return exact.unionByName(paired).unionByName(missed).unionByName(spurious)
+
+    def pair(x: Column, y: Column) -> Column:
+        iou = (F.least(x["ge"], y["pe"]) - F.greatest(x["gs"], y["ps"])) / (F.greatest(x["ge"], y["pe"]) - F.least(x["gs"], y["ps"]))
+        return F.struct(iou.alias("iou"), *[x[c].alias(c) for c in ("gold_idx",)], y["pred_idx"].alias("pred_idx"), *[x[c].alias(c) for c in ("gs", "ge", "gold_label")], *[y[c].alias(c) for c in ("ps", "pe", "pred_label", "confidence")])
+
+    overlap = lambda x: F.filter("more", lambda y: (x["gs"] < y["pe"]) & (y["ps"] < x["ge"]))
+    per = per.withColumn("c", F.sort_array(F.flatten(F.transform("missed", lambda x: F.transform(overlap(x), lambda y: pair(x, y)))), asc=False))
+    per = per.withColumn("c", F.expr(TAKE))
+    none = lambda kind: F.lit(None).cast(kind)
+    row = lambda category, gold_idx, pred_idx, gold_label, pred_label, confidence: F.struct(category.alias("category"), gold_idx.alias("gold_idx"), pred_idx.alias("pred_idx"), gold_label.alias("gold_label"), pred_label.alias("pred_label"), confidence.alias("confidence"))
+    kind = lambda x: (
+        F.when(x["gold_label"] != x["pred_label"], "wrong_class").when((x["ps"] >= x["gs"]) & (x["pe"] <= x["ge"]), "too_short")
+        .when((x["gs"] >= x["ps"]) & (x["ge"] <= x["pe"]), "too_long").otherwise("shifted")
+    )
+    rows = F.concat(
+        F.transform("exact", lambda x: row(F.lit("exact"), x["gold_idx"], x["pred_idx"], x["label"], x["label"], x["confidence"])),
+        F.transform("c", lambda x: row(kind(x), x["gold_idx"], x["pred_idx"], x["gold_label"], x["pred_label"], x["confidence"])),
+        F.transform(F.filter("missed", lambda x: ~F.exists("c", lambda y: y["gold_idx"] == x["gold_idx"])), lambda x: row(F.lit("false_negative"), x["gold_idx"], none("int"), x["gold_label"], none("string"), none("double"))),
+        F.transform(F.filter("more", lambda x: ~F.exists("c", lambda y: y["pred_idx"] == x["pred_idx"])), lambda x: row(F.lit("false_positive"), none("int"), x["pred_idx"], none("string"), x["pred_label"], x["confidence"])),
+    )
+    return per.select("record_idx", F.explode(rows).alias("m")).select("record_idx", "m.*")
 
 
 def confusion(tax: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.metrics import r6, ratio
+from ..schema import HIGH_RISK, LABELS
 
 
 def _pairs(gold: DataFrame, pred: DataFrame) -> DataFrame:
@@ -14,33 +15,39 @@ def _pairs(gold: DataFrame, pred: DataFrame) -> DataFrame:
     return g.join(p, "record_idx").where("gs < pe and ps < ge")
 
 
-def security_outcomes(gold: DataFrame, pred: DataFrame) -> DataFrame:
-    """(record_idx, gold_idx, pred_idx, gold_label, pred_label, outcome). Of the predictions that cover a gold span the first in order decides: exact, boundary_long (same
-    label) or safe_wrong_class; else the first that overlaps: partial; else miss. Predictions that were not chosen and overlap no gold span are overmasking."""
+def security_outcomes(gold: DataFrame, pred: DataFrame, labels: tuple[str, ...] = LABELS) -> DataFrame:
+    """(record_idx, gold_idx, pred_idx, gold_label, pred_label, outcome). Only labels of the ontology are masked, so spans of others have no outcome (a prediction that overlaps such a gold span is no overmasking). Of the predictions that cover a
+    gold span the first in order decides: exact, boundary_long (same label) or safe_wrong_class; else the first that overlaps: partial; else miss. Predictions that overlap no gold span are overmasking.
+
+    One full outer join gives pairs and lone spans; the one aggregation behind it has their keys."""
+    g = gold.select("record_idx", "gold_idx", F.col("s").alias("gs"), F.col("e").alias("ge"), F.col("label").alias("gold_label"))
+    p = pred.where(F.col("label").isin(*labels)).select(F.col("record_idx").alias("r"), "pred_idx", F.col("s").alias("ps"), F.col("e").alias("pe"), F.col("label").alias("pred_label"))
+    both = g.join(p, (g["record_idx"] == p["r"]) & (F.col("gs") < F.col("pe")) & (F.col("ps") < F.col("ge")), "full")
     covers = (F.col("ps") <= F.col("gs")) & (F.col("pe") >= F.col("ge"))
-    pick = F.struct("pred_idx", "ps", "pe", "pred_label")
-    best = _pairs(gold, pred).groupBy("record_idx", "gold_idx").agg(F.min(F.when(covers, pick)).alias("c"), F.min(pick).alias("o"))
-    g = gold.select("record_idx", "gold_idx", "s", "e", "label").join(best, ["record_idx", "gold_idx"], "left")
+    pick = F.when(F.col("pred_idx").isNotNull(), F.struct("pred_idx", "ps", "pe", "pred_label"))
+    lone = F.when(F.col("gold_idx").isNull(), F.struct("pred_idx", "ps", "pe", "pred_label"))
+    best = both.groupBy(F.coalesce("record_idx", "r").alias("record_idx"), "gold_idx", "gs", "ge", "gold_label", lone.alias("lone")).agg(F.min(F.when(covers, pick)).alias("c"), F.min(pick).alias("o"))
     outcome = (
-        F.when(F.col("c").isNotNull() & (F.col("c.pred_label") != F.col("label")), "safe_wrong_class").when((F.col("c.ps") == F.col("s")) & (F.col("c.pe") == F.col("e")), "exact")
-        .when(F.col("c").isNotNull(), "boundary_long").when(F.col("o").isNotNull(), "partial").otherwise("miss")
+        F.when(F.col("lone").isNotNull(), "overmasking").when(F.col("c").isNotNull() & (F.col("c.pred_label") != F.col("gold_label")), "safe_wrong_class")
+        .when((F.col("c.ps") == F.col("gs")) & (F.col("c.pe") == F.col("ge")), "exact").when(F.col("c").isNotNull(), "boundary_long").when(F.col("o").isNotNull(), "partial").otherwise("miss")
     )
-    chosen = F.coalesce("c", "o")
-    told = g.select("record_idx", "gold_idx", chosen["pred_idx"].alias("pred_idx"), F.col("label").alias("gold_label"), chosen["pred_label"].alias("pred_label"), outcome.alias("outcome"))
-    touched = _pairs(gold, pred).select("record_idx", "pred_idx")
-    over = pred.select("record_idx", "pred_idx", "label").join(touched, ["record_idx", "pred_idx"], "left_anti")
-    return told.unionByName(over.select("record_idx", F.lit(None).cast("int").alias("gold_idx"), "pred_idx", F.lit(None).cast("string").alias("gold_label"), F.col("label").alias("pred_label"), F.lit("overmasking").alias("outcome")))
+    chosen = F.coalesce("lone", "c", "o")
+    best = best.where(F.col("lone").isNotNull() | F.col("gold_label").isin(*labels))
+    return best.select("record_idx", "gold_idx", chosen["pred_idx"].alias("pred_idx"), "gold_label", chosen["pred_label"].alias("pred_label"), outcome.alias("outcome"))
 
 
 def masking_rates(outcomes: DataFrame, splits: DataFrame) -> DataFrame:
-    """(split, gold, misses, partials, wrong_class, overmasked, full_mask_recall, any_cover_recall) by split and, with a null split, over all; recall of nothing is 1."""
-    o = outcomes.join(splits.select("record_idx", "split"), "record_idx")
+    """(split, gold, misses, partials, wrong_class, overmasked, full_mask_recall, any_cover_recall, high_risk_gold, high_risk_full_mask, high_risk_misses, high_risk_partials, high_risk_full_mask_recall)
+    by split and, with a null split, over all; recall of nothing is 1."""
+    o = outcomes.join(splits.select("record_idx", "split"), "record_idx").withColumn("risk", F.coalesce(F.col("gold_label").isin(*HIGH_RISK), F.lit(False)))
     is_ = lambda *x: F.count_if(F.col("outcome").isin(*x))
-    gold = F.count("gold_idx")
-    full, cover = is_("exact", "boundary_long", "safe_wrong_class"), is_("exact", "boundary_long", "safe_wrong_class", "partial")
+    risky = lambda *x: F.count_if(F.col("risk") & F.col("outcome").isin(*x))
+    masked = ("exact", "boundary_long", "safe_wrong_class")
+    gold, risk = F.count("gold_idx"), F.count_if("risk")
     return o.rollup("split").agg(
         gold.alias("gold"), is_("miss").alias("misses"), is_("partial").alias("partials"), is_("safe_wrong_class").alias("wrong_class"), is_("overmasking").alias("overmasked"),
-        r6(ratio(full, gold, 1.0)).alias("full_mask_recall"), r6(ratio(cover, gold, 1.0)).alias("any_cover_recall"),
+        r6(ratio(is_(*masked), gold, 1.0)).alias("full_mask_recall"), r6(ratio(is_(*masked, "partial"), gold, 1.0)).alias("any_cover_recall"),
+        risk.alias("high_risk_gold"), risky(*masked).alias("high_risk_full_mask"), risky("miss").alias("high_risk_misses"), risky("partial").alias("high_risk_partials"), r6(ratio(risky(*masked), risk, 1.0)).alias("high_risk_full_mask_recall"),
     )
 
 

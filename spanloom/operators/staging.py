@@ -9,10 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The folder of spark.checkpoint.dir; one of our own only where the session names none, as in tests."""
+    """The folder of spark.checkpoint.dir. Where the session names none, one of our own in local mode only, as in tests: on a cluster a folder of one machine
+    would be lost with it, so that is an error."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "spanloom-checkpoints"))
+    if sc.getCheckpointDir() is not None:
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        folder = os.path.join(tempfile.gettempdir(), "spanloom-checkpoints")
+    sc.setCheckpointDir(folder)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -21,12 +28,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-#: Inputs whose files have at most this size are spread over all cores before work in Python; larger ones come in enough parts.
+#: Inputs of at most this size are spread over all cores before work in Python; larger ones come in enough parts.
 SMALL_BYTES = 32 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df in at least as many parts as there are cores, where it is small: a file of one row group is one task else. The rows are the same."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    """df in at least as many parts as there are cores, where it is small: a file of one row group is one task else. The rows are the same, and so is what operators make
+    of them, which depends on no partitioning. A session that tells no size (a remote one) leaves df as it is."""
+    plan = getattr(df, "_jdf", None)
+    if plan is None:
+        return df
+    leaves = plan.queryExecution().optimizedPlan().collectLeaves()
     size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SMALL_BYTES else df

@@ -158,9 +158,17 @@ def span_dispositions(t: Tables) -> DataFrame:
     return d.groupBy("disposition", "blocks").agg(F.count(F.lit(1)).alias("spans"))
 
 
-@query()
+_RANK = "CASE label " + " ".join(f"WHEN '{x}' THEN {i}" for i, x in enumerate(LABELS)) + " END"
+_RESOLVED = f"""{_GOLD}, d AS (SELECT *, row_number() OVER (PARTITION BY record_idx ORDER BY s - e, s, e, {_RANK}, label, f) AS k FROM (SELECT record_idx, s, e, label, count(*) AS members, min(gold_idx) AS f FROM allgold GROUP BY 1, 2, 3, 4) q),
+  walk(record_idx, k, taken, kept, hit) AS (SELECT DISTINCT record_idx, 0::BIGINT, []::STRUCT(s INT, e INT, label VARCHAR)[], false, NULL::STRUCT(s INT, e INT, label VARCHAR) FROM d
+    UNION ALL SELECT w.record_idx, d.k, CASE WHEN len(list_filter(taken, lambda y: y.s < d.e AND d.s < y.e)) = 0 THEN list_append(taken, {{'s': d.s, 'e': d.e, 'label': d.label}}) ELSE taken END,
+      len(list_filter(taken, lambda y: y.s < d.e AND d.s < y.e)) = 0, list_filter(taken, lambda y: y.s < d.e AND d.s < y.e)[1] FROM walk w JOIN d ON d.record_idx = w.record_idx AND d.k = w.k + 1),
+  resolved AS (SELECT d.record_idx, s, e, d.label, members, kept, hit.s AS conflict_s, hit.e AS conflict_e, hit.label AS conflict_label FROM d JOIN walk USING (record_idx, k))"""
+
+
+@query(f"WITH RECURSIVE {_RESOLVED} SELECT * FROM resolved")
 def overlap_resolution(t: Tables) -> DataFrame:
-    return conversion.resolve_overlaps(t.gold)
+    return conversion.resolve_overlaps(t.gold).select("record_idx", "s", "e", "label", "members", "kept", F.col("conflict.s").alias("conflict_s"), F.col("conflict.e").alias("conflict_e"), F.col("conflict.label").alias("conflict_label"))
 
 
 @query(f"""WITH {_GOLD} SELECT record_idx, s, e, label, count(*) AS members FROM allgold GROUP BY ALL""")
@@ -169,7 +177,8 @@ def collapsed_candidates(t: Tables) -> DataFrame:
 
 
 @query("""WITH x AS (SELECT split_part(replace(lower(regexp_replace(lang, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')), '_', '-'), '-', 1) AS l FROM documents)
-SELECT nullif(CASE l WHEN 'english' THEN 'en' WHEN 'eng' THEN 'en' WHEN 'spanish' THEN 'es' WHEN 'swedish' THEN 'sv' WHEN 'german' THEN 'de' WHEN 'italian' THEN 'it' WHEN 'french' THEN 'fr' WHEN 'dutch' THEN 'nl' ELSE l END, '') AS language, count(*) AS documents FROM x GROUP BY 1""")
+SELECT nullif(CASE WHEN l IN ('*', 'all', 'any') THEN '*' WHEN l IN ('eng', 'english') THEN 'en' WHEN l IN ('spa', 'spanish') THEN 'es' WHEN l IN ('swe', 'swedish') THEN 'sv' WHEN l IN ('deu', 'ger', 'german') THEN 'de' WHEN l IN ('ita', 'italian') THEN 'it'
+  WHEN l IN ('fra', 'fre', 'france', 'french') THEN 'fr' WHEN l IN ('nld', 'dut', 'dutch') THEN 'nl' ELSE l END, '') AS language, count(*) AS documents FROM x GROUP BY 1""")
 def language_filter_counts(t: Tables) -> DataFrame:
     return t.documents.groupBy(X.language(F.col("lang")).alias("language")).agg(F.count(F.lit(1)).alias("documents"))
 
@@ -273,12 +282,24 @@ def iou_overlap_candidates(t: Tables) -> DataFrame:
     return c.select("record_idx", F.col("gold_idx").cast("bigint").alias("gold_idx"), "pred_idx", "gold_label", "pred_label", M.r6(F.col("iou")).alias("iou"))
 
 
-@query()
+_TAX = f"""{_NUM}, cand AS (SELECT *, row_number() OVER (PARTITION BY record_idx ORDER BY iou DESC, gold_idx DESC, pred_idx DESC) AS k FROM (SELECT g.record_idx, g.gold_idx, p.pred_idx, g.s AS gs, g.e AS ge, g.label AS gl, p.s AS ps, p.e AS pe, p.label AS pl, p.confidence,
+    (least(g.e, p.e) - greatest(g.s, p.s)) / CAST(greatest(g.e, p.e) - least(g.s, p.s) AS DOUBLE) AS iou FROM ug g JOIN up p ON g.record_idx = p.record_idx AND g.s < p.e AND p.s < g.e) q),
+  walk(record_idx, k, golds, preds, taken) AS (SELECT DISTINCT record_idx, 0::BIGINT, []::BIGINT[], []::BIGINT[], false FROM cand
+    UNION ALL SELECT w.record_idx, c.k, CASE WHEN list_contains(golds, c.gold_idx) OR list_contains(preds, c.pred_idx) THEN golds ELSE list_append(golds, c.gold_idx) END,
+      CASE WHEN list_contains(golds, c.gold_idx) OR list_contains(preds, c.pred_idx) THEN preds ELSE list_append(preds, c.pred_idx) END, NOT (list_contains(golds, c.gold_idx) OR list_contains(preds, c.pred_idx)) FROM walk w JOIN cand c ON c.record_idx = w.record_idx AND c.k = w.k + 1),
+  pairs AS (SELECT c.* FROM cand c JOIN walk w USING (record_idx, k) WHERE w.taken),
+  tax AS (SELECT record_idx, 'exact' AS category, gold_idx, pred_idx, label AS gold_label, label AS pred_label, confidence FROM exact
+    UNION ALL SELECT record_idx, CASE WHEN gl <> pl THEN 'wrong_class' WHEN ps >= gs AND pe <= ge THEN 'too_short' WHEN gs >= ps AND ge <= pe THEN 'too_long' ELSE 'shifted' END, gold_idx, pred_idx, gl, pl, confidence FROM pairs
+    UNION ALL SELECT record_idx, 'false_negative', gold_idx, NULL, label, NULL, NULL FROM ug ANTI JOIN pairs USING (record_idx, gold_idx) UNION ALL SELECT record_idx, 'false_positive', NULL, pred_idx, NULL, label, confidence FROM up ANTI JOIN pairs USING (record_idx, pred_idx))"""
+
+
+@query(f"WITH RECURSIVE {_TAX} SELECT record_idx, category, gold_idx::INT AS gold_idx, pred_idx, gold_label, pred_label, confidence FROM tax")
 def greedy_match_taxonomy(t: Tables) -> DataFrame:
     return matching.taxonomy(t.scored_gold, t.pred)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_TAX} SELECT CASE WHEN category = 'false_positive' THEN '<SPURIOUS>' ELSE gold_label END AS gold_label, CASE WHEN category = 'false_negative' THEN '<MISSED>' WHEN category IN ('too_short', 'too_long', 'shifted') THEN '<BOUNDARY>' ELSE pred_label END AS pred_label,
+  count(*) AS n FROM tax GROUP BY 1, 2""")
 def confusion_cells(t: Tables) -> DataFrame:
     return matching.confusion(matching.taxonomy(t.scored_gold, t.pred))
 
@@ -317,10 +338,10 @@ def confidence_summary(t: Tables) -> DataFrame:
 
 
 _OVER = f"""{_GOLD}, {_PRED}, o AS (SELECT g.record_idx, gold_idx, g.s AS gs, g.e AS ge, g.label AS gl, pred_idx, p.s AS ps, p.e AS pe, p.label AS pl FROM gold g JOIN pred p ON g.record_idx = p.record_idx AND g.s < p.e AND p.s < g.e)"""
-_SEC = f"""{_OVER}, b AS (SELECT record_idx, gold_idx, arg_min({{'i': pred_idx, 's': ps, 'e': pe, 'l': pl}}, pred_idx) FILTER (ps <= gs AND pe >= ge) AS c, arg_min({{'i': pred_idx, 's': ps, 'e': pe, 'l': pl}}, pred_idx) AS o FROM o GROUP BY 1, 2),
+_SEC = f"""{_OVER}, b AS (SELECT record_idx, gold_idx, arg_min({{'i': pred_idx, 's': ps, 'e': pe, 'l': pl}}, pred_idx) FILTER (ps <= gs AND pe >= ge) AS c, arg_min({{'i': pred_idx, 's': ps, 'e': pe, 'l': pl}}, pred_idx) AS o FROM o WHERE pl IN {_in(LABELS)} GROUP BY 1, 2),
   sec AS (SELECT g.record_idx, g.gold_idx, coalesce(c.i, o.i) AS pred_idx, g.label AS gold_label, coalesce(c.l, o.l) AS pred_label, CASE WHEN c IS NOT NULL AND c.l <> g.label THEN 'safe_wrong_class' WHEN c.s = g.s AND c.e = g.e THEN 'exact' WHEN c IS NOT NULL THEN 'boundary_long' WHEN o IS NOT NULL THEN 'partial' ELSE 'miss' END AS outcome
     FROM gold g LEFT JOIN b USING (record_idx, gold_idx)
-    UNION ALL SELECT p.record_idx, NULL, p.pred_idx, NULL, p.label, 'overmasking' FROM pred p WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.record_idx = p.record_idx AND o.pred_idx = p.pred_idx))"""
+    UNION ALL SELECT p.record_idx, NULL, p.pred_idx, NULL, p.label, 'overmasking' FROM pred p WHERE p.label IN {_in(LABELS)} AND NOT EXISTS (SELECT 1 FROM o WHERE o.record_idx = p.record_idx AND o.pred_idx = p.pred_idx))"""
 
 
 @query(f"WITH {_SEC} SELECT * FROM sec")
@@ -330,8 +351,10 @@ def security_outcomes(t: Tables) -> DataFrame:
 
 @query(f"""WITH {_SEC} SELECT split, count(gold_idx) AS gold, count(*) FILTER (outcome = 'miss') AS misses, count(*) FILTER (outcome = 'partial') AS partials, count(*) FILTER (outcome = 'safe_wrong_class') AS wrong_class, count(*) FILTER (outcome = 'overmasking') AS overmasked,
   round(coalesce(count(*) FILTER (outcome IN ('exact', 'boundary_long', 'safe_wrong_class')) / nullif(count(gold_idx), 0)::DOUBLE, 1), 6) AS full_mask_recall,
-  round(coalesce(count(*) FILTER (outcome IN ('exact', 'boundary_long', 'safe_wrong_class', 'partial')) / nullif(count(gold_idx), 0)::DOUBLE, 1), 6) AS any_cover_recall
-FROM sec JOIN split_record USING (record_idx) GROUP BY ROLLUP (split)""")
+  round(coalesce(count(*) FILTER (outcome IN ('exact', 'boundary_long', 'safe_wrong_class', 'partial')) / nullif(count(gold_idx), 0)::DOUBLE, 1), 6) AS any_cover_recall,
+  count(*) FILTER (risk) AS high_risk_gold, count(*) FILTER (risk AND outcome IN ('exact', 'boundary_long', 'safe_wrong_class')) AS high_risk_full_mask, count(*) FILTER (risk AND outcome = 'miss') AS high_risk_misses, count(*) FILTER (risk AND outcome = 'partial') AS high_risk_partials,
+  round(coalesce(count(*) FILTER (risk AND outcome IN ('exact', 'boundary_long', 'safe_wrong_class')) / nullif(count(*) FILTER (risk), 0)::DOUBLE, 1), 6) AS high_risk_full_mask_recall
+FROM (SELECT *, coalesce(gold_label IN {_in(HIGH_RISK)}, false) AS risk FROM sec) q JOIN split_record USING (record_idx) GROUP BY ROLLUP (split)""")
 def full_mask_recall_rollup(t: Tables) -> DataFrame:
     return outcomes.masking_rates(outcomes.security_outcomes(t.scored_gold, t.pred), t.split_record)
 
@@ -505,10 +528,12 @@ _GATES = [("macro_f1_minimum", 0.9), ("micro_f1_minimum", 0.5), ("high_risk_f1_m
 SELECT name, gt.metric, operator, threshold, actual, coalesce(CASE operator WHEN '>=' THEN actual >= threshold ELSE actual <= threshold END, false) AS passed FROM gt LEFT JOIN m USING (metric)""")
 def named_gates(t: Tables) -> DataFrame:
     o = matching.overall(matching.label_counts(t.scored_gold, t.pred, t.label_spec)).select(F.concat("scope", F.lit("_f1")).alias("metric"), F.col("f1").alias("actual"))
-    return gates.evaluate_gates(t.spark.createDataFrame(_GATES, "name string, threshold double"), o)
+    return gates.evaluate_gates(t.spark.createDataFrame(_GATES, "name string, threshold double"), o, lenient=True)
 
 
-@query()
+@query("""WITH RECURSIVE st AS (SELECT label, pred_idx AS step, round(avg(confidence), 6) AS score FROM pred_span WHERE label IS NOT NULL GROUP BY 1, 2), o AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY step) AS k FROM st),
+  walk(label, k, best, best_score) AS (SELECT label, k, step::BIGINT, score FROM o WHERE k = 1 UNION ALL SELECT w.label, o.k, CASE WHEN o.score > w.best_score + 0.001 THEN o.step::BIGINT ELSE w.best END, CASE WHEN o.score > w.best_score + 0.001 THEN o.score ELSE w.best_score END FROM walk w JOIN o ON o.label = w.label AND o.k = w.k + 1)
+SELECT label, arg_max(best, k) AS best, arg_max(best_score, k) AS best_score FROM walk GROUP BY 1""")
 def best_checkpoint(t: Tables) -> DataFrame:
     steps = t.pred_span.groupBy(F.col("label"), (F.col("pred_idx")).alias("step")).agg(F.round(F.avg("confidence"), 6).alias("score"))
     return gates.best_step(steps.where("label is not null"), "label", "step", "score")
@@ -530,26 +555,40 @@ def ontology_contract(t: Tables) -> DataFrame:
 
 @query(f"""WITH {_RAW}, {_FACTS}, x AS (SELECT *, row_number() OVER (PARTITION BY record_idx, s, e, label ORDER BY gold_idx) AS nth, lag(e) OVER (PARTITION BY record_idx ORDER BY s NULLS LAST, e NULLS LAST, label NULLS LAST, gold_idx) AS p FROM raw),
   sh AS (SELECT kind, count(*) AS pairs FROM (SELECT DISTINCT a.kind, a.split AS x, b.split AS y FROM f a JOIN f b ON a.kind = b.kind AND a.value = b.value AND a.split < b.split) q GROUP BY 1),
+  tt AS (SELECT text, entities, t, coalesce(t.span_start >= 0 AND t.span_start < t.span_end AND t.span_end <= length(text), false) AS ok FROM (SELECT text, entities, unnest(meta.contrast_targets) AS t FROM split_record) q),
+  tg AS (SELECT ok, coalesce(ok AND sha256(substring(text, t.span_start + 1, t.span_end - t.span_start)) = lower(t.value_sha256), false) AS hash_ok, coalesce(CASE WHEN t.expected_label = 'O' THEN NOT (entities IS NULL AND NULL) AND len(list_filter(entities, lambda x: x.span_start < t.span_end AND x.span_end > t.span_start)) = 0
+    ELSE len(list_filter(entities, lambda x: x.span_start = t.span_start AND x.span_end = t.span_end AND x.label = t.expected_label)) > 0 END, false) AS label_ok FROM tt),
   o AS (SELECT 'span_faults' AS gate, count(*) FILTER (s IS NULL OR e IS NULL OR label IS NULL OR n IS NULL OR s < 0 OR s >= e OR e > n OR label NOT IN {_in(LABELS)} OR nth > 1 OR p > s) AS actual FROM x
     UNION ALL SELECT 'repeated_texts', count(*) FROM (SELECT text FROM split_record WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1) q
+    UNION ALL SELECT 'provenance_differs', count(*) FILTER (list_sort(list_distinct(a)) <> list_sort(list_distinct(b))) FROM (SELECT coalesce(list_transform(entities, lambda x: (x.span_start, x.span_end, x.label)::VARCHAR), []) AS a,
+      coalesce(list_transform(meta.entity_provenance, lambda x: (x.span_start, x.span_end, x.label)::VARCHAR), []) AS b FROM split_record) q
+    UNION ALL SELECT 'target_offsets', count(*) FILTER (NOT ok) FROM tg UNION ALL SELECT 'target_hashes', count(*) FILTER (ok AND NOT hash_ok) FROM tg UNION ALL SELECT 'target_labels', count(*) FILTER (ok AND NOT label_ok) FROM tg
+    UNION ALL SELECT 'repeated_ids', count(*) FROM (SELECT 1 FROM split_record WHERE meta.source_record_id IS NOT NULL GROUP BY coalesce(meta.source, ''), meta.source_record_id HAVING count(*) > 1) q
     UNION ALL SELECT 'cross_split_' || k, coalesce(pairs, 0) FROM (VALUES ('text'), ('source_record_id'), ('template_family'), ('value_sha256')) v(k) LEFT JOIN sh ON kind = k)
 SELECT gate, actual, 0::BIGINT AS expected, actual = 0 AS passed FROM o""")
 def dataset_gates(t: Tables) -> DataFrame:
-    return audits.dataset_gates(t.split_record).where("gate in ('span_faults', 'repeated_texts') or gate like 'cross_split%'")
+    return audits.dataset_gates(t.split_record)
 
 
-@query()
-def all_dataset_gates(t: Tables) -> DataFrame:
-    return audits.dataset_gates(t.split_record)
+_LOOKS = {"ssn_vs_order_reference": "SSN", "card_vs_transaction": "CREDIT_CARD_NUMBER", "account_vs_batch": "BANK_ACCOUNT_NUMBER", "phone_vs_ticket": "PHONE", "ip_vs_build": "IP_ADDRESS", "token_vs_trace": "AUTH_TOKEN"}
 
 
-@query()
+@query(f"""WITH RECURSIVE {_TAX}, sub AS (SELECT template_family AS f, min(business_id_subtype) AS subtype FROM family_spec GROUP BY 1), look(c, look) AS (VALUES {", ".join(f"('{k}', '{v}')" for k, v in _LOOKS.items())}),
+  er AS (SELECT row_number() OVER () AS id, x.record_idx, x.category, g.s AS gs, g.e AS ge, p.s AS ps, p.e AS pe, x.gold_label, x.pred_label FROM tax x LEFT JOIN gold g ON g.record_idx = x.record_idx AND g.gold_idx = x.gold_idx LEFT JOIN pred p ON p.record_idx = x.record_idx AND p.pred_idx = x.pred_idx WHERE x.category <> 'exact'),
+  tg AS (SELECT record_idx, t.span_start AS s, t.span_end AS e, t.expected_label AS x, look, subtype FROM (SELECT record_idx, meta.contrast_category AS c, meta.template_family AS f, unnest(meta.contrast_targets) AS t FROM split_record) q LEFT JOIN look USING (c) LEFT JOIN sub USING (f)
+    WHERE t.span_start >= 0 AND t.span_end > t.span_start AND trim(t.expected_label) <> ''),
+  fl AS (SELECT er.id, count(*) AS n, bool_or(x IN ('O', 'BUSINESS_ID') AND pred_label = look) AS a, bool_or(x = look AND pred_label = 'BUSINESS_ID') AS b, bool_or(x = 'BUSINESS_ID' AND upper(subtype) IN {_in(audits.UNSEEN)}) AS d
+    FROM er JOIN tg ON tg.record_idx = er.record_idx AND (coalesce(gs < tg.e AND ge > tg.s, false) OR coalesce(ps < tg.e AND pe > tg.s, false)) GROUP BY 1)
+SELECT er.record_idx, category, gs, ge, ps, pe, gold_label, pred_label, concat_ws(',', CASE WHEN a THEN 'morphology-over-context' END, CASE WHEN b THEN 'context-over-morphology' END, CASE WHEN n > 0 AND meta.surface_style = 'abbreviated_key' THEN 'ambiguous-key' END, CASE WHEN d THEN 'unseen-business-subtype' END,
+  CASE WHEN n > 0 AND (meta.text_format IN {_in(audits.STRUCTURED)} OR meta.surface_style IN {_in(audits.STRUCTURED_STYLES)}) THEN 'structured-field-confusion' END) AS tags FROM er LEFT JOIN fl USING (id) JOIN split_record r ON r.record_idx = er.record_idx""")
 def error_tags(t: Tables) -> DataFrame:
     tax = matching.taxonomy(t.scored_gold, t.pred).where("category <> 'exact'")
     gold, pred = t.scored_gold.select("record_idx", "gold_idx", F.col("s").alias("gs"), F.col("e").alias("ge")), t.pred.select("record_idx", "pred_idx", F.col("s").alias("ps"), F.col("e").alias("pe"))
     placed = tax.join(gold, ["record_idx", "gold_idx"], "left").join(pred, ["record_idx", "pred_idx"], "left").select("record_idx", "category", "gs", "ge", "ps", "pe", "gold_label", "pred_label")
-    look = {"ssn_vs_business": "SSN", "card_vs_transaction": "CREDIT_CARD_NUMBER", "account_vs_batch": "BANK_ACCOUNT_NUMBER", "phone_vs_ticket": "PHONE", "ip_vs_build": "IP_ADDRESS", "token_vs_trace": "AUTH_TOKEN"}
-    return audits.error_tags(placed, t.split_record, outcomes.targets(t.split_record), look)
+    subtypes = t.family_spec.groupBy("template_family").agg(F.min("business_id_subtype").alias("subtype"))
+    known = t.split_record.select("record_idx", F.col("meta.template_family").alias("template_family")).join(subtypes, "template_family").select("record_idx", "subtype")
+    tagged = audits.error_tags(placed, t.split_record, outcomes.targets(t.split_record).join(known, "record_idx", "left"), _LOOKS)
+    return tagged.withColumn("tags", F.array_join("tags", ","))
 
 
 @query(f"""WITH {_OVER} SELECT count(*) AS predictions, count(DISTINCT record_idx) AS records FROM pred p WHERE label = 'BUSINESS_ID' AND record_idx IN (SELECT record_idx FROM split_record WHERE meta.template_family LIKE 'account%')

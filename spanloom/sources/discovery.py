@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 # Names by which the parts of a record go, in order of preference.
 CANDIDATES = {
-    "text": ("text", "generated_text", "source_text", "content", "document", "message"),
-    "spans": ("spans", "entities", "pii_spans", "privacy_mask", "labels", "span_labels"),
+    "text": ("generated_text", "text", "document", "content", "message", "sample"),
+    "spans": ("pii_spans", "entities", "annotations", "pii", "entity_list", "labels"),
     "language": ("language", "lang", "locale"),
     "record_id": ("index", "id", "record_id", "level_0"),
 }
@@ -60,6 +60,6 @@ def load(spark: SparkSession, path: str, languages: tuple[str, ...] | None = Non
         (F.col(f"`{found['record_id']}`").cast("string") if found["record_id"] else F.sha2(F.col(f"`{found['text']}`"), 256)).alias("record_id"), F.col(f"`{found['text']}`").alias("text"), raw.alias("raw_spans"),
         (language(F.col(f"`{found['language']}`")) if found["language"] else F.lit(None).cast("string")).alias("language"),
     )
-    if languages:
+    if languages and "*" not in languages:
         out = out.where(F.col("language").isin(*languages))
     return out.orderBy("record_id").limit(most) if most is not None else out

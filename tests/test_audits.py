@@ -33,11 +33,11 @@ def test_greatest_similarities_against_all_pairs(spark, monkeypatch):
 def test_error_tags_of_missed_spans_and_gold_sides(spark):
     errors = [(1, 0, 4, None, None, "SSN", None), (1, 20, 30, 26, 34, "SSN", "BUSINESS_ID"), (1, None, None, 50, 54, None, "SSN"), (1, 60, 64, None, None, "SSN", None)]
     e = spark.createDataFrame(errors, "record_idx bigint, gs int, ge int, ps int, pe int, gold_label string, pred_label string")
-    target = spark.createDataFrame([(1, 2, 6, "SSN", "ssn"), (1, 18, 22, "SSN", "ssn"), (1, 50, 54, "O", "ssn")], "record_idx bigint, s int, e int, expected_label string, category string")
+    target = spark.createDataFrame([(1, 2, 6, "BUSINESS_ID", "ssn", "case_id"), (1, 18, 22, "SSN", "ssn", None), (1, 50, 54, "O", "ssn", None)], "record_idx bigint, s int, e int, expected_label string, category string, subtype string")
     m = spark.createDataFrame([(1, ("json", "abbreviated_key", None))], "record_idx bigint, meta struct<text_format:string,surface_style:string,entity_provenance:array<struct<source_label:string>>>")
     got = {(x.gs, x.ps): x.tags for x in audits.error_tags(e, m, target, {"ssn": "SSN"}).collect()}
     both = ["ambiguous-key", "structured-field-confusion"]
-    assert got == {(0, None): both, (20, 26): ["context-over-morphology", *both], (None, 50): ["morphology-over-context", *both], (60, None): []}
+    assert got == {(0, None): ["ambiguous-key", "unseen-business-subtype", "structured-field-confusion"], (20, 26): ["context-over-morphology", *both], (None, 50): ["morphology-over-context", *both], (60, None): []}
 
 
 def test_error_tags_has_every_error(spark):
@@ -49,7 +49,7 @@ def test_error_tags_has_every_error(spark):
     assert "false_negative" in {r.category for r in got} and sorted(map(tuple, got)) == sorted(map(tuple, tax))
 
 
-def test_all_dataset_gates(spark, tmp_path):
+def test_dataset_gates_by_brute_force(spark, tmp_path):
     import pyarrow as pa
     import pyarrow.parquet as pq
 
@@ -79,6 +79,6 @@ def test_all_dataset_gates(spark, tmp_path):
                     ok = (s, e, x["expected_label"]) in spans
                 want["target_labels"] += not ok
     want["repeated_ids"] = sum(n > 1 for n in ids.values())
-    got = {r.gate: r.actual for r in catalogue.QUERIES["all_dataset_gates"](spark, str(tmp_path)).collect()}
+    got = {r.gate: r.actual for r in catalogue.QUERIES["dataset_gates"](spark, str(tmp_path)).collect()}
     assert len(got) == 11 and want["repeated_ids"] > 0
     assert {k: got[k] for k in want} == want

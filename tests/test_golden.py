@@ -97,9 +97,15 @@ def test_security_outcomes(spark):
 
 
 def test_gates(spark):
-    g = spark.createDataFrame([("macro_f1_minimum", 0.9), ("record_error_rate_maximum", 0.05), ("exact_revision", 1.0), ("minimum_individual_label_recall", 0.5), ("odd_min_max", 1.0)], "name string, threshold double")
-    m = spark.createDataFrame([("macro_f1", 0.91), ("record_error_rate", 0.08), ("exact_revision", 1.0), ("minimum_individual_label_recall", 0.6), ("odd", 1.0)], "metric string, actual double")
-    assert {r.name: r.passed for r in gates.evaluate_gates(g, m).collect()} == {"macro_f1_minimum": True, "record_error_rate_maximum": False, "exact_revision": True, "minimum_individual_label_recall": True, "odd_min_max": False}
+    kind = "name string, threshold double, metric string, operator string, flag boolean"
+    rows = [("macro_f1_MINIMUM", 0.9, "macro_f1", None, None), ("record_error_rate_maximum", 0.05, None, None, None), ("revision", 1.0, None, "==", None), ("minimum_individual_label_recall", 0.5, None, None, None), ("strict", 0.9, "macro_f1", ">", None), ("frozen", None, None, "==", True)]
+    m = spark.createDataFrame([("macro_f1", 0.91, None), ("record_error_rate", 0.08, None), ("revision", 1.0, None), ("minimum_individual_label_recall", 0.6, None), ("frozen", None, True)], "metric string, actual double, flag boolean")
+    got = {r.name: r.passed for r in gates.evaluate_gates(spark.createDataFrame(rows, kind), m).collect()}
+    assert got == {"macro_f1_MINIMUM": True, "record_error_rate_maximum": False, "revision": True, "minimum_individual_label_recall": True, "strict": True, "frozen": True}
+    for bad in (("odd_min_max", 1.0, None, None, None), ("macro_f1", 1.0, None, None, None), ("absent_min", 1.0, None, None, None), ("macro_f1_min", 1.0, None, "~", None), ("macro_f1_min", float("nan"), None, None, None), ("frozen_min", None, "frozen", None, True)):
+        with pytest.raises(Exception, match="gate|actual value|unsupported|finite"):
+            gates.evaluate_gates(spark.createDataFrame([bad], kind), m).collect()
+    assert not gates.evaluate_gates(spark.createDataFrame([("absent_min", 1.0)], "name string, threshold double"), m, lenient=True).first().passed
 
 
 def test_best_step_needs_the_margin(spark):
