@@ -1,6 +1,7 @@
 """Character-level bidirectional LSTM with CRF transitions, in numpy.
 
-Gates are piecewise linear (clipped), so a step is a table look-up, one product and a few clips. All windows of a batch, and both directions, go in lockstep.
+Gates are piecewise linear (clipped), so a step is a table look-up, one product and a few clips. All lanes of a batch, and both directions, go in lockstep.
+Symbol 0, the end of a text, closes every gate: state and cell are zero behind it in both directions, so what a text gets does not depend on its neighbours.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from ._chars import TABLE_END
 KINDS = ("email", "phone", "id_number", "address", "name")
 #: Tag 0 is outside; of kind i, 1 + 2 i begins a mention and 2 + 2 i goes on with it.
 TAGS = 1 + 2 * len(KINDS)
+#: What symbol 0 adds to the gates for input, memory and output: they are shut whatever the state was.
+SHUT = -100.0
 #: Symbols: 0 padding and text ends, 1 line ends, 2..96 ASCII from the blank on, then classes of the rest.
 OTHERS = {"Ll": 97, "Lu": 98, "Lo": 99, "Lm": 99, "Lt": 98, "Nd": 100, "Pd": 101, "Zs": 2, "Mn": 102, "Mc": 102, "Cf": 103, "Pi": 105, "Pf": 105}
 SYMBOLS = 106
@@ -39,8 +42,9 @@ class Model:
     NAMES = ("x", "u", "o", "b", "t")
 
     def __init__(self, **parts: np.ndarray):
-        self.__dict__.update({k: np.ascontiguousarray(parts[k], np.float32) for k in self.NAMES})
+        self.__dict__.update({k: np.array(parts[k], np.float32, order="C") for k in self.NAMES})
         self.size = self.u.shape[1]
+        self.x[:, 0, : 3 * self.size] = SHUT
 
     @classmethod
     def new(cls, size: int, seed: int) -> Model:
@@ -116,12 +120,30 @@ def allowed() -> np.ndarray:
     return ok
 
 
-def viterbi(emissions: np.ndarray, lengths: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """Best tags (windows, steps) of sequences that begin and end outside."""
+def clear_margins(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(margin, entry) of the tags (outside has none): where "outside" scores higher than each tag by more than the tag's margin, the best path goes outside there, unless
+    it goes on inside a mention at the next position.
+
+    Whatever came before, a tag's best path to a position exceeds that of "outside" by at most its score over that of "outside" and the most that a step into
+    the tag is better than a step outside from the same tag (entry). What follows, outside or a new mention, adds at most the greatest difference of the steps to it."""
+    ok = allowed()
+    entry = np.where(ok, t - t[:, :1], -np.inf).max(0)
+    after = (t - t[:1])[:, [0, *range(1, TAGS, 2)]].max(1)
+    return (entry + after)[1:], entry[1:]
+
+
+def viterbi(emissions: np.ndarray, lengths: np.ndarray, t: np.ndarray, first: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Best tags (windows, steps) of sequences that end outside, and the tag each comes from. first: scores (windows, tags) of the tags before, 0 for outside; without it all come from outside."""
     n, steps, tags = emissions.shape
     back = np.empty((steps, n, tags), np.int8)
-    score = emissions[:, 0] + t[0]
-    score[:, 2::2] -= 30
+    if first is None:
+        score = emissions[:, 0] + t[0]
+        score[:, 2::2] -= 30
+        back[0] = 0
+    else:
+        every = first[:, :, None] + t
+        back[0] = every.argmax(1)
+        score = every.max(1) + emissions[:, 0]
     final = np.empty((n, tags), np.float32)
     final[lengths == 1] = score[lengths == 1]
     for s in range(1, steps):
@@ -136,9 +158,8 @@ def viterbi(emissions: np.ndarray, lengths: np.ndarray, t: np.ndarray) -> np.nda
     for s in range(steps - 1, -1, -1):
         live = lengths > s
         out[live, s] = tag[live]
-        if s:
-            tag = np.where(live, back[s][np.arange(n), tag], tag)
-    return out
+        tag = np.where(live, back[s][np.arange(n), tag], tag)
+    return out, tag
 
 
 def gradients(m: Model, symbols: np.ndarray, tags: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
@@ -193,11 +214,13 @@ def gradients(m: Model, symbols: np.ndarray, tags: np.ndarray) -> tuple[float, d
         open_ = (act > 0) & (act < 1)
         open_[:, :, 3 * h :] = np.abs(g) < 1
         d *= np.where(open_, 1, 0.02)
+        d *= (both[:, s] != 0)[:, :, None]
         for k in (0, 1):
             du[k] += state[k].T @ d[k]
             dx[k] += (both[k, s] == onehot).astype(np.float32) @ d[k]
         dstate = np.matmul(d, m.u.transpose(0, 2, 1))
         dcell = dc * f
+    dx[:, 0] = 0
     grads["x"], grads["u"] = dx, du
     return loss, grads
 
