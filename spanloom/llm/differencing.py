@@ -52,44 +52,40 @@ def difference(weights: np.ndarray, bins: int) -> np.ndarray:
 
 
 def relieve(weights: np.ndarray, of: np.ndarray, bins: int, capacity: int) -> bool:
-    """Moves or swaps single weights out of bins over capacity, in place; whether all bins then fit."""
+    """Moves or swaps single weights out of bins over capacity, in place; whether all bins then fit. Each step takes, of all moves and swaps of a bin that is over, the one
+    that lessens the weight over capacity most, so it ends."""
     load = np.bincount(of, weights, bins).astype(np.int64)
-    members = [[] for _ in range(bins)]
-    for i, b in enumerate(of.tolist()):
-        members[b].append(i)
-    while load.max(initial=0) > capacity:
-        over = int(load.argmax())
-        need = int(load[over]) - capacity
-        best = None
-        for x in members[over]:
-            w = int(weights[x])
-            for to in np.argsort(load, kind="stable")[:48].tolist():
-                room = capacity - int(load[to])
-                if to == over or room < need:
-                    break
-                for y in (-1, *members[to]):
-                    gain = w - (int(weights[y]) if y >= 0 else 0)
-                    if need <= gain <= room and (best is None or gain < best[0]):
-                        best = (gain, x, to, y)
-            if best and best[0] == need:
+    while (load > capacity).any():
+        over = np.flatnonzero(load > capacity)
+        for b in over[np.argsort(-load[over], kind="stable")].tolist():
+            need, best = int(load[b]) - capacity, None
+            others = np.flatnonzero(of != b)
+            back = np.concatenate((weights[others], np.zeros(bins, np.int64)))
+            to = np.concatenate((of[others], np.arange(bins)))
+            room = capacity - load[to]
+            for x in np.flatnonzero(of == b).tolist():
+                gain = weights[x] - back
+                less = np.where((to != b) & (gain > 0), np.minimum(gain, need) - np.maximum(0, gain - np.maximum(room, 0)), 0)
+                most = int(less.max())
+                if most > 0 and (best is None or most > best[0]):
+                    same = np.flatnonzero(less == most)
+                    best = (most, x, int(same[np.abs(room[same] - gain[same]).argmin()]))
+            if best is not None:
                 break
-        if best is None:
+        else:
             return False
-        gain, x, to, y = best
-        members[over].remove(x)
-        members[to].append(x)
-        of[x] = to
-        if y >= 0:
-            members[to].remove(y)
-            members[over].append(y)
-            of[y] = over
-        load[over] -= gain
-        load[to] += gain
+        _, x, i = best
+        gain = int(weights[x] - back[i])
+        of[x] = to[i]
+        if i < len(others):
+            of[others[i]] = b
+        load[b] -= gain
+        load[to[i]] += gain
     return True
 
 
-#: Share of the weight, in the smallest pieces, that closes the gaps which differencing leaves.
-CLOSING = 0.3
+#: Shares of the weight, in the smallest pieces, that are held back to close gaps, tried one after the other: none as long as moves and swaps suffice.
+CLOSING = (0.0, 0.05, 0.15, 0.3)
 
 
 def _close_gaps(weights: np.ndarray, small: np.ndarray, of: np.ndarray, load: np.ndarray, capacity: int) -> bool:
@@ -107,20 +103,23 @@ def _close_gaps(weights: np.ndarray, small: np.ndarray, of: np.ndarray, load: np
 
 
 def pack(weights: np.ndarray, capacity: int) -> np.ndarray:
-    """Bin of each weight (none over capacity) in as few bins of the capacity as found: the large weights are differenced into near-equal bins,
-    the small ones close the gaps. The count of bins starts at the least possible and rises whenever the capacity is exceeded."""
+    """Bin of each weight (none over capacity) in as few bins of the capacity as found. All weights are differenced into near-equal bins and moves and swaps relieve the ones
+    over capacity; where they cannot, the smallest pieces are held back (CLOSING) and close the gaps by best fit. The count of bins starts at the least possible and
+    rises by one whenever the capacity is exceeded."""
     n = len(weights)
     if n == 0:
         return np.zeros(0, np.int64)
     order = np.argsort(-weights, kind="stable")
-    small = int(np.searchsorted(np.cumsum(weights[order[::-1]]), CLOSING * weights.sum()))
-    large, small = order[: n - small], order[n - small :]
+    upwards = np.cumsum(weights[order[::-1]])
     bins = max(1, -(-int(weights.sum()) // capacity))
     while True:
-        of = np.zeros(n, np.int64)
-        part = difference(weights[large], bins)
-        if relieve(weights[large], part, bins, capacity):
-            of[large] = part
-            if _close_gaps(weights, small, of, np.bincount(part, weights[large], bins), capacity):
-                return of
-        bins += max(1, bins // 400)
+        for share in CLOSING:
+            held = int(np.searchsorted(upwards, share * weights.sum()))
+            large, small = order[: n - held], order[n - held :]
+            of = np.zeros(n, np.int64)
+            part = difference(weights[large], bins)
+            if relieve(weights[large], part, bins, capacity):
+                of[large] = part
+                if _close_gaps(weights, small, of, np.bincount(part, weights[large], bins), capacity):
+                    return of
+        bins += 1
