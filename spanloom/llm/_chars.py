@@ -131,19 +131,23 @@ def by_steps(texts: Sequence[str]) -> Iterator[tuple[int, int]]:
     yield from steps(np.fromiter(map(len, texts), np.int64, len(texts)))
 
 
-#: Bits of a shingle's hash; the rest of a 64-bit sort key holds the text's position in its step.
-SHINGLE_BITS = 44
+#: Bits of a shingle's hash that are sorted together with the text's position in its step.
+SORTED_BITS = 44
 
 
 def _distinct(of: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    key = (of.astype(U64) << U64(SHINGLE_BITS)) | (run >> U64(64 - SHINGLE_BITS))
-    key.sort()
-    new = np.ones(len(key), bool)
-    new[1:] = key[1:] != key[:-1]
+    """The distinct 64-bit runs of each text with their counts. of must ascend."""
+    low = U64(64 - SORTED_BITS)
+    key = (of.astype(U64) << U64(SORTED_BITS)) | (run >> low)
+    order = np.argsort(key)
+    key, run, of = key[order], run[order], of[order]
+    if ((key[1:] == key[:-1]) & (run[1:] != run[:-1])).any():
+        order = np.lexsort((run, of))
+        of, run = of[order], run[order]
+    new = np.ones(len(run), bool)
+    new[1:] = (run[1:] != run[:-1]) | (of[1:] != of[:-1])
     at = np.flatnonzero(new)
-    counts = np.diff(at, append=len(key))
-    key = key[at]
-    return (key >> U64(SHINGLE_BITS)).astype(np.int64), key & U64((1 << SHINGLE_BITS) - 1), counts
+    return of[at], run[at], np.diff(at, append=len(run))
 
 
 def word_shingles(texts: Sequence[str], words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -176,3 +180,24 @@ def char_shingles(texts: Sequence[str], size: int) -> tuple[np.ndarray, np.ndarr
         return of, of.astype(U64), of
     first = np.repeat(joined.starts - (np.cumsum(many) - many), many)
     return _distinct(of, mix(Hashed(joined.codes).windows(size)[np.arange(len(of)) + first]))
+
+
+def words_of(texts: Sequence[str]) -> list[list[str]]:
+    """The words of each text, as word_shingles takes them."""
+    joined = Joined(texts)
+    k = joined.classes()
+    starts, ends = runs((k == LETTER) | (k == NUMBER))
+    low = lower_table()[joined.codes].tobytes().decode("utf-32-le", "surrogatepass")
+    words = [low[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+    edge = np.searchsorted(starts, joined.ends).tolist()
+    return [words[a:b] for a, b in zip([0, *edge], edge, strict=False)]
+
+
+def word_runs(texts: Sequence[str], size: int) -> list[list[tuple[str, ...]]]:
+    """All runs of successive words of each text, as words."""
+    return [list(zip(*(w[i:] for i in range(size)), strict=False)) for w in words_of(texts)]
+
+
+def char_runs(texts: Sequence[str], size: int) -> list[list[str]]:
+    """All pieces of `size` characters of each text, as characters."""
+    return [[t[i : i + size] for i in range(len(t) - size + 1)] for t in texts]

@@ -11,9 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.staging import cut
 from .groups import id_key, name_key, outer_clean
-from .neardup import TEXT, Likeness, members, similar_classes
+from .neardup import TEXT, Likeness, across_classes, classed
 from .segments import EDITS, edit_join
 
 EVALUATION, TRAINING = ("dev", "test"), "train"
@@ -49,10 +48,9 @@ def text_overlaps(records: DataFrame, like: Likeness = TEXT) -> DataFrame:
     """(record_idx): evaluation records whose text is equal or similar enough to a training text."""
     split = outer_clean(F.col("split"))
     rows = records.where(split.isin(*EVALUATION, TRAINING)).select("record_idx", "text", (split != TRAINING).alias("evaluated"))
-    known = cut(members(rows.where("evaluated"), "record_idx", "text", like).distinct())
-    train = members(rows.where("not evaluated"), "record_idx", "text", like).select("sid").distinct()
-    links = similar_classes(rows, "text", like, side="evaluated").select(F.explode(F.array("a", "b")).alias("sid"))
-    return known.join(train.unionByName(links).distinct(), "sid", "left_semi").select("record_idx").distinct()
+    classes = classed(rows, "text", like, "record_idx", "evaluated")
+    known = classes.where("evaluated").select("record_idx", "sid")
+    return known.join(across_classes(classes, like, "evaluated"), "sid", "left_semi").select("record_idx").distinct()
 
 
 def edited_overlaps(records: DataFrame, edits: int = EDITS) -> DataFrame:

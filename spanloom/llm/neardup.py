@@ -1,188 +1,215 @@
-"""Near-duplicate records: BagMinHash signatures, bands, and a check of the overlap."""
+"""Near-duplicate records: BagMinHash signatures, bands, and a check of the overlap by the words themselves.
+
+Equal texts are one class. Classes that share a band are candidates; the texts of a candidate pair are compared by their shingles as they stand, not by hashes.
+A band key that many classes of a step of texts share leaves the task as one row, and candidates of a key are made in blocks of bounded size, so a key that a third
+of all rows have is neither one task's work nor one task's memory.
+"""
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.staging import cut, spread
-from ._chars import U64, by_steps, char_shingles, mix, word_shingles
+from ._chars import by_steps, char_runs, char_shingles, word_runs, word_shingles
 from .bagminhash import band_keys, signatures
 from .groups import components
 
 #: Classes that one task remembers so as not to send the bands of copies again; beyond it, it forgets them and sends some again.
 REMEMBERED = 200_000
+#: Classes of a step from which on a shared key is sent as one row; classes of a block of candidates.
+TOGETHER, BLOCK = 8, 1000
+
+
+def _some_words(size: int) -> Callable[[Column], Column]:
+    # anchored and possessive: one pass over a text of whatever length
+    return lambda text: text.rlike(r"^[^\p{L}\p{N}]*+(?:[\p{L}\p{N}]++[^\p{L}\p{N}]++){%d}[\p{L}\p{N}]" % (size - 1))
 
 
 @dataclass(frozen=True)
 class Likeness:
-    """What is compared and how. shingle: from texts, size -> (text, hash, count); weighted: counts matter.
+    """What is compared and how. shingle: from texts, size -> (text, hash, count); runs: from texts, size -> all shingles as they stand; weighted: counts matter.
 
     A pair of similarity s shares a band with probability 1 - (1 - s**rows)**bands: 0.984 at the threshold of TEXT, above 0.998 from
     s = 0.55 on; 0.994 at that of NAME, above 0.9999 from s = 0.7 on."""
 
     shingle: Callable
+    runs: Callable
     size: int
     threshold: float
     rows: int
     bands: int
     weighted: bool = False
 
+    def enough(self, text: Column) -> Column:
+        """Whether a text has a shingle."""
+        return (F.length(text) >= self.size) if self.runs is char_runs else _some_words(self.size)(text)
 
-#: Distinct runs of three words, half of them in common; distinct pieces of three characters, 0.6 in common; the general default.
-TEXT = Likeness(word_shingles, 3, 0.5, 4, 64)
-NAME = Likeness(char_shingles, 3, 0.6, 5, 64)
-WORDS5 = Likeness(word_shingles, 5, 0.8, 8, 32, weighted=True)
-
-
-def _classes(texts: list[str], like: Likeness) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For steps of texts: (first, end, text, hash and count of the shingles, class of each text, whether it has shingles).
-
-    The class is a 64-bit hash of the whole bag: texts are of one class when their bags are equal."""
-    for lo, hi in by_steps(texts):
-        of, run, count = like.shingle(texts[lo:hi], like.size)
-        part = mix(run * U64(0xE7037ED1A0B428DB) + (count.astype(U64) if like.weighted else U64(1)))
-        sums = np.concatenate((np.zeros(1, U64), np.cumsum(part, dtype=U64)))
-        edge = np.searchsorted(of, np.arange(hi - lo + 1))
-        sid = mix(sums[edge[1:]] - sums[edge[:-1]] + np.diff(edge).astype(U64))
-        yield lo, hi, of, run, count, sid, np.diff(edge) > 0
 
-
-def members(rows: DataFrame, key: str, text: str, like: Likeness) -> DataFrame:
-    """(key, sid): the class of each row whose text has shingles. Null texts, and those with too few words, are in none."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            for lo, hi, *_, sid, some in _classes(texts, like):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).filter(pa.array(some)), pa.array(sid[some].view(np.int64))], names=[key, "sid"])
-
-    kind = rows.schema[key].dataType.simpleString()
-    return spread(rows.select(key, text)).mapInArrow(run, f"`{key}` {kind}, sid bigint")
+#: Distinct runs of three words, half of them in common; distinct pieces of three characters, 0.6 in common; the general default.
+TEXT = Likeness(word_shingles, word_runs, 3, 0.5, 4, 64)
+NAME = Likeness(char_shingles, char_runs, 3, 0.6, 5, 64)
+WORDS5 = Likeness(word_shingles, word_runs, 5, 0.8, 8, 32, weighted=True)
+
+
+def _grouped(key: np.ndarray, sid: np.ndarray, side: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """Rows (key, sid, more[, side]): a key that TOGETHER classes of the step and more share is one row with all of them in `more`."""
+    for value in (None,) if side is None else (False, True):
+        k, s = (key, sid) if value is None else (key[side == value], sid[side == value])
+        order = np.argsort(k)
+        k, s = k[order], s[order]
+        edge = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.zeros(0, np.int64)
+        many = np.diff(edge, append=len(k))
+        lone = np.repeat(many < TOGETHER, many)
+        hot = np.flatnonzero(many >= TOGETHER)
+        lists = [None] * int(lone.sum()) + [s[edge[i] : edge[i] + many[i]] for i in hot.tolist()]
+        columns = [pa.array(np.concatenate((k[lone], k[edge[hot]]))), pa.array(np.concatenate((s[lone], s[edge[hot]]))), pa.array(lists, pa.list_(pa.int64()))]
+        names = ["key", "sid", "more"]
+        if value is not None:
+            columns.append(pa.array(np.full(len(lists), value)))
+            names.append("side")
+        yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
 def _banded(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[pa.RecordBatch]:
-    seen: set[int] = set()
+    seen: set = set()
     for batch in batches:
-        side = batch.column(1).to_pylist() if batch.num_columns > 1 else None
-        texts = [x or "" for x in batch.column(0).to_pylist()]
-        for lo, hi, of, run, count, sid, some in _classes(texts, like):
+        every = batch.column(0).to_numpy()
+        sides = np.array(batch.column(2).to_pylist(), bool) if batch.num_columns > 2 else None
+        texts = batch.column(1).to_pylist()
+        for lo, hi in by_steps(texts):
             if len(seen) > REMEMBERED:
                 seen.clear()
-            new = np.zeros(hi - lo, bool)
-            for i, (s, ok) in enumerate(zip(sid.tolist(), some.tolist(), strict=True)):
-                s = (s, side[lo + i]) if side else s
-                if ok and s not in seen:
+            pick = []
+            for i in range(lo, hi):
+                s = (int(every[i]), None if sides is None else bool(sides[i]))
+                if s not in seen:
                     seen.add(s)
-                    new[i] = True
-            bag = np.cumsum(new) - 1
-            use = new[of]
-            n = int(new.sum())
-            keys = band_keys(signatures(bag[of[use]], run[use], count[use] if like.weighted else None, n, like.rows * like.bands), like.rows)
-            names, columns = ["key", "sid"], [pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(sid[new], like.bands).view(np.int64))]
-            if side:
-                names.append("side")
-                columns.append(pa.array(np.repeat(np.array([side[lo + i] for i in np.flatnonzero(new)], bool), like.bands)))
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-
-def _bags(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[pa.RecordBatch]:
-    seen: set[int] = set()
+                    pick.append(i)
+            of, run, count = like.shingle([texts[i] for i in pick], like.size)
+            some = np.bincount(of, minlength=len(pick)) > 0
+            own = np.array(pick, np.int64)[some]
+            if not len(own):
+                continue
+            keys = band_keys(signatures((np.cumsum(some) - 1)[of], run, count if like.weighted else None, len(own), like.rows * like.bands), like.rows)
+            yield from _grouped(keys.reshape(-1).view(np.int64), np.repeat(every[own], like.bands), None if sides is None else np.repeat(sides[own], like.bands))
+
+
+def _alike(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[pa.RecordBatch]:
+    """Keeps the pairs whose texts overlap enough, by their shingles as they stand."""
+    bag = Counter if like.weighted else frozenset
     for batch in batches:
-        texts = [x or "" for x in batch.column(0).to_pylist()]
-        for lo, hi, of, run, count, sid, some in _classes(texts, like):
-            if len(seen) > REMEMBERED:
-                seen.clear()
-            new = np.zeros(hi - lo, bool)
-            for i, (s, ok) in enumerate(zip(sid.tolist(), some.tolist(), strict=True)):
-                if ok and s not in seen:
-                    seen.add(s)
-                    new[i] = True
-            use = new[of]
-            edge = np.concatenate(([0], np.cumsum(np.bincount(of[use], minlength=hi - lo)[new])))
-            lists = pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array((run[use] >> U64(12)).astype(np.int32)))
-            columns = [pa.array(sid[new].view(np.int64)), lists]
-            if like.weighted:
-                columns.append(pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(count[use].astype(np.int32))))
-            yield pa.RecordBatch.from_arrays(columns, names=["sid", "bag", "counts"][: len(columns)])
-
-
-def _overlaps(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[pa.RecordBatch]:
-    """Keeps the pairs whose bags overlap enough, by the counts themselves."""
-    for batch in batches:
-        kept = []
-        columns = [batch.column(i).to_pylist() if batch.num_columns > 4 else batch.column(i) for i in range(2, batch.num_columns)]
-        if like.weighted:
-            for i, (x, y, m, n) in enumerate(zip(*columns, strict=True)):
-                a, b = dict(zip(x, m, strict=True)), dict(zip(y, n, strict=True))
-                least = sum(min(v, b.get(k, 0)) for k, v in a.items())
-                kept.append((i, least / (sum(a.values()) + sum(b.values()) - least)))
-        else:
-            (x, xo), (y, yo) = ((c.values.to_numpy(), c.offsets.to_numpy()) for c in columns)
-            for i in range(batch.num_rows):
-                a, b = x[xo[i] : xo[i + 1]], y[yo[i] : yo[i + 1]]
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                kept.append((i, both / (len(a) + len(b) - both)))
-        at = [i for i, s in kept if s >= like.threshold - 1e-12]
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), batch.column(1).take(pa.array(at, pa.int64())), pa.array([kept[i][1] for i in at], pa.float64())], names=["a", "b", "similarity"])
-
-
-def similar_classes(rows: DataFrame, text: str, like: Likeness, side: str | None = None) -> DataFrame:
-    """(a, b, similarity), a < b: pairs of different classes whose similarity reaches the threshold.
-
-    Bands are sent once for each class and task. A band is worked on only where two classes share it. With `side`, a boolean column,
-    only pairs with one class among the true rows and the other among the false ones are looked for.
-    """
-    kind = "key bigint, sid bigint" + (", side boolean" if side else "")
-    bands = spread(rows.select(text, *([side] if side else []))).mapInArrow(partial(_banded, like=like), kind)
+        left, right = (batch.column(i).dictionary_encode() for i in (2, 3))
+        one, two = ([bag(x) for x in like.runs(c.dictionary.to_pylist(), like.size)] for c in (left, right))
+        total = (lambda x: sum(x.values())) if like.weighted else len
+        size_one, size_two = [total(x) for x in one], [total(x) for x in two]
+        kept, found = [], []
+        for i, (x, y) in enumerate(zip(left.indices.to_pylist(), right.indices.to_pylist(), strict=True)):
+            m, n = size_one[x], size_two[y]
+            if min(m, n) >= like.threshold * max(m, n) - 1e-9:
+                both = total(one[x] & two[y])
+                if (s := both / (m + n - both)) >= like.threshold - 1e-12:
+                    kept.append(i)
+                    found.append(s)
+        at = pa.array(kept, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(found, pa.float64())], names=["a", "b", "similarity"])
+
+
+def classed(rows: DataFrame, text: str, like: Likeness, *others: str) -> DataFrame:
+    """(*others, sid, text) of the rows whose text has a shingle. sid: the class, which equal texts share."""
+    return rows.select(*others, F.xxhash64(text).alias("sid"), F.col(text).alias("text")).where(like.enough(F.col("text")))
+
+
+def shared_bands(classes: DataFrame, like: Likeness, side: str | None = None) -> DataFrame:
+    """(key, sid[, side]): the classes of each band key that more than one class has; with side, of each that classes of both sides have. Computed once."""
+    kind = "key bigint, sid bigint, more array<bigint>" + (", side boolean" if side else "")
+    bands = spread(classes.select("sid", "text", *([side] if side else []))).mapInArrow(partial(_banded, like=like), kind)
+    every = F.explode(F.coalesce("more", F.array("sid"))).alias("sid")
     if side:
-        keyed = "max(case when side then 1 else 0 end) over (partition by key) + max(case when side then 0 else 1 end) over (partition by key)"
-        shared = bands.selectExpr("*", f"{keyed} as sides").where("sides = 2").select("key", "sid", "side").distinct()
-    else:
-        near = bands.selectExpr("key", "sid", "lag(sid) over (partition by key order by sid) as last", "lead(sid) over (partition by key order by sid) as next")
-        shared = near.where("(last is not null or next is not null) and (last is null or last <> sid)").select("key", "sid")
-    shared = cut(shared)
-    left, right = shared.toDF("key", "x", *(["p"] if side else [])), shared.toDF("key", "y", *(["q"] if side else []))
-    pairs = left.join(right, "key").where("p and not q and x <> y" if side else "x < y")
-    pairs = cut(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    bags = "sid bigint, bag array<int>" + (", counts array<int>" if like.weighted else "")
-    bag = spread(rows.select(text)).mapInArrow(partial(_bags, like=like), bags).join(wanted, "sid", "left_semi").dropDuplicates(["sid"])
-    bag = cut(bag)
-    counts = ["counts"] if like.weighted else []
-    one, two = bag.toDF("a", "bag_a", *(x + "_a" for x in counts)), bag.toDF("b", "bag_b", *(x + "_b" for x in counts))
-    both = pairs.join(one, "a").join(two, "b").select("a", "b", "bag_a", "bag_b", *(x for c in counts for x in (c + "_a", c + "_b")))
-    return both.mapInArrow(partial(_overlaps, like=like), "a bigint, b bigint, similarity double")
+        sides = "max(case when side then 1 else 0 end) over (partition by key) + max(case when side then 0 else 1 end) over (partition by key) as sides"
+        return cut(bands.selectExpr("*", sides).where("sides = 2").select("key", "side", every))
+    near = bands.selectExpr("*", "lag(sid) over (partition by key order by sid) as last", "lead(sid) over (partition by key order by sid) as next")
+    return cut(near.where("more is not null or ((last is not null or next is not null) and (last is null or last <> sid))").select("key", every))
+
+
+def block_join(left: DataFrame, right: DataFrame, block: int = BLOCK) -> DataFrame:
+    """left(key, x) join right(key, y) on key, a group of m and n rows in blocks of about block x block, so a hot key is spread over many tasks."""
+    parts = lambda n: F.ceil(F.col(n) / block).cast("int")
+    m, n = left.groupBy("key").agg(F.count(F.lit(1)).alias("m")), right.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    sizes = m.join(n, "key").select("key", parts("m").alias("p"), parts("n").alias("q"))
+    one = left.join(sizes, "key").select("key", "x", F.pmod(F.xxhash64("x"), "p").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("q") - 1)).alias("j"))
+    two = right.join(sizes, "key").select("key", "y", F.explode(F.sequence(F.lit(0), F.col("p") - 1)).alias("i"), F.pmod(F.xxhash64("y"), "q").cast("int").alias("j"))
+    return one.join(two, ["key", "i", "j"]).select("key", "x", "y")
+
+
+def texts_of(classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(sid, text): one text of each wanted class, computed once."""
+    return cut(classes.select("sid", "text").join(wanted.select("sid").distinct(), "sid", "left_semi").dropDuplicates(["sid"]))
+
+
+def verified(pairs: DataFrame, texts: DataFrame, like: Likeness) -> DataFrame:
+    """(a, b, similarity) of the pairs(a, b) whose texts are similar enough."""
+    both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
+    return both.mapInArrow(partial(_alike, like=like), "a bigint, b bigint, similarity double")
+
+
+def similar_classes(classes: DataFrame, like: Likeness) -> DataFrame:
+    """(a, b, similarity), a < b: pairs of different classes whose similarity reaches the threshold."""
+    shared = shared_bands(classes, like)
+    pairs = block_join(shared.toDF("key", "x"), shared.toDF("key", "y")).where("x < y")
+    pairs = cut(pairs.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+    texts = texts_of(classes, pairs.select(F.explode(F.array("a", "b")).alias("sid")))
+    return verified(pairs, texts, like)
 
 
 def near_duplicate_pairs(rows: DataFrame, key: str, text: str, like: Likeness) -> DataFrame:
     """(key_a, key_b), key_a < key_b: all pairs of rows whose texts are at least as similar as the threshold, equal ones too.
 
     Null and blank texts, and those too short for a shingle, are in no pair. Rows with equal keys are one."""
-    rows = rows.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    member = cut(members(rows, "k", "t", like).distinct())
-    links = similar_classes(rows, "t", like)
+    classes = classed(rows.select(F.col(key).alias("k"), F.col(text).alias("t")), "t", like, "k")
+    member = cut(classes.select("k", "sid").distinct())
+    links = similar_classes(classes, like)
     one, two = member.toDF("key_a", "a"), member.toDF("key_b", "b")
-    within = one.join(two, F.col("a") == F.col("b")).where("key_a < key_b").select("key_a", "key_b")
+    within = block_join(member.toDF("x", "key"), member.toDF("y", "key")).where("x < y").select(F.col("x").alias("key_a"), F.col("y").alias("key_b"))
     across = links.join(one, "a").join(two, "b").select(F.least("key_a", "key_b").alias("key_a"), F.greatest("key_a", "key_b").alias("key_b"))
     return within.unionByName(across.where("key_a < key_b"))
 
 
 def near_duplicate_groups(rows: DataFrame, key: str, text: str, like: Likeness) -> DataFrame:
     """(key, group_id, class_rows, links): for each row with shingles its group through links (its smallest class), how many rows have its very
-    bag, and with how many other classes it is linked. Copies are never paired."""
-    rows = rows.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    member = cut(members(rows, "k", "t", like).distinct())
-    links = cut(similar_classes(rows, "t", like).select("a", "b"))
+    text, and with how many other texts it is linked. Copies are never paired."""
+    classes = classed(rows.select(F.col(key).alias("k"), F.col(text).alias("t")), "t", like, "k")
+    member = cut(classes.select("k", "sid").distinct())
+    links = cut(similar_classes(classes, like).select("a", "b"))
     ends = links.union(links.select("b", "a"))
     edge = F.xxhash64("a", "b")
     nodes = links.select(F.col("a").alias("node"), edge.alias("key")).union(links.select(F.col("b"), edge))
     group = components(nodes).toDF("sid", "group_id")
     sizes = member.groupBy("sid").agg(F.count(F.lit(1)).alias("class_rows")).join(ends.groupBy(F.col("a").alias("sid")).agg(F.count(F.lit(1)).alias("links")), "sid", "left").join(group, "sid", "left")
     return member.join(sizes, "sid").select(F.col("k").alias(key), F.coalesce("group_id", "sid").alias("group_id"), "class_rows", F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def across_classes(classes: DataFrame, like: Likeness, side: str) -> DataFrame:
+    """(sid): the classes of true rows of `side` that are similar enough to a class of false ones.
+
+    A class needs one partner only, so not all pairs of a key are compared: first each true class meets the smallest and the greatest false class of its keys; only
+    the ones without a partner among these meet all others, in blocks."""
+    both = classes.groupBy("sid").agg(F.max(side).alias("e"), F.min(side).alias("t"))
+    equal = cut(both.where("e and not t").select("sid"))
+    shared = shared_bands(classes, like, side)
+    true = shared.where("side").select("key", F.col("sid").alias("x")).distinct().join(equal.toDF("x"), "x", "left_anti").select("key", "x")
+    false = shared.where("not side").select("key", F.col("sid").alias("y")).distinct()
+    ends = false.groupBy("key").agg(F.array_distinct(F.array(F.min("y"), F.max("y"))).alias("some"))
+    first = cut(true.join(ends, "key").select(F.col("x").alias("a"), F.explode("some").alias("b")).distinct())
+    texts = texts_of(classes, shared.join(true.select(F.col("key")).distinct(), "key", "left_semi"))
+    met = cut(verified(first, texts, like).select(F.col("a").alias("sid")).distinct())
+    left = true.join(met.toDF("x"), "x", "left_anti").select("key", "x")
+    rest = block_join(left, false).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    return equal.union(met).union(verified(rest, texts, like).select(F.col("a").alias("sid")).distinct())
