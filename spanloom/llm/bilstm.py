@@ -18,6 +18,8 @@ from ._chars import TABLE_END
 KINDS = ("email", "phone", "id_number", "address", "name")
 #: Tag 0 is outside; of kind i, 1 + 2 i begins a mention and 2 + 2 i goes on with it.
 TAGS = 1 + 2 * len(KINDS)
+#: Steps whose states become scores together.
+BLOCK = 16
 #: What symbol 0 adds to the gates for input, memory and output: they are shut whatever the state was.
 SHUT = -100.0
 #: Symbols: 0 padding and text ends, 1 line ends, 2..96 ASCII from the blank on, then classes of the rest.
@@ -75,38 +77,56 @@ class Model:
         return out
 
     def _run(self, symbols: np.ndarray, keep: list | None = None) -> Iterator[np.ndarray]:
-        """States of both directions (2, windows, H), step by step; the second direction begins at the end."""
+        """States of both directions (2, windows, H), step by step, in one buffer unless they are kept; the second direction begins at the end."""
         n, steps = symbols.shape
         h = self.size
-        there = np.ascontiguousarray(symbols.T)
+        there = np.ascontiguousarray(symbols.T).astype(np.intp)
+        both = np.stack((there, there[::-1] + SYMBOLS), 1)
+        table = self.x.reshape(-1, 4 * h)
         state, cell = np.zeros((2, n, h), np.float32), np.zeros((2, n, h), np.float32)
-        gates, told = np.empty((2, n, 4 * h), np.float32), np.empty((n, 4 * h), np.float32)
+        gates, told = np.empty((2, n, 4 * h), np.float32), np.empty((2, n, 4 * h), np.float32)
+        # bounds as whole arrays: one pass over contiguous memory each
+        low, high, one, minus = np.zeros_like(gates), np.ones_like(gates), np.ones_like(state), -np.ones_like(state)
+        low[:, :, 3 * h :] = -1
         for s in range(steps):
+            if keep is not None:
+                gates = np.empty_like(gates)
             np.matmul(state, self.u, out=gates)
-            for d, ids in ((0, there[s]), (1, there[steps - 1 - s])):
-                np.take(self.x[d], ids, axis=0, out=told, mode="clip")
-                gates[d] += told
-            act = np.clip(gates, -1, 1, out=gates if keep is None else None)
-            sigmas = act[:, :, : 3 * h]
-            np.maximum(sigmas, 0, out=sigmas)
-            i, f, o, g = (act[:, :, k * h : (k + 1) * h] for k in range(4))
+            np.take(table, both[s], axis=0, out=told, mode="clip")
+            gates += told
+            i, f, o, g = (gates[:, :, k * h : (k + 1) * h] for k in range(4))
+            np.maximum(gates, low, out=gates)
+            np.minimum(gates, high, out=gates)
             if keep is not None:
-                keep.append((act, cell, state))
-            cell = f * cell
-            cell += i * g
-            state = np.clip(cell, -1, 1)
-            state *= o
+                keep.append((gates, cell, state))
+                cell = f * cell + i * g
+                state = np.clip(cell, -1, 1) * o
+            else:
+                cell *= f
+                g *= i
+                cell += g
+                np.maximum(cell, minus, out=state)
+                np.minimum(state, one, out=state)
+                state *= o
             yield state
 
     def emissions(self, symbols: np.ndarray) -> np.ndarray:
-        """(steps, windows, tags)."""
+        """(windows, steps, tags). States become scores block by block."""
         n, steps = symbols.shape
         h = self.size
-        out = np.empty((steps, n, TAGS), np.float32)
+        out = np.empty((n, steps, TAGS), np.float32)
         out[:] = self.b
+        block = np.empty((2, min(BLOCK, steps), n, h), np.float32)
+        to = np.stack((self.o[:h], self.o[h:]))
+        at = 0
         for s, state in enumerate(self._run(symbols)):
-            out[s] += state[0] @ self.o[:h]
-            out[steps - 1 - s] += state[1] @ self.o[h:]
+            block[:, at] = state
+            at += 1
+            if at == block.shape[1] or s == steps - 1:
+                there, back = (np.matmul(block[d, :at].reshape(-1, h), to[d]).reshape(at, n, TAGS).transpose(1, 0, 2) for d in (0, 1))
+                out[:, s + 1 - at : s + 1] += there
+                out[:, steps - 1 - s : steps - 1 - s + at] += back[:, ::-1]
+                at = 0
         return out
 
 
@@ -149,7 +169,8 @@ def viterbi(emissions: np.ndarray, lengths: np.ndarray, t: np.ndarray, first: np
     for s in range(1, steps):
         every = score[:, :, None] + t
         back[s] = every.argmax(1)
-        score = np.take_along_axis(every, back[s][:, None, :].astype(np.int64), 1)[:, 0] + emissions[:, s]
+        score = every.max(1)
+        score += emissions[:, s]
         ended = lengths == s + 1
         if ended.any():
             final[ended] = score[ended]

@@ -26,7 +26,7 @@ from .bilstm import KINDS, TAGS, Model, clear_margins, symbol_table, viterbi
 MODEL = os.path.join(os.path.dirname(__file__), "pii_model.npz")
 WINDOW, OVERLAP = 1024, 128
 #: Characters of a lane about, and lanes at most.
-LANE, LANES = 2048, 512
+LANE, LANES = 2048, 192
 #: How far outside is held back, for recall; chosen on held-out rows by train_pii.
 BIAS = 0.0
 #: Added to the margins against rounding.
@@ -71,18 +71,12 @@ def _scores(m: Model, symbols: np.ndarray, joined: Joined) -> np.ndarray:
     steps = max(x for x, _ in load)
     laid = np.zeros((lanes, steps), np.uint8)
     base = joined.starts[of]
-
-    def places(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place in the stream, place in the lanes) of the positions [a, b) of all windows."""
-        n = b - a
-        within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        return np.repeat(base + a, n) + within, np.repeat(at + a - begin, n) + within
-
-    here, there = places(begin, end)
-    laid[np.repeat(lane, end - begin), there] = symbols[here]
+    rows = lane.tolist()
+    for i, spot, a, b in zip(rows, at.tolist(), (base + begin).tolist(), (base + end).tolist(), strict=True):
+        laid[i, spot : spot + b - a] = symbols[a:b]
     e = m.emissions(laid)
-    here, there = places(use, till)
-    out[here] = e.reshape(-1, TAGS)[there * lanes + np.repeat(lane, till - use)]
+    for i, spot, a, b in zip(rows, (at + use - begin).tolist(), (base + use).tolist(), (base + till).tolist(), strict=True):
+        out[a:b] = e[i, spot : spot + b - a]
     return out
 
 
@@ -121,8 +115,9 @@ def best_path(e: np.ndarray, joined: Joined, t: np.ndarray, whole: bool = False)
         put(joined.starts[some], joined.ends[some], np.broadcast_to(none, (int(some.sum()), TAGS)))
         return tags
     margin, entry = clear_margins(t)
-    ahead = e[:, 1:] - e[:, :1]
-    open_ = (ahead > -(margin + SURE)).any(1)
+    open_ = np.zeros(len(e), bool)
+    for k, least in enumerate((margin + SURE).tolist(), 1):
+        open_ |= e[:, k] > e[:, 0] - np.float32(least)
     open_[joined.ends] = False
     edges = np.flatnonzero(np.diff(np.concatenate(([0], open_.view(np.int8), [0]))))
     starts, ends = edges[0::2], edges[1::2]
@@ -131,7 +126,7 @@ def best_path(e: np.ndarray, joined: Joined, t: np.ndarray, whole: bool = False)
     first = np.tile(none, (len(starts), 1))
     text = np.searchsorted(joined.ends, starts)
     inner = starts > joined.starts[text]
-    first[inner, 1:] = ahead[starts[inner] - 1] + entry + SURE
+    first[inner, 1:] = e[starts[inner] - 1, 1:] - e[starts[inner] - 1, :1] + entry + SURE
     came = put(starts, ends, first)
     again = np.unique(text[came != 0])
     if len(again):
