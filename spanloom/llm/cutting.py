@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._chars import LETTER, NUMBER, SEP, SPACE, Joined, by_steps
+from ._chars import SEP, SPACE, Joined, by_steps
 
 MAX_CHARS, OVERLAP_CHARS = 1200, 120
 MAX_TOKENS, OVERLAP_TOKENS = 384, 128
@@ -36,8 +36,6 @@ def boundary_ranks(joined: Joined) -> np.ndarray:
     sentence[1:] = space[1:] & end[:-1]
     wide = np.isin(c, [ord(x) for x in WIDE_ENDS])
     word = space & after
-    inner = np.zeros(len(c), bool)
-    inner[:-1] = ((k[:-1] == LETTER) | (k[:-1] == NUMBER)) != ((k[1:] == LETTER) | (k[1:] == NUMBER))
     rank[1:][word] = 1
     rank[1:][sentence | wide] = 2
     rank[1:][line] = 3
@@ -116,20 +114,26 @@ def cut_windows(windows: DataFrame, records: DataFrame, most: int = MAX_TOKENS,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
-            mapping, texts = batch.column(2), batch.column(3).to_pylist()
+            mapping, shared = batch.column(2), batch.column(3).dictionary_encode()
+            known = shared.dictionary.to_pylist()
+            texts = [None if x is None else known[x] for x in shared.indices.to_pylist()]
             upto = mapping.offsets.to_numpy()
             fields = [mapping.values.field(i).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1)]
+            last, rank, size = None, None, 0
             for i, (record, window, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts, strict=True)):
                 begin, end = (f[upto[i] : upto[i + 1]] for f in fields)
                 n = len(begin)
-                joined = Joined([text or ""])
-                rank, size = boundary_ranks(joined), int(joined.ends[0])
+                if rank is None or text is not last:
+                    joined = Joined([text or ""])
+                    last, rank, size = text, boundary_ranks(joined), int(joined.ends[0])
                 best = np.zeros(n + 1, np.uint8)
                 a, b = end[:-1], begin[1:]
                 best[1:n][b > a] = 1
                 within = (a >= 0) & (b <= size) & (a <= b)
-                for at in np.flatnonzero(within).tolist():
-                    best[at + 1] = max(best[at + 1], rank[a[at] : b[at] + 1].max())
+                at = np.flatnonzero(within)
+                if len(at):
+                    between = np.maximum.reduceat(rank, np.stack((a[at], b[at] + 1), 1).ravel())[::2]
+                    best[at + 1] = np.maximum(best[at + 1], between)
                 good, word = np.flatnonzero(best >= 2), np.flatnonzero(best == 1)
                 for j, (s, e, kind) in enumerate(cuts([good.tolist(), word.tolist()], n, most, overlap)):
                     rows.append((record, window, j, s, e, int(begin[s]), int(end[e - 1]), "end" if e == n else KINDS[int(best[e]) if kind else 0]))

@@ -45,7 +45,8 @@ def components(links: DataFrame) -> DataFrame:
     """(node, component) from links(node bigint, key): nodes that share a key, also through others; component is the smallest node.
 
     Links with a null key or node join nothing; a node without any key is a component of its own. Each round takes the smallest label over each node's
-    keys (aggregated before the shuffle, so a hot key costs no more than a row a task), then follows labels to their labels.
+    keys (aggregated before the shuffle, so a hot key costs no more than a row a task), then follows labels to their labels. The joins of all nodes of a hot key, or of a large
+    component, have one row on their other side, so adaptive execution may split them wherever such a key makes a part too large.
     """
     nodes = links.where("node is not null").select("node").distinct()
     shared = links.where("node is not null and key is not null").select("node", "key").distinct()
@@ -76,12 +77,9 @@ def related_families(specs: DataFrame) -> DataFrame:
     return components(links).select(F.col("node").alias("spec_id"), F.col("component").alias("group_id"))
 
 
-def broken_groups(specs: DataFrame) -> DataFrame:
-    """(spec_id, group_id): the specs of groups in which more than one intended_split occurs, missing ones left out."""
-    groups = related_families(specs)
-    split = specs.select(F.col("spec_id").cast("bigint").alias("spec_id"), F.nullif(outer_clean(F.col("intended_split")), F.lit("")).alias("split"))
-    bad = groups.join(split, "spec_id").groupBy("group_id").agg(F.min("split").alias("a"), F.max("split").alias("b")).where("a <> b").select("group_id")
-    return groups.join(bad, "group_id", "left_semi").select("spec_id", "group_id").distinct()
+def broken_groups(specs: DataFrame, records: DataFrame) -> DataFrame:
+    """(spec_id, group_id): the specs of assigned groups in which more than one intended_split occurs, missing ones left out: no assignment of whole groups can keep all of these."""
+    return assign_splits(specs, records).where("broken").select("spec_id", "group_id").distinct()
 
 
 def _into_bins(bins: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
@@ -130,18 +128,20 @@ def balance(weights: DataFrame, targets: dict[str, float] = SPLITS) -> DataFrame
 
 
 def assign_splits(specs: DataFrame, records: DataFrame, targets: dict[str, float] = SPLITS) -> DataFrame:
-    """(spec_id, group_id, group_records, assigned_split, intended_split, keeps_intent): a split for every spec, whole groups together.
+    """(spec_id, group_id, group_records, assigned_split, intended_split, keeps_intent, broken): a split for every spec, whole groups together.
 
     A group weighs the records of its families (a family listed again counts once). keeps_intent is false where intended_split differs from the assignment,
-    null where it is missing. Families without records weigh nothing.
+    null where it is missing; broken is true where the group's specs intend more than one split. Families without records weigh nothing.
     """
     groups = cut(related_families(specs))
     own = specs.select(F.col("spec_id").cast("bigint").alias("spec_id"), "template_family", F.nullif(outer_clean(F.col("intended_split")), F.lit("")).alias("intended_split"))
     counts = records.groupBy(F.col("meta.template_family").alias("template_family")).agg(F.count(F.lit(1)).alias("n")).where("template_family is not null")
-    weight = own.join(groups, "spec_id").select("group_id", "template_family").distinct().join(counts, "template_family", "left").groupBy("group_id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("group_records"))
-    weight = cut(weight)
+    grouped = own.join(groups, "spec_id")
+    weight = grouped.select("group_id", "template_family").distinct().join(counts, "template_family", "left").groupBy("group_id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("group_records"))
+    intents = grouped.groupBy("group_id").agg(F.coalesce(F.min("intended_split") != F.max("intended_split"), F.lit(False)).alias("broken"))
+    weight = cut(weight.join(intents, "group_id"))
     split = balance(weight.select(F.col("group_id").alias("item"), F.col("group_records").alias("weight")), targets).select(F.col("item").alias("group_id"), F.col("split").alias("assigned_split"))
     return (
-        own.join(groups, "spec_id").join(weight, "group_id").join(split, "group_id")
-        .select("spec_id", "group_id", "group_records", "assigned_split", "intended_split", (F.col("intended_split") == F.col("assigned_split")).alias("keeps_intent"))
+        grouped.join(weight, "group_id").join(split, "group_id")
+        .select("spec_id", "group_id", "group_records", "assigned_split", "intended_split", (F.col("intended_split") == F.col("assigned_split")).alias("keeps_intent"), "broken")
     )

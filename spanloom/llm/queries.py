@@ -34,6 +34,11 @@ def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicate_groups(_table(spark, folder, "split_record"), "record_idx", "text", neardup.TEXT)
 
 
+def p2_weighted(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups by runs of five words with their counts, 0.8 of the multisets in common."""
+    return neardup.near_duplicate_groups(_table(spark, folder, "split_record"), "record_idx", "text", neardup.WORDS5)
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return cutting.cut_items(_table(spark, folder, "split_record"), _table(spark, folder, "align_window"))
 
@@ -47,7 +52,7 @@ def p3_windows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    return groups.broken_groups(_table(spark, folder, "family_spec"))
+    return groups.broken_groups(_table(spark, folder, "family_spec"), _table(spark, folder, "split_record"))
 
 
 def p4_assigned(spark: SparkSession, folder: str) -> DataFrame:
@@ -70,6 +75,10 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode(_table(spark, folder, "documents"))
 
 
+def p6_slices(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.encode_slices(_table(spark, folder, "documents"))
+
+
 def p7_packed(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(_table(spark, folder, "documents"))
 
@@ -83,7 +92,7 @@ def p8_share(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_masked, p2_found, p2_groups, p3_found, p3_pieces, p3_windows, p4_found, p4_assigned, p5_found, p5_report, p5_edited, p6_ids, p7_packed, p8_found, p8_share)
+    f.__name__: f for f in (p1_found, p1_masked, p2_found, p2_groups, p2_weighted, p3_found, p3_pieces, p3_windows, p4_found, p4_assigned, p5_found, p5_report, p5_edited, p6_ids, p6_slices, p7_packed, p8_found, p8_share)
 }
 
 _TRIM = "regexp_replace(lower({0}), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')"

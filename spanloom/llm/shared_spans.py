@@ -6,6 +6,7 @@ stands. Only picks that another document repeats are extended to twice the lengt
 side at least go on to the whole length: there each position is a window of its own. Longer windows cover nothing that the windows of the wanted
 length don't cover together, so no candidate is left then. Neighbouring positions with one pick form a run. A run that another document
 repeats as a whole is a hit as a whole; positions are only looked at alone where runs with one pick differ, as at the ends of a shared stretch.
+Rolling hashes of 64 bits only choose candidates: what counts as equal at last, runs and positions, is told by digests of 128 bits of the characters themselves.
 
 Repetition is counted with the least and the greatest document of a hash, aggregated before the shuffle, so a window that stands in a third of
 all documents costs a row a task. Texts are only read again in documents that have candidates left.
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -99,6 +101,11 @@ def _rows(doc: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(doc[new]), pa.array(h[new].view(np.int64))], names=["doc", "h"])
 
 
+def _digests(text: str, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """128-bit digests of the characters of [start, end)."""
+    return pa.array([blake2b(text[a:b].encode("utf-32-le", "surrogatepass"), digest_size=16).digest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], pa.binary())
+
+
 def _quarter(batches: Iterator[pa.RecordBatch], wanted: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         doc, texts = batch.column(0).to_numpy(), [x or "" for x in batch.column(1).to_pylist()]
@@ -125,10 +132,9 @@ def _whole(batches: Iterator[pa.RecordBatch], wanted: int) -> Iterator[pa.Record
             p = Picks(texts[lo:hi], wanted)
             left, right = p.sides(wanted)
             p.keep(_listed(p.of, left, marks[lo:hi]) | _listed(p.of, right, marks[lo:hi]))
-            run = mix(p.hashed.spans(p.low, p.high + wanted) + (p.high - p.low).astype(U64))
             base = p.joined.starts[p.of]
-            columns = [doc[lo:hi][p.of], p.low - base, p.high - base, p.hash.view(np.int64), run.view(np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["doc", "low", "high", "pick", "run"])
+            columns = [doc[lo:hi][p.of], p.low - base, p.high - base, p.hash.view(np.int64)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), _digests(p.joined.text, p.low, p.high + wanted)], names=["doc", "low", "high", "pick", "run"])
 
 
 def _positions(batches: Iterator[pa.RecordBatch], wanted: int) -> Iterator[pa.RecordBatch]:
@@ -136,15 +142,13 @@ def _positions(batches: Iterator[pa.RecordBatch], wanted: int) -> Iterator[pa.Re
         doc, texts, marks = batch.column(0).to_numpy(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
         for lo, hi in by_steps(texts):
             joined = Joined(texts[lo:hi])
-            hashed = Hashed(joined.codes)
             spans = [(i, r["low"], r["high"]) for i, m in enumerate(marks[lo:hi]) for r in m]
             of, low, high = np.array(spans, np.int64).reshape(-1, 3).T
             many = high - low + 1
             whose = np.repeat(of, many)
             at = np.arange(len(whose)) + np.repeat(low - (np.cumsum(many) - many), many)
             start = at + joined.starts[whose]
-            h = mix(hashed.spans(start, start + wanted))
-            yield pa.RecordBatch.from_arrays([pa.array(doc[lo:hi][whose]), pa.array(at), pa.array(h.view(np.int64))], names=["doc", "at", "h"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc[lo:hi][whose]), pa.array(at), _digests(joined.text, start, start + wanted)], names=["doc", "at", "h"])
 
 
 def _repeated(rows: DataFrame) -> DataFrame:
@@ -175,14 +179,14 @@ def shared_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", wante
     marks = _repeated(level).groupBy("doc").agg(F.collect_set("h").alias("mark"))
     level = _with_texts(texts, marks).mapInArrow(partial(_half, wanted=wanted), "doc bigint, h bigint")
     marks = _repeated(level).groupBy("doc").agg(F.collect_set("h").alias("mark"))
-    runs = cut(_with_texts(texts, marks).mapInArrow(partial(_whole, wanted=wanted), "doc bigint, low bigint, high bigint, pick bigint, run bigint"))
+    runs = cut(_with_texts(texts, marks).mapInArrow(partial(_whole, wanted=wanted), "doc bigint, low bigint, high bigint, pick bigint, run binary"))
 
     by_run = runs.groupBy("pick", "run").agg(F.min("doc").alias("a"), F.max("doc").alias("b"))
     mixed = by_run.groupBy("pick").agg(F.min("run").alias("r"), F.max("run").alias("s"), F.min("a").alias("x"), F.max("b").alias("y")).where("r <> s and x < y").select("pick", F.lit(True).alias("mixed"))
     told = cut(runs.join(by_run, ["pick", "run"]).join(mixed, "pick", "left"))
     hits = told.where("a < b").select("doc", F.col("low").alias("s"), (F.col("high") + wanted).alias("e"))
     alone = told.where("mixed and (a = b or doc = a or doc = b)").groupBy("doc").agg(F.collect_set(F.struct("low", "high")).alias("mark"))
-    spots = _with_texts(texts, alone).mapInArrow(partial(_positions, wanted=wanted), "doc bigint, at bigint, h bigint")
+    spots = _with_texts(texts, alone).mapInArrow(partial(_positions, wanted=wanted), "doc bigint, at bigint, h binary")
     spots = _repeated(spots).select("doc", F.col("at").alias("s"), (F.col("at") + wanted).alias("e"))
 
     order = Window.partitionBy("doc").orderBy("s", "e")

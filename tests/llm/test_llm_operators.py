@@ -54,9 +54,44 @@ def test_tokens_of_tables(spark, encoding):
     assert tokens.encode(df.limit(0)).count() == 0
 
 
+@SLOW
+@given(st.text(alphabet="abcdeé漢 12", min_size=1, max_size=120))
+def test_merging_by_list_and_by_heap(text):
+    import tiktoken
+
+    m = tokens.merger(tokens.BYTE_BPE_50K)
+    want = tiktoken.Encoding("slices", pat_str=r"[\s\S]+", mergeable_ranks=m.ranks, special_tokens={}).encode_ordinary(text)
+    assert m._short(text.encode()) == m._long(text.encode()) == want
+
+
+def test_slices(spark):
+    texts = [*ODD, None, "Don't stop  now"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    ids = {r.doc_id: list(r.ids) for r in tokens.encode(df).collect()}
+    raw = {i: x for x, i in tokens.merger(tokens.BYTE_BPE_50K).ranks.items()}
+    for r in tokens.encode_slices(df).collect():
+        assert list(r.ids) == ids[r.doc_id] and sum(s.n_ids for s in r.slices) == len(r.ids)
+        text, at = texts[r.doc_id] or "", 0
+        edges = [s.char_start for s in r.slices] + [len(text)]
+        for s, a, b in zip(r.slices, edges, edges[1:], strict=False):
+            assert b"".join(raw[i] for i in r.ids[at : at + s.n_ids]).decode() == text[a:b]
+            at += s.n_ids
+
+
 # ---- packing
 
 
+@SLOW
+@given(st.lists(st.integers(1, 100), min_size=1, max_size=40), st.integers(1, 12))
+def test_relieve_never_adds_weight_over_capacity(weights, bins):
+    w = np.array(weights, np.int64)
+    of = differencing.difference(w, bins)
+    before = np.maximum(np.bincount(of, w, bins) - 100, 0).sum()
+    fits = differencing.relieve(w, of, bins, 100)
+    after = np.maximum(np.bincount(of, w, bins) - 100, 0).sum()
+    assert after <= before and fits == (after == 0)
+
+
 @SLOW
 @given(st.lists(st.integers(0, 50), max_size=40), st.integers(1, 9))
 def test_difference_uses_every_weight(weights, bins):
@@ -177,8 +212,9 @@ def test_long_chain_is_one_component(spark):
 def test_broken_and_assigned(spark):
     rows = [(1, "a_x", "g", "h1", "train"), (2, "A-X", None, "0000", " Test "), (3, "b", "g2", None, "dev"), (4, "c", "G2 ", None, "DEV"), (5, "d", None, None, None), (6, "e", "g2", None, None)]
     df = spark.createDataFrame(rows, "spec_id bigint, template_family string, semantic_signature string, seed_value_hash string, intended_split string")
-    assert sorted(map(tuple, groups.broken_groups(df).collect())) == [(1, 1), (2, 1)]
     records = spark.createDataFrame([((f,),) for f in ["a_x"] * 70 + ["b"] * 20 + ["c"] * 5 + ["d"] * 5], "meta struct<template_family:string>")
+    assert sorted(map(tuple, groups.broken_groups(df, records).collect())) == [(1, 1), (2, 1)]
+    assert groups.broken_groups(df.limit(0), records).count() == 0 and sorted(map(tuple, groups.broken_groups(df, records.limit(0)).collect())) == [(1, 1), (2, 1)]
     out = {r.spec_id: r for r in groups.assign_splits(df, records).collect()}
     assert out[1].assigned_split == out[2].assigned_split == "train" and out[3].assigned_split == out[4].assigned_split == out[6].assigned_split
     assert out[1].group_records == 70 and out[3].group_records == 25 and out[2].keeps_intent is False and out[5].keeps_intent is None
@@ -262,6 +298,70 @@ def test_near_duplicate_pairs(spark):
     assert neardup.near_duplicate_pairs(df.limit(0), "k", "t", neardup.TEXT).count() == 0
 
 
+def test_long_texts_without_a_common_run(spark):
+    """Two texts of 150,000 words with no word in common have no overlap, and are compared by their words whatever the hashes say."""
+    a, b = (" ".join(f"{x}{i}" for i in range(150_000)) for x in "pq")
+    pairs = spark.createDataFrame([(1, 2), (1, 3)], "a bigint, b bigint")
+    texts = spark.createDataFrame([(1, a), (2, b), (3, a + " tail")], "sid bigint, text string")
+    assert [(r.a, r.b) for r in neardup.verified(pairs, texts, neardup.TEXT).collect()] == [(1, 3)]
+    of, run, _ = word_shingles([a, b], 3)
+    assert len(run) == 2 * 149_998 and len(set(run.tolist())) == len(run)
+
+
+def test_block_join(spark):
+    rows = [(1, i) for i in range(57)] + [(2, 7)] + [(3, i) for i in range(9)]
+    left = spark.createDataFrame(rows, "key bigint, x bigint")
+    right = left.withColumnRenamed("x", "y").where("key <> 3 or y < 4")
+    got = [tuple(r) for r in neardup.block_join(left, right, block=10).collect()]
+    want = {(k, x, y) for k, x in rows for j, y in rows if j == k and (k != 3 or y < 4)}
+    assert len(got) == len(want) and set(got) == want
+
+
+def hot_rows():
+    """A third of all rows share a band key for sure (and are pairwise similar), another third are copies of one text."""
+    r = random.Random(11)
+    base = [f"w{i}" for i in range(120)]
+    near = [" ".join(w if i != k else f"z{k}" for i, w in enumerate(base)) for k in range(60)]
+    other = [" ".join(r.choice(WORDS) + str(r.randint(0, 900)) for _ in range(30)) for _ in range(60)]
+    return near + ["one text that is there again and again"] * 60 + other
+
+
+def test_hot_keys(spark):
+    texts = hot_rows()
+    df = spark.createDataFrame([(i, t, i % 4 == 0) for i, t in enumerate(texts)], "k bigint, t string, side boolean").repartition(7)
+    bags = [shingles(t) for t in texts]
+    want = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if 2 * len(bags[i] & bags[j]) >= len(bags[i] | bags[j])}
+    assert {tuple(p) for p in neardup.near_duplicate_pairs(df, "k", "t", neardup.TEXT).collect()} == want
+    classes = neardup.classed(df, "t", neardup.TEXT, "k", "side")
+    met = {r.sid for r in neardup.across_classes(classes, neardup.TEXT, "side").collect()}
+    got = {r.k for r in classes.where("side").select("k", "sid").collect() if r.sid in met}
+    assert got == {i for i in range(0, len(texts), 4) if any((min(i, j), max(i, j)) in want for j in range(len(texts)) if j % 4)}
+    # what a step sends of a hot key is one row
+    bands = neardup._grouped(np.array([5] * 900 + [7, 8]), np.arange(902), None)
+    rows = [x for b in bands for x in b.to_pylist()]
+    assert len(rows) == 3 and max(len(x["more"] or []) for x in rows) == 900
+
+
+def test_hot_joins_are_split(spark):
+    """Adaptive execution splits the join of a hot key with its one row (components, shared spans)."""
+    from pyspark.sql import functions as F
+
+    conf = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "12"}
+    keep = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        rows = spark.range(0, 60_000, 1, 6).select((F.col("id") * 7919 + 1).alias("doc"), F.when(F.col("id") % 3 == 0, F.lit(5)).otherwise(F.col("id")).alias("h"))
+        out = shared_spans._repeated(rows)
+        assert out.count() == 20_000
+        out.collect()
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "skew=true" in plan
+    finally:
+        for k, v in keep.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_weighted_likeness(spark):
     base = " ".join(f"w{i}" for i in range(60))
     df = spark.createDataFrame([(1, base), (2, base.replace("w30", "x")), (3, base + " " + base), (4, base)], "k bigint, t string")
