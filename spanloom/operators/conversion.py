@@ -2,32 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical_label, filled
 from ..schema import LABELS
 
-SPAN_JSON = "array<struct<start:string,end:string,label:string,text:string>>"
+# Names by which the fields of a span go, and the keys under which a list of spans may stand, in order of preference.
+START_NAMES = ("start", "start_idx", "start_index", "begin", "offset_start")
+END_NAMES = ("end", "end_idx", "end_index", "stop", "offset_end")
+LABEL_NAMES = ("label", "type", "entity", "entity_type", "pii_type", "category")
+VALUE_NAMES = ("text", "value", "span_text", "entity_text")
+COLLECTIONS = ("spans", "entities", "annotations", "pii", "items")
+
+
+def _field(v: str, names: tuple[str, ...], at: int | None = None) -> Column:
+    """The first of the fields that is there, as a string; else the element at a place of a list."""
+    places = [f"$.{n}" for n in names] + ([] if at is None else [f"$[{at}]"])
+    return F.coalesce(*[F.try_variant_get(v, p, "string") for p in places])
 
 
 def parse_spans(rows: DataFrame, key: str, raw: str) -> DataFrame:
-    """(key, span_index, start, end, label) from a JSON column: a list of objects or of [start, end, label], an object with `spans`, one span, or label -> list of [start, end].
+    """(key, span_index, start, end, label, value) from a JSON column: a list of objects or of [start, end, label], an object with such a list under one of COLLECTIONS, one span, or label -> list of
+    spans or of [start, end]. Fields go by any of their names.
 
     Values stay strings (null where missing), so nothing is lost before the checks. What is no JSON gives no row."""
     v = rows.select(key, F.try_parse_json(F.col(raw)).alias("v")).where("v is not null")
-    inner = v.withColumn("v", F.coalesce(F.try_variant_get("v", "$.spans", "variant"), F.col("v")))
+    inner = v.withColumn("v", F.coalesce(*[F.try_variant_get("v", f"$.{c}", "variant") for c in COLLECTIONS], F.col("v")))
     kind = F.schema_of_variant("v")
+    one = _field("v", LABEL_NAMES).isNotNull() | _field("v", START_NAMES).isNotNull()
     lists = inner.where(kind.startswith("ARRAY"))
-    single = inner.where(kind.startswith("OBJECT") & F.try_variant_get("v", "$.label", "string").isNotNull()).withColumn("v", F.parse_json(F.concat(F.lit("["), F.to_json("v"), F.lit("]"))))
-    by_label = inner.where(kind.startswith("OBJECT") & F.try_variant_get("v", "$.label", "string").isNull())
+    single = inner.where(kind.startswith("OBJECT") & one).withColumn("v", F.parse_json(F.concat(F.lit("["), F.to_json("v"), F.lit("]"))))
+    by_label = inner.where(kind.startswith("OBJECT") & ~one)
     flat = lists.unionByName(single)
     items = flat.lateralJoin(flat.sparkSession.tvf.variant_explode(F.col("v").outer()).select("pos", F.col("value").alias("x")))
-    get = lambda name, at: F.coalesce(F.try_variant_get("x", f"$.{name}", "string"), F.try_variant_get("x", f"$[{at}]", "string"))
-    listed = items.select(key, F.col("pos").cast("int").alias("span_index"), get("start", 0).alias("start"), get("end", 1).alias("end"), get("label", 2).alias("label"))
+    parts = [_field("x", START_NAMES, 0).alias("start"), _field("x", END_NAMES, 1).alias("end")]
+    listed = items.select(key, F.col("pos").cast("int").alias("span_index"), *parts, _field("x", LABEL_NAMES, 2).alias("label"), _field("x", VALUE_NAMES).alias("value"))
     pairs = by_label.lateralJoin(by_label.sparkSession.tvf.variant_explode(F.col("v").outer()).select(F.col("key").alias("label"), F.col("value").alias("y")))
     pairs = pairs.lateralJoin(pairs.sparkSession.tvf.variant_explode(F.col("y").outer()).select("pos", F.col("value").alias("x")))
-    named = pairs.select(key, F.col("pos").cast("int").alias("span_index"), get("start", 0).alias("start"), get("end", 1).alias("end"), "label")
+    named = pairs.select(key, F.col("pos").cast("int").alias("span_index"), *parts, "label", _field("x", VALUE_NAMES).alias("value"))
     return listed.unionByName(named)
 
 

@@ -90,6 +90,19 @@ def overflow_windows(tokens_: DataFrame, most: int = 384, stride: int = 128) ->
     return t.select("record_idx", "window_index", (F.col("tok_idx") - F.col("window_index") * step).cast("int").alias("tok_idx"), "ts", "te")
 
 
+def truncated(spans: DataFrame, tokens_: DataFrame, records: DataFrame, most: int = 384) -> DataFrame:
+    """(record_idx, gold_idx, label) of the spans that a single window of the first `most` tokens of record_tokens would cut: some character of theirs but white space lies in none of these tokens.
+    Records without tokens are left out."""
+    t = tokens_.where(F.col("tok_idx") < most).select("record_idx", "ts", "te")
+    s = spans.join(tokens_.select("record_idx").distinct(), "record_idx", "left_semi").select("record_idx", "gold_idx", "label", "s", "e")
+    hit = s.join(t, (s["record_idx"] == t["record_idx"]) & (F.col("ts") < F.col("e")) & (F.col("s") < F.col("te")), "left").select(s["record_idx"], "gold_idx", "label", "s", "e", "ts", "te")
+    per = hit.groupBy("record_idx", "gold_idx", "label", "s", "e").agg(F.array_sort(F.collect_list(F.when(F.col("ts").isNotNull(), F.struct("ts", "te")))).alias("tt"))
+    per = per.join(records.select("record_idx", "text"), "record_idx")
+    # what lies before, between and behind the tokens of a span
+    rest = F.expr("aggregate(tt, struct(s as at, '' as left), (x, t) -> struct(greatest(x.at, t.te) as at, concat(x.left, if(t.ts > x.at, substring(text, x.at + 1, t.ts - x.at), '')) as left), x -> concat(x.left, if(e > x.at, substring(text, x.at + 1, e - x.at), '')))")
+    return per.where(F.length(F.regexp_replace(rest, r"[\s\p{Z}]+", "")) > 0).select("record_idx", "gold_idx", "label")
+
+
 def bio_tags(windowed: DataFrame, spans: DataFrame) -> DataFrame:
     """windowed with tag: B- at a span's first token in a window, I- after, O elsewhere, IGNORE for tokens that two spans share."""
     hit = windowed.join(spans.select("record_idx", "gold_idx", "s", "e", "label"), "record_idx").where("ts < e and s < te")

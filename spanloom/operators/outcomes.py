@@ -92,6 +92,27 @@ def o_target_predictions(target: DataFrame, pred: DataFrame) -> DataFrame:
     return each.groupBy("pred_label").agg(F.count(F.lit(1)).alias("o_targets"), F.countDistinct("record_idx").alias("records"))
 
 
+def label_in_context(gold: DataFrame, pred: DataFrame, label: str, other: str) -> DataFrame:
+    """(support, recognized, others_as_label, nothing_as_label, label_as_other, boundary_errors), one row: how a label fares beside another that looks alike. Predictions of the label that touch
+    none of its spans are told by whether they touch a span of the other; its spans by an equal prediction, one of the other label over them, one of its own with other offsets."""
+    both = F.col("label").isin(label, other)
+    g = gold.where(both).select("record_idx", F.struct("s", "e", "label").alias("x")).groupBy("record_idx").agg(F.collect_list("x").alias("gs"))
+    p = pred.where(both).select("record_idx", F.struct("s", "e", "label").alias("x")).groupBy("record_idx").agg(F.collect_list("x").alias("ps"))
+    r = g.join(p, "record_idx", "full").select(*[F.coalesce(c, F.array().cast("array<struct<s:int,e:int,label:string>>")).alias(c) for c in ("gs", "ps")])
+    of = lambda c, name: F.filter(c, lambda x: x["label"] == name)
+    touch = lambda x, y: (x["s"] < y["e"]) & (y["s"] < x["e"])
+    equal = lambda x, y: (x["s"] == y["s"]) & (x["e"] == y["e"])
+    r = r.select(of("gs", label).alias("a"), of("gs", other).alias("b"), of("ps", label).alias("p"), of("ps", other).alias("q"))
+    lone = F.filter("p", lambda x: ~F.exists("a", lambda y: touch(x, y)))
+    r = r.withColumn("lone", lone)
+    n = lambda c: F.coalesce(F.sum(F.size(c)), F.lit(0)).cast("bigint")
+    return r.agg(
+        n(F.col("a")).alias("support"), n(F.filter("a", lambda x: F.exists("p", lambda y: equal(x, y)))).alias("recognized"),
+        n(F.filter("lone", lambda x: F.exists("b", lambda y: touch(x, y)))).alias("others_as_label"), n(F.filter("lone", lambda x: ~F.exists("b", lambda y: touch(x, y)))).alias("nothing_as_label"),
+        n(F.filter("a", lambda x: F.exists("q", lambda y: touch(x, y)))).alias("label_as_other"), n(F.filter("a", lambda x: F.exists("p", lambda y: touch(x, y) & ~equal(x, y)))).alias("boundary_errors"),
+    )
+
+
 def subtype_recall(records: DataFrame, pred: DataFrame) -> DataFrame:
     """(source_label, support, found, recall): provenance spans with an equal prediction, by source label; recall is null without support."""
     v = records.select("record_idx", F.explode("meta.entity_provenance").alias("v")).select("record_idx", F.col("v.span_start").alias("s"), F.col("v.span_end").alias("e"), F.col("v.label").alias("label"), F.upper("v.source_label").alias("source_label"))

@@ -59,17 +59,75 @@ def value_for(label: Column, key: Column, seed: int) -> Column:
     return out.otherwise(d(8, "other"))
 
 
+#: Written forms of the values of a label: cut (lengths of the groups of its digits) and joint.
+MORPHOLOGIES = {
+    "SSN": {"dashed": ((3, 2, 4), "-"), "spaced": ((3, 2, 4), " "), "dotted": ((3, 2, 4), "."), "plain": ((9,), "")}, "ITIN": {"dashed": ((3, 2, 4), "-"), "spaced": ((3, 2, 4), " "), "plain": ((9,), "")},
+    "CREDIT_CARD_NUMBER": {"plain": ((16,), ""), "spaced": ((4, 4, 4, 4), " "), "dashed": ((4, 4, 4, 4), "-")}, "BANK_ACCOUNT_NUMBER": {"plain": ((10,), ""), "dashed": ((4, 6), "-")},
+    "ROUTING_NUMBER": {"plain": ((9,), ""), "spaced": ((4, 4, 1), " ")}, "TAX_ID": {"dashed": ((2, 7), "-"), "plain": ((9,), "")},
+}
+
+
+def formed(label: str, value: Column, morphology: str) -> Column:
+    """A value in one of the written forms of its label: its digits grouped anew."""
+    cut, joint = MORPHOLOGIES[label][morphology]
+    digits, at, parts = F.regexp_replace(value, "[^0-9]", ""), 1, []
+    for n in cut:
+        parts.append(F.substring(digits, at, n))
+        at += n
+    return F.concat_ws(joint, *parts)
+
+
+def noise_value(kind: Column, key: Column, seed: int) -> Column:
+    """What looks like a value of some label and is none: version, build, order, ticket, trace, batch, service account, request."""
+    p = (F.lit(seed), kind, key)
+    d = lambda k, tag: _digits(k, *p, F.lit(tag))
+    hexes = F.sha2(F.concat_ws("~", *[x.cast("string") for x in p]), 256)
+    uuid = F.concat_ws("-", F.substring(hexes, 1, 8), F.substring(hexes, 9, 4), F.concat(F.lit("4"), F.substring(hexes, 14, 3)), F.concat(F.lit("8"), F.substring(hexes, 18, 3)), F.substring(hexes, 21, 12))
+    quad = F.concat_ws(".", *[draw(n, *p, F.lit(f"v{i}")).cast("string") for i, n in enumerate((9, 40, 200, 250))])
+    values = {
+        "version": quad, "build": F.concat_ws(".", d(3, "b"), d(3, "c"), d(4, "d")), "order": F.concat_ws("-", d(3, "o"), d(2, "p"), d(4, "q")), "ticket": d(9, "t"), "trace": F.substring(hexes, 1, 32), "batch": d(10, "n"),
+        "service": F.concat(word(*p, F.lit("svc")), F.lit("-"), _pick(["api", "worker", "relay"], *p)), "request": uuid,
+    }
+    out = None
+    for k, v in values.items():
+        out = F.when(kind == k, v) if out is None else out.when(kind == k, v)
+    return out
+
+
+NOISE = ("version", "build", "order", "ticket", "trace", "batch", "service", "request")
+#: Surface styles: how a key and its value are written, with {KEY} and {VALUE}.
+SURFACES = {
+    "key_equals": "{KEY}={VALUE}", "key_colon": "{KEY}: {VALUE}", "json_flat": '{"{KEY}":"{VALUE}"}', "json_nested": '{"event":{"{KEY}":"{VALUE}"}}', "structured_audit": "audit [{KEY}] value [{VALUE}] recorded", "query": "GET /find?{KEY}={VALUE}&page=1",
+    "csv_row": "{KEY},{VALUE},ok", "plain": "the {KEY} {VALUE} was seen",
+}
+STYLES = ("json", "kv", "syslog", "bracketed", "csv", "plain")
+QUIET = ("job {version} finished without findings", "cache warmed in time", "queue drained, nothing left", "rotation of keys done")
+
+
+def surface(style: str, key: str, place: str) -> str:
+    return SURFACES[style].replace("{KEY}", key).replace("{VALUE}", place)
+
+
+def catalog(spark: SparkSession) -> DataFrame:
+    """(template_family, template, style, kind): positive templates of all labels in all surface styles, hard negatives (look-alikes in the same styles) and quiet ones. A catalogue of fixed size, in order of family."""
+    rows = [(f"positive_{x.lower()}_{s}", surface(s, x.lower(), f"{{{x}}}"), STYLES[(i + j) % len(STYLES)], "positive") for i, x in enumerate(LABELS) for j, s in enumerate(SURFACES)]
+    rows += [(f"negative_{k}_{s}", surface(s, f"{k}_ref", f"{{{k}}}"), STYLES[(i + j) % len(STYLES)], "hard_negative") for i, k in enumerate(NOISE) for j, s in enumerate(SURFACES)]
+    rows += [(f"quiet_{i}", x, STYLES[i % len(STYLES)], "negative") for i, x in enumerate(QUIET)]
+    return spark.createDataFrame(sorted(rows), "template_family string, template string, style string, kind string")
+
+
 def render(template: Column, values: Column) -> Column:
-    """struct(text, spans) of a template whose {LABEL} places take the values of a map; a place without value stays as it stands. Offsets are counted while the pieces are joined."""
-    pieces = F.regexp_extract_all(template, F.lit(r"(\{[A-Z_]+\}|[^{]+|\{)"), F.lit(1))
+    """struct(text, spans) of a template whose {LABEL} places take the values of a map and whose {noise} places, in small letters, take theirs without a span; a place without value stays as it stands.
+    Offsets are counted while the pieces are joined."""
+    pieces = F.regexp_extract_all(template, F.lit(r"(\{[A-Za-z_]+\}|[^{]+|\{)"), F.lit(1))
     span = "array<struct<span_start:int,span_end:int,label:string>>"
 
     def step(acc: Column, piece: Column) -> Column:
-        label = F.regexp_extract(piece, r"^\{([A-Z_]+)\}$", 1)
+        label = F.regexp_extract(piece, r"^\{([A-Za-z_]+)\}$", 1)
         value = F.try_element_at(values, label)
         at = F.length(acc["text"])
         filled = F.concat(acc["spans"], F.array(F.struct(at.alias("span_start"), (at + F.length(value)).alias("span_end"), label.alias("label"))))
-        return F.struct(F.concat(acc["text"], F.coalesce(value, piece)).alias("text"), F.when(value.isNull(), acc["spans"]).otherwise(filled).cast(span).alias("spans"))
+        return F.struct(F.concat(acc["text"], F.coalesce(value, piece)).alias("text"), F.when(value.isNull() | ~label.rlike("^[A-Z_]+$"), acc["spans"]).otherwise(filled).cast(span).alias("spans"))
 
     return F.aggregate(pieces, F.struct(F.lit("").alias("text"), F.array().cast(span).alias("spans")), step)
 
@@ -84,14 +142,14 @@ def wrap(style: Column, text: Column, at: Column) -> Column:
     )
 
 
-def generate(spark: SparkSession, templates: DataFrame, rows: int, seed: int = 42) -> DataFrame:
-    """(record_idx, template_family, text, entities): records from templates(template_family, template, style), in turn. Values depend on the seed and the record only."""
+def generate(spark: SparkSession, templates: DataFrame, rows: int, seed: int = 42, start: int = 0) -> DataFrame:
+    """(record_idx, template_family, text, entities): records from templates(template_family, template, style), in turn, numbered from `start`. Values depend on the seed and the record only."""
     n = templates.count()
     numbered = templates.selectExpr("*", "row_number() over (order by template_family) - 1 as slot")
-    base = spark.range(rows).select(F.col("id").alias("record_idx"), F.pmod("id", F.lit(n)).alias("slot")).join(F.broadcast(numbered), "slot")  # templates are a catalogue of bounded size
-    labels = F.array_distinct(F.regexp_extract_all("template", F.lit(r"\{([A-Z_]+)\}"), F.lit(1)))
-    known = F.filter(labels, lambda x: x.isin(*LABELS))
-    values = F.map_from_entries(F.transform(known, lambda x: F.struct(x, value_for(x, F.col("record_idx"), seed))))
+    base = spark.range(start, start + rows).select(F.col("id").alias("record_idx"), F.pmod("id", F.lit(n)).alias("slot")).join(F.broadcast(numbered), "slot")  # templates are a catalogue of bounded size
+    places = F.array_distinct(F.regexp_extract_all("template", F.lit(r"\{([A-Za-z_]+)\}"), F.lit(1)))
+    known = F.filter(places, lambda x: x.isin(*LABELS, *NOISE))
+    values = F.map_from_entries(F.transform(known, lambda x: F.struct(x, F.coalesce(F.when(x.isin(*NOISE), noise_value(x, F.col("record_idx"), seed)), value_for(x, F.col("record_idx"), seed)))))
     made = base.withColumn("r", render(F.col("template"), values))
     whole = wrap(F.col("style"), F.col("r.text"), F.col("record_idx"))
     shift = F.instr(whole, F.col("r.text")) - 1
@@ -99,6 +157,11 @@ def generate(spark: SparkSession, templates: DataFrame, rows: int, seed: int = 4
     return made.select("record_idx", "template_family", whole.alias("text"), moved.alias("entities"))
 
 
+def unlabeled(spark: SparkSession, rows: int, seed: int = 42, start: int = 1_000_000) -> DataFrame:
+    """generate over the templates without labels: raw negatives, numbered from `start` so that they meet no labelled record."""
+    return generate(spark, catalog(spark).where("kind <> 'positive'").drop("kind"), rows, seed, start)
+
+
 def contrast_pairs(spark: SparkSession, families: DataFrame, seed: int = 42) -> DataFrame:
     """Two records for each (family, pair): one value in a sensitive and in a harmless role. families(family, label, pairs, sensitive, harmless), the last two templates with {FOCUS}.
 

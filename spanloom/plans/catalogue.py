@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics as M
 from ..functions import text as X
-from ..operators import audits, conversion, corpus, decoding, gates, matching, outcomes, spans, synthesis
-from ..schema import HIGH_RISK, LABELS, REVIEW_STATES
+from ..operators import audits, conversion, corpus, decoding, gates, matching, outcomes, reporting, spans, synthesis, validation
+from ..schema import HIGH_RISK, LABELS, LEGACY_REVIEW_STATES, REVIEW_STATES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -611,12 +611,137 @@ def corpus_composition(t: Tables) -> DataFrame:
 
 @query()
 def synthetic_records(t: Tables) -> DataFrame:
-    forms = [("user {PERSON_NAME} signed in from {IP_ADDRESS}", "json"), ("charge {CREDIT_CARD_NUMBER} declined for {EMAIL}", "syslog"), ("ssn {SSN} on file, call {PHONE}", "kv"), ("wire {IBAN} via {ROUTING_NUMBER}", "bracketed")]
-    templates = t.spark.createDataFrame([(f"form{i}_v1", x, s) for i, (x, s) in enumerate(forms)], "template_family string, template string, style string")
-    return synthesis.generate(t.spark, templates, 2000)
+    """As many records as family_spec counts pairs, over the whole catalogue of templates."""
+    rows = t.family_spec.agg(F.coalesce(F.sum("pair_count"), F.lit(0)).alias("n")).first().n
+    return synthesis.generate(t.spark, synthesis.catalog(t.spark).drop("kind"), int(rows))
+
+
+@query()
+def synthetic_negatives(t: Tables) -> DataFrame:
+    return synthesis.unlabeled(t.spark, int(t.family_spec.count()))
 
 
 @query()
 def synthetic_pairs(t: Tables) -> DataFrame:
     f = t.family_spec.where("morphology_class is not null and pair_count is not null").select(F.col("template_family").alias("family"), F.col("morphology_class").alias("label"), F.col("pair_count").alias("pairs"), F.lit("verified value {FOCUS} of the customer").alias("sensitive"), F.lit("order reference {FOCUS} replayed").alias("harmless"))
     return synthesis.contrast_pairs(t.spark, f.distinct())
+
+
+# ---- rules of records
+
+_BLANK = "coalesce(regexp_replace({0}, '[\\s\\p{{Z}}]+', '', 'g'), '') = ''"
+_FITS = "coalesce({0}.span_start >= 0 AND {0}.span_start < {0}.span_end AND {0}.span_end <= length(text), false)"
+_KEPT = "coalesce(len(list_filter(entities, lambda y: y.span_start = {0}.span_start AND y.span_end = {0}.span_end AND y.label = {1})) > 0, false)"
+_PROV = f"""pv AS (SELECT record_idx, text, entities, meta.entity_provenance AS items, i AS nth, meta.entity_provenance[i] AS x FROM (SELECT *, unnest(generate_series(1, len(meta.entity_provenance))) AS i FROM split_record WHERE len(meta.entity_provenance) > 0) q),
+  pf AS (SELECT record_idx, nth - 1 AS item, CASE WHEN x.span_start IS NULL OR x.span_end IS NULL OR x.label IS NULL OR x.source_label IS NULL THEN ['missing_field'] WHEN NOT {_FITS.format("x")} THEN ['outside_text'] WHEN x.label NOT IN {_in(LABELS)} THEN ['unknown_label']
+    WHEN {_BLANK.format("x.source_label")} THEN ['blank_source_label'] ELSE list_filter([CASE WHEN NOT {_KEPT.format("x", "x.label")} THEN 'not_retained' END, CASE WHEN x.source_span_index < 0 THEN 'negative_source_index' END, CASE WHEN list_contains(items[1:nth - 1], x) THEN 'duplicate' END], lambda c: c IS NOT NULL) END AS codes FROM pv)"""
+
+
+@query(f"WITH {_PROV} SELECT record_idx, item, array_to_string(codes, ',') AS codes FROM pf")
+def provenance_faults(t: Tables) -> DataFrame:
+    return validation.provenance_faults(t.split_record).withColumn("codes", F.array_join("codes", ","))
+
+
+@query(f"""WITH ex AS (SELECT record_idx, text, entities, list_transform(list_filter(entities, lambda y: y.label IS NULL OR y.label NOT IN {_in(LABELS)} OR NOT coalesce(y.span_start >= 0 AND y.span_start < y.span_end AND y.span_end <= length(text), false)),
+    lambda y: {{'span_start': y.span_start, 'span_end': y.span_end, 'source_label': y.label, 'category': CASE WHEN y.label = upper(y.label) THEN 'invalid_source_span' END, 'mapped_label': upper(y.label)}}) AS items FROM split_record),
+  en AS (SELECT record_idx, text, entities, items, i AS nth, items[i] AS x FROM (SELECT *, unnest(generate_series(1, len(items))) AS i FROM ex WHERE len(items) > 0) q)
+SELECT record_idx, nth - 1 AS item, CASE WHEN {_BLANK.format("x.source_label")} THEN 'blank_source_label' WHEN coalesce(x.category, '') <> 'invalid_source_span' AND (x.span_start IS NULL OR x.span_end IS NULL) THEN 'offsets_missing' WHEN coalesce(x.category, '') <> 'invalid_source_span' AND NOT {_FITS.format("x")} THEN 'outside_text'
+  ELSE concat_ws(',', CASE WHEN x.mapped_label NOT IN {_in(LABELS)} THEN 'unknown_mapped_label' END, CASE WHEN x.mapped_label IN {_in(LABELS)} AND {_FITS.format("x")} AND {_KEPT.format("x", "x.mapped_label")} THEN 'also_retained' END,
+    CASE WHEN len(list_filter(items[1:nth - 1], lambda y: y.span_start IS NOT DISTINCT FROM x.span_start AND y.span_end IS NOT DISTINCT FROM x.span_end AND y.source_label IS NOT DISTINCT FROM x.source_label)) > 0 THEN 'duplicate' END) END AS codes FROM en""")
+def excluded_span_faults(t: Tables) -> DataFrame:
+    """Of the delivered spans that are no candidates, as a conversion would exclude them."""
+    bad = F.filter("entities", lambda y: y["label"].isNull() | ~y["label"].isin(*LABELS) | ~spans.in_bounds(y["span_start"], y["span_end"], F.length("text")))
+    item = lambda y: F.struct(y["span_start"].alias("span_start"), y["span_end"].alias("span_end"), y["label"].alias("source_label"), F.lit("excluded").alias("reason"), F.when(y["label"] == F.upper(y["label"]), validation.INVALID_SOURCE).alias("category"), F.upper(y["label"]).alias("mapped_label"), F.lit(True).alias("blocks"))
+    return validation.excluded_faults(t.split_record.select("record_idx", "text", "entities", F.transform(bad, item).alias("excluded"))).withColumn("codes", F.array_join("codes", ","))
+
+
+_META = f"""mf AS (SELECT record_idx, concat_ws(',', CASE WHEN {_BLANK.format("meta.source")} THEN 'source_missing' END, CASE WHEN {_BLANK.format("meta.review_status")} THEN 'review_missing' END, CASE WHEN NOT {_BLANK.format("meta.review_status")} AND meta.review_status NOT IN {_in((*REVIEW_STATES, *LEGACY_REVIEW_STATES))} THEN 'review_unknown' END,
+  CASE WHEN meta.license_reviewed IS NULL THEN 'license_missing' END, CASE WHEN meta.template_family IS NOT NULL AND {_BLANK.format("meta.template_family")} THEN 'family_blank' END, CASE WHEN NOT {_BLANK.format("meta.template_family")} AND regexp_matches(meta.template_family, '[\\s\\p{{Z}}]') THEN 'family_with_blank' END,
+  CASE WHEN meta.review_status = 'synthetic_generated' AND meta.template_family IS NULL THEN 'family_missing' END) AS codes, concat_ws(',', CASE WHEN meta.review_status = 'generated' THEN 'review_legacy' END, CASE WHEN meta.review_status = 'generated' AND meta.template_family IS NULL THEN 'family_missing' END) AS warnings FROM split_record)"""
+
+
+@query(f"WITH {_META} SELECT * FROM mf")
+def meta_faults(t: Tables) -> DataFrame:
+    return validation.meta_faults(t.split_record).select("record_idx", F.array_join("codes", ",").alias("codes"), F.array_join("warnings", ",").alias("warnings"))
+
+
+_FOCUS = {k: (v, "BUSINESS_ID", "O") for k, v in _LOOKS.items()}
+
+
+@query(f"""WITH x AS (SELECT record_idx, text, entities, meta.contrast_category AS category, i - 1 AS item, meta.contrast_targets[i] AS x FROM (SELECT *, unnest(generate_series(1, len(meta.contrast_targets))) AS i FROM split_record WHERE len(meta.contrast_targets) > 0) q)
+SELECT record_idx, item, x.target_role AS target_role, CASE WHEN NOT {_FITS.format("x")} THEN 'offsets' WHEN x.expected_label IS NULL OR x.expected_label NOT IN {_in(("O", *LABELS))} THEN 'unknown_label' WHEN NOT coalesce(regexp_full_match(x.value_sha256, '[0-9a-f]{{64}}'), false) THEN 'hash_format'
+  WHEN sha256(substring(text, x.span_start + 1, x.span_end - x.span_start)) <> x.value_sha256 THEN 'hash_differs' WHEN x.expected_label = 'O' AND coalesce(len(list_filter(entities, lambda y: y.span_start < x.span_end AND y.span_end > x.span_start)) > 0, false) THEN 'o_touches_span'
+  WHEN x.expected_label <> 'O' AND NOT {_KEPT.format("x", "x.expected_label")} THEN 'no_equal_span'
+  WHEN x.target_role = 'focus' AND x.expected_label NOT IN ('BUSINESS_ID', 'O') AND x.expected_label <> CASE category {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _LOOKS.items())} END THEN 'focus_label' WHEN x.target_role = 'companion' AND x.expected_label = 'O' THEN 'companion_is_nothing' END AS code FROM x""")
+def target_rule_faults(t: Tables) -> DataFrame:
+    return validation.target_rules(t.split_record, _FOCUS)
+
+
+_VALID = f"""{_PROV}, {_META}, {_RAW}, sx AS (SELECT *, row_number() OVER (PARTITION BY record_idx, s, e, label ORDER BY gold_idx) AS nth, lag(e) OVER (PARTITION BY record_idx ORDER BY s NULLS LAST, e NULLS LAST, label NULLS LAST, gold_idx) AS p FROM raw),
+  sn AS (SELECT record_idx, count(*) AS span_codes FROM sx WHERE s IS NULL OR e IS NULL OR label IS NULL OR n IS NULL OR s < 0 OR s >= e OR e > n OR label NOT IN {_in(LABELS)} OR nth > 1 OR p > s GROUP BY 1), pn AS (SELECT record_idx, count(*) AS provenance_codes FROM pf WHERE len(codes) > 0 GROUP BY 1),
+  va AS (SELECT record_idx, split, CASE WHEN text IS NULL THEN 'text_missing' WHEN {_BLANK.format("text")} THEN 'text_blank' WHEN entities IS NULL THEN 'entities_missing' END AS text_code, coalesce(span_codes, 0) AS span_codes, CASE WHEN codes = '' THEN 0 ELSE len(string_split(codes, ',')) END AS meta_codes, coalesce(provenance_codes, 0) AS provenance_codes
+    FROM split_record JOIN mf USING (record_idx) LEFT JOIN sn USING (record_idx) LEFT JOIN pn USING (record_idx))"""
+
+
+@query(f"""WITH {_VALID} SELECT record_idx, text_code IS NULL AND span_codes + meta_codes + provenance_codes = 0 AS valid,
+  concat_ws('; ', text_code, CASE WHEN span_codes > 0 THEN 'span_codes: ' || span_codes END, CASE WHEN meta_codes > 0 THEN 'meta_codes: ' || meta_codes END, CASE WHEN provenance_codes > 0 THEN 'provenance_codes: ' || provenance_codes END) AS message FROM va""")
+def record_validity(t: Tables) -> DataFrame:
+    return validation.messages(validation.validity(t.split_record))
+
+
+@query(f"WITH {_GOLD} SELECT s.split, l.label FROM (SELECT DISTINCT split FROM split_record WHERE split IS NOT NULL) s CROSS JOIN label_spec l WHERE NOT EXISTS (SELECT 1 FROM allgold g WHERE g.split = s.split AND g.label = l.label)")
+def missing_labels(t: Tables) -> DataFrame:
+    labels = F.array(*map(F.lit, LABELS))
+    required = t.split_record.where("split is not null").select("split").distinct().select("split", F.explode(labels).alias("label"))
+    return validation.missing(required, t.gold, "split", "label")
+
+
+# ---- reports and what gates compare
+
+
+@query(f"""WITH {_NUM}, seg AS (SELECT record_idx, CASE WHEN {_SYN} THEN 'synthetic' ELSE 'external' END AS segment FROM split_record), x AS (SELECT segment, label, 1 AS t, 0 AS p, 0 AS g FROM exact JOIN seg USING (record_idx) UNION ALL SELECT segment, label, 0, 1, 0 FROM pred JOIN seg USING (record_idx) JOIN split_record USING (record_idx) WHERE split IN ('dev', 'test')
+    UNION ALL SELECT segment, label, 0, 0, 1 FROM gold JOIN seg USING (record_idx)), y AS (SELECT coalesce(segment, 'overall') AS segment, label, sum(t) AS tp, sum(p) AS predicted, sum(g) AS support FROM x GROUP BY GROUPING SETS ((segment, label), (label))),
+  v AS (SELECT *, coalesce(2 * tp / nullif(predicted + support, 0)::DOUBLE, 0) AS f FROM y), r AS (SELECT coalesce(segment, 'overall') AS segment, count(*) AS records FROM seg JOIN split_record USING (record_idx) WHERE split IN ('dev', 'test') GROUP BY ROLLUP (segment))
+SELECT segment, records, CAST(sum(support) AS BIGINT) AS gold, round(coalesce(sum(tp) / nullif(sum(predicted), 0)::DOUBLE, 0), 6) AS precision, round(coalesce(sum(tp) / nullif(sum(support), 0)::DOUBLE, 0), 6) AS recall, round(coalesce(2 * sum(tp) / nullif(sum(predicted + support), 0)::DOUBLE, 0), 6) AS f1,
+  round(coalesce(avg(f) FILTER (support > 0), 0), 6) AS supported_macro_f1 FROM v JOIN r USING (segment) GROUP BY 1, 2""")
+def source_segments(t: Tables) -> DataFrame:
+    scored = t.split_record.where("split in ('dev', 'test')")
+    segment = scored.select("record_idx", F.when(corpus.is_synthetic(), "synthetic").otherwise("external").alias("segment"))
+    return reporting.segments(segment, t.scored_gold, t.pred)
+
+
+@query(f"""WITH {_GOLD}, {_PRED}, sg AS (SELECT * FROM gold WHERE label = 'SSN'), bg AS (SELECT * FROM gold WHERE label = 'BUSINESS_ID'), sp AS (SELECT p.* FROM pred p JOIN split_record USING (record_idx) WHERE label = 'SSN' AND split IN ('dev', 'test')),
+  lone AS (SELECT * FROM sp p WHERE NOT EXISTS (SELECT 1 FROM sg g WHERE g.record_idx = p.record_idx AND g.s < p.e AND p.s < g.e))
+SELECT (SELECT count(*) FROM sg) AS support, (SELECT count(*) FROM sg g WHERE EXISTS (SELECT 1 FROM sp p WHERE p.record_idx = g.record_idx AND p.s = g.s AND p.e = g.e)) AS recognized,
+  (SELECT count(*) FROM lone p WHERE EXISTS (SELECT 1 FROM bg g WHERE g.record_idx = p.record_idx AND g.s < p.e AND p.s < g.e)) AS others_as_label, (SELECT count(*) FROM lone p WHERE NOT EXISTS (SELECT 1 FROM bg g WHERE g.record_idx = p.record_idx AND g.s < p.e AND p.s < g.e)) AS nothing_as_label,
+  (SELECT count(*) FROM sg g WHERE EXISTS (SELECT 1 FROM pred p WHERE p.record_idx = g.record_idx AND p.label = 'BUSINESS_ID' AND p.s < g.e AND g.s < p.e)) AS label_as_other, (SELECT count(*) FROM sg g WHERE EXISTS (SELECT 1 FROM sp p WHERE p.record_idx = g.record_idx AND p.s < g.e AND g.s < p.e AND (p.s <> g.s OR p.e <> g.e))) AS boundary_errors""")
+def ssn_context(t: Tables) -> DataFrame:
+    scored = t.split_record.where("split in ('dev', 'test')").select("record_idx")
+    return outcomes.label_in_context(t.scored_gold, t.pred.join(scored, "record_idx", "left_semi"), "SSN", "BUSINESS_ID")
+
+
+_TOKENS = """lw AS (SELECT record_idx, window_index, arg_max(offset_mapping, {'a': aligned_at, 'n': len(offset_mapping)}) AS m FROM align_window GROUP BY 1, 2), tk AS (SELECT record_idx, window_index, i - 1 AS tok_idx, m[i].tok_start AS ts, m[i].tok_end AS te FROM (SELECT *, unnest(generate_series(1, len(m))) AS i FROM lw WHERE len(m) > 0) q WHERE m[i].tok_end > m[i].tok_start),
+  rt AS (SELECT record_idx, ts, te, row_number() OVER (PARTITION BY record_idx ORDER BY ts, te) - 1 AS tok_idx FROM (SELECT DISTINCT record_idx, ts, te FROM tk) q)"""
+
+
+@query(f"""WITH {_GOLD}, {_TOKENS}, ft AS (SELECT * FROM rt WHERE tok_idx < 384), ch AS (SELECT g.record_idx, g.gold_idx, g.label, unnest(generate_series(g.s, g.e - 1)) AS c, text FROM allgold g JOIN split_record USING (record_idx) WHERE g.record_idx IN (SELECT record_idx FROM rt)),
+  un AS (SELECT DISTINCT record_idx, gold_idx, label FROM ch WHERE NOT regexp_full_match(substring(text, c + 1, 1), '[\\s\\p{{Z}}]') AND NOT EXISTS (SELECT 1 FROM ft WHERE ft.record_idx = ch.record_idx AND ft.ts <= c AND c < ft.te)) SELECT label, count(*) AS truncated FROM un GROUP BY 1""")
+def truncated_spans(t: Tables) -> DataFrame:
+    return decoding.truncated(t.gold, decoding.record_tokens(t.align_window), t.split_record).groupBy("label").agg(F.count(F.lit(1)).alias("truncated"))
+
+
+@query(f"""WITH {_COUNTS}, {_TARGETS.removeprefix(_PRED + ", ")}, {_OVER.removeprefix(_GOLD + ", " + _PRED + ", ")}, v AS (SELECT *, coalesce(tp / nullif(predicted, 0)::DOUBLE, 0) AS p, coalesce(tp / nullif(support, 0)::DOUBLE, 0) AS r, coalesce(2 * tp / nullif(predicted + support, 0)::DOUBLE, 0) AS f FROM counts),
+  fl AS (SELECT record_idx, record_idx IN (SELECT record_idx FROM ug) OR record_idx IN (SELECT record_idx FROM up) AS d, record_idx IN (SELECT record_idx FROM up) AS x FROM split_record WHERE split IN ('dev', 'test')),
+  pair(a, b) AS (VALUES ('SSN', 'ITIN'), ('CREDIT_CARD_NUMBER', 'BUSINESS_ID'), ('BUSINESS_ID', 'SSN'))
+SELECT 'micro_f1' AS metric, round(2 * sum(tp) / sum(predicted + support)::DOUBLE, 6) AS actual FROM v UNION ALL SELECT 'macro_f1', round(avg(f), 6) FROM v UNION ALL SELECT 'supported_macro_f1', round(avg(f), 6) FROM v WHERE support > 0
+UNION ALL SELECT 'high_risk_recall', round(coalesce(sum(tp) / nullif(sum(support), 0)::DOUBLE, 0), 6) FROM v WHERE high_risk UNION ALL SELECT 'minimum_individual_label_recall', round(coalesce(min(r), 0), 6) FROM v WHERE support > 0
+UNION ALL SELECT lower(label) || '_' || n, CASE n WHEN 'precision' THEN round(p, 6) WHEN 'recall' THEN round(r, 6) ELSE round(f, 6) END FROM v CROSS JOIN (VALUES ('precision'), ('recall'), ('f1')) k(n) WHERE label IN ('BUSINESS_ID', 'SSN', 'IP_ADDRESS')
+UNION ALL SELECT 'record_error_rate', round(count(*) FILTER (d) / count(*)::DOUBLE, 6) FROM fl UNION ALL SELECT 'record_false_positive_rate', round(count(*) FILTER (x) / count(*)::DOUBLE, 6) FROM fl
+UNION ALL SELECT 'context_target_error_rate', coalesce(max(rate) FILTER (category IS NULL), 0) FROM rates UNION ALL SELECT 'maximum_category_error_rate', coalesce(max(rate) FILTER (category IS NOT NULL), 0) FROM rates
+UNION ALL SELECT lower(a) || '_to_' || lower(b) || '_count', count(*)::DOUBLE FROM pair, (SELECT DISTINCT record_idx, gold_idx, gl, pl FROM o WHERE gl <> pl) q WHERE gl = a AND pl = b GROUP BY a, b
+UNION ALL SELECT lower(a) || '_to_' || lower(b) || '_count', 0 FROM pair WHERE NOT EXISTS (SELECT 1 FROM o WHERE gl = a AND pl = b)""")
+def gate_actuals(t: Tables) -> DataFrame:
+    scored = t.split_record.where("split in ('dev', 'test')")
+    counts = matching.label_counts(t.scored_gold, t.pred, t.label_spec)
+    targets = outcomes.target_outcomes(outcomes.targets(scored), t.pred)
+    return reporting.gate_actuals(counts, outcomes.target_rates(targets), matching.error_rates(matching.record_errors(scored, t.scored_gold, t.pred)), outcomes.directions(t.scored_gold, t.pred))

@@ -20,6 +20,8 @@ HIGH_RISK = ("SSN", "ITIN", "TAX_ID", "CREDIT_CARD_NUMBER", "BANK_ACCOUNT_NUMBER
 MASK_ACTIONS = {"SSN": "MASK_LAST4", "CREDIT_CARD_NUMBER": "MASK_LAST4", "AUTH_TOKEN": "FULL_MASK", "API_KEY": "FULL_MASK", "PERSON_NAME": "FULL_MASK", "EMAIL": "PARTIAL_MASK", "PHONE": "PARTIAL_MASK"}
 # Review states that are accepted.
 REVIEW_STATES = ("auto_converted", "synthetic_generated", "manual_reviewed", "pseudolabeled_reviewed")
+# Older names of review states, accepted with a warning.
+LEGACY_REVIEW_STATES = ("generated",)
 # Source labels that are left for later, belong to health care, or are harmless.
 DEFERRED, HEALTHCARE, BENIGN = "deferred_ml_v1", "healthcare_extension", "benign_unmapped"
 

@@ -54,13 +54,39 @@ def test_discovery(spark, tmp_path):
 
 def test_contracts(spark, tmp_path):
     path = tmp_path / "o.json"
-    path.write_text(json.dumps({"entities": ["AGE", "SSN"], "id2label": {"0": "O", "1": "B-AGE", "2": "I-AGE", "3": "B-SSN", "4": "I-SSN"}}))
+    path.write_text(json.dumps({"entities": ["AGE", "SSN"], "id_to_label": {"0": "O", "1": "B-AGE", "2": "I-AGE", "3": "B-SSN", "4": "I-SSN"}, "bio_labels": ["O", "B-AGE", "I-AGE", "B-SSN", "I-SSN"], "label_to_id": {"O": 0, "B-AGE": 1, "I-AGE": 2, "B-SSN": 3, "I-SSN": 4}}))
     assert contracts.load_ontology(str(path)) == ["AGE", "SSN"] and len(contracts.contract_gaps(["AGE", "X"])["missing"]) == 24
     path.write_text(json.dumps({"entities": ["AGE", "AGE", "B-X"]}))
     with pytest.raises(ValueError, match="tags among the labels; a label twice"):
         contracts.load_ontology(str(path))
-    path.write_text('{"aliases": {"a": "B", "B": "C"}, "deferred": ["X"]}')
-    assert contracts.load_policy(str(path)) == {"aliases": {"A": "C", "B": "C"}, "deferred": ("X",), "healthcare": (), "benign": ()}
+    path.write_text(json.dumps({"entities": ["AGE", "SSN"], "label_to_id": {"O": 0, "B-SSN": 1}}))
+    with pytest.raises(ValueError, match="label_to_id does not follow"):
+        contracts.load_ontology(str(path))
+    told = {"mappings": {"first": {"mapping": {"phone number": "telephone", "note": None}}}, "normalization_aliases": {"telephone": "tel", "tel": "PHONE"}, "source_label_aliases": {"home-phone": "telephone"}, "deferred_labels": ["a pin"]}
+    path.write_text(json.dumps(told))
+    yaml = tmp_path / "p.yaml"
+    yaml.write_text(json.dumps(told))
+    p = contracts.load_policy(str(path))
+    assert p == contracts.load_policy(str(yaml)) and p["deferred"] == ("A_PIN",) and p["healthcare"] == contracts.HEALTHCARE_LABELS and p["aliases"] == {"TELEPHONE": "PHONE", "TEL": "PHONE"}
+    assert [contracts.resolve_label(x, p) for x in ("Phone.Number", "note", "home phone", "ssn", "colour")] == [("PHONE", True), (None, True), ("PHONE", False), ("SSN", False), (None, False)]
+    assert contracts.policy({"x": "AGE"})["benign"] == contracts.BENIGN_LABELS
+    with pytest.raises(ValueError, match="two values for A_B"):
+        contracts.policy({"a b": "AGE", "A-B": "SSN"})
+
+
+def test_spans_of_any_shape(spark):
+    from spanloom.operators.conversion import parse_spans
+
+    rows = [
+        (1, '[{"begin": 1, "stop": 4, "type": "A", "value": "abc"}, [5, 6, "B"]]'), (2, '{"annotations": [{"start_idx": 0, "end_idx": 2, "pii_type": "C"}]}'), (3, '{"offset_start": 3, "offset_end": 9, "entity": "D"}'),
+        (4, '{"E": [[0, 1], {"start": 2, "end": 3, "span_text": "z"}]}'), (5, "no json"), (6, "[]"), (7, None), (8, '{"items": [{"label": "F"}]}'),
+    ]
+    got = {(r.k, r.span_index): (r.start, r.end, r.label, r.value) for r in parse_spans(spark.createDataFrame(rows, "k bigint, raw string"), "k", "raw").collect() if r.start or r.end or r.label}
+    assert got == {(1, 0): ("1", "4", "A", "abc"), (1, 1): ("5", "6", "B", None), (2, 0): ("0", "2", "C", None), (3, 0): ("3", "9", "D", None), (4, 0): ("0", "1", "E", None), (4, 1): ("2", "3", "E", "z"), (8, 0): (None, None, "F", None)}
+
+
+def test_rest_of_contracts(spark, tmp_path):
+    path = tmp_path / "c.json"
     path.write_text('{"split": "dev", "predictions": [[{"start": 1, "end": 2, "label": "AGE", "confidence": 0.5}], [], [{"start": 0, "end": 2, "label": "SSN"}]]}')
     assert [(r.record_idx, r.span_start, r.label) for r in contracts.read_predictions(spark, str(path)).orderBy("record_idx").collect()] == [(0, 1, "AGE"), (2, 0, "SSN")]
     got = spark.createDataFrame([("[3, 9)",), ("3-9",)], "r string").select(*contracts.parse_range("r")).collect()

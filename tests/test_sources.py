@@ -45,3 +45,17 @@ def test_stream_matches_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("first_texts_test").count() == spark.read.parquet(folder).where("text is not null").select("text").distinct().count()
+
+
+def test_named_reports(spark, tmp_path):
+    from spanloom.plans import catalogue, named_reports
+
+    asked = {q for _, sections in named_reports.REPORTS.values() for _, q, _, _ in sections}
+    assert asked <= set(catalogue.QUERIES)
+    text = named_reports.render(spark, "/root/testdata/sf0.001", "readiness")
+    assert text.startswith("# Readiness for training\n") and "## Labels without a span" in text and "| label | train | dev | test | ready |" in text
+    matrix = named_reports.policy_matrix(spark)
+    assert matrix.count() == 625 and matrix.where("gold_label = pred_label and not safe").count() == 0
+    named_reports.export(spark, "/root/testdata/sf0.001", str(tmp_path / "out"))
+    grid = spark.read.option("header", True).csv(str(tmp_path / "out" / "confusion"))
+    assert grid.count() == 26 and grid.columns[-2:] == ["<BOUNDARY>", "<MISSED>"]

@@ -50,3 +50,18 @@ def test_audits(spark):
     scores = spark.createDataFrame([(1, 0, 3, 0.8, 0.1), (1, 3, 6, 0.1, 0.6)], "record_idx bigint, ts int, te int, begin double, inside double")
     assert {r.gold_idx: r.confidence for r in audits.span_confidence(gold, scores).collect()} == {0: 0.7, 1: None}
     assert [r.status for r in audits.alignment_problems(spark.createDataFrame([("aligned",), ("failed",), ("collision",)], "status string")).collect()] == ["collision"]
+
+
+def test_catalog_and_forms(spark):
+    c = synthesis.catalog(spark)
+    assert c.count() == len(LABELS) * 8 + 8 * 8 + 4 and c.select("template_family").distinct().count() == c.count()
+    rows = {r.template_family: r for r in synthesis.generate(spark, c.drop("kind"), c.count()).collect()}
+    ssn = rows["positive_ssn_json_nested"]
+    e = ssn.entities[0]
+    assert e.label == "SSN" and ssn.text[e.span_start - 1] == ssn.text[e.span_end] == '"' and len(ssn.entities) == 1
+    assert not rows["negative_order_key_equals"].entities and "order_ref=" in rows["negative_order_key_equals"].text and "{" not in rows["negative_order_key_equals"].text.replace('{"ts"', "")
+    one = spark.range(1).select(F.lit("123-45-6789").alias("v"))
+    got = one.select(*[synthesis.formed("SSN", F.col("v"), m).alias(m) for m in synthesis.MORPHOLOGIES["SSN"]]).first()
+    assert got.asDict() == {"dashed": "123-45-6789", "spaced": "123 45 6789", "dotted": "123.45.6789", "plain": "123456789"}
+    negatives = synthesis.unlabeled(spark, 10)
+    assert sorted(r.record_idx for r in negatives.collect()) == list(range(1_000_000, 1_000_010))
