@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.staging import cut
 from .groups import id_key, name_key, outer_clean
 from .neardup import TEXT, Likeness, across_classes, classed
 from .segments import EDITS, edit_join
@@ -49,8 +50,9 @@ def text_overlaps(records: DataFrame, like: Likeness = TEXT) -> DataFrame:
     split = outer_clean(F.col("split"))
     rows = records.where(split.isin(*EVALUATION, TRAINING)).select("record_idx", "text", (split != TRAINING).alias("evaluated"))
     classes = classed(rows, "text", like, "record_idx", "evaluated")
-    known = classes.where("evaluated").select("record_idx", "sid")
-    return known.join(across_classes(classes, like, "evaluated"), "sid", "left_semi").select("record_idx").distinct()
+    known = cut(classes.select("record_idx", "sid", "evaluated"))
+    found = across_classes(classes, known.select("sid", "evaluated"), like, "evaluated")
+    return known.where("evaluated").select("record_idx", "sid").join(found, "sid", "left_semi").select("record_idx").distinct()
 
 
 def edited_overlaps(records: DataFrame, edits: int = EDITS) -> DataFrame:

@@ -294,7 +294,7 @@ def test_near_duplicate_pairs(spark):
     assert {tuple(p) for p in neardup.near_duplicate_pairs(df, "k", "t", neardup.TEXT).collect()} == want
     g = {x.k: x for x in neardup.near_duplicate_groups(df, "k", "t", neardup.TEXT).collect()}
     assert all(g[i].group_id == g[j].group_id for i, j in want)
-    assert g[len(texts) - 6].class_rows == 2 and len(texts) - 4 not in g
+    assert (g[len(texts) - 6].class_rows, g[len(texts) - 6].links) == (1, 1) and len(texts) - 4 not in g
     assert neardup.near_duplicate_pairs(df.limit(0), "k", "t", neardup.TEXT).count() == 0
 
 
@@ -333,13 +333,28 @@ def test_hot_keys(spark):
     want = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if 2 * len(bags[i] & bags[j]) >= len(bags[i] | bags[j])}
     assert {tuple(p) for p in neardup.near_duplicate_pairs(df, "k", "t", neardup.TEXT).collect()} == want
     classes = neardup.classed(df, "t", neardup.TEXT, "k", "side")
-    met = {r.sid for r in neardup.across_classes(classes, neardup.TEXT, "side").collect()}
+    met = {r.sid for r in neardup.across_classes(classes, classes.select("sid", "side"), neardup.TEXT, "side").collect()}
     got = {r.k for r in classes.where("side").select("k", "sid").collect() if r.sid in met}
     assert got == {i for i in range(0, len(texts), 4) if any((min(i, j), max(i, j)) in want for j in range(len(texts)) if j % 4)}
-    # what a step sends of a hot key is one row
-    bands = neardup._grouped(np.array([5] * 900 + [7, 8]), np.arange(902), None)
-    rows = [x for b in bands for x in b.to_pylist()]
-    assert len(rows) == 3 and max(len(x["more"] or []) for x in rows) == 900
+    # what a step sends of a hot key is one row; its members go by the group's own number
+    rows = neardup._grouped(np.array([80] * 900 + [88, 96]), np.arange(902), None).to_pylist()
+    assert sum(x["key"] >> 3 in (10, 11, 12) for x in rows) == 3 and len(rows) == 903 and len({x["key"] for x in rows}) == 4
+
+
+def test_shared_rows_in_any_batches():
+    """Keys that two classes (of both sides) have, whatever the batches."""
+    import pyarrow as pa
+
+    r = random.Random(4)
+    for sides in (False, True):
+        rows = sorted((r.randrange(40) * 8 + (r.randrange(2) if sides else 0), r.randrange(6)) for _ in range(120))
+        for size in (1, 3, 50, 500):
+            batches = [pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows[at : at + size]], pa.int64()) for i in (0, 1)], names=["key", "sid"]) for at in range(0, len(rows), size)]
+            got = [(x["key"], x["sid"]) for b in neardup._shared(iter(batches), sides) for x in b.to_pylist()]
+            by = {}
+            for k, s in rows:
+                by.setdefault(k >> 3, set()).add((k & 1) if sides else s)
+            assert got == sorted({x for x in rows if len(by[x[0] >> 3]) > 1})
 
 
 def test_hot_joins_are_split(spark):
@@ -353,7 +368,7 @@ def test_hot_joins_are_split(spark):
     try:
         rows = spark.range(0, 60_000, 1, 6).select((F.col("id") * 7919 + 1).alias("doc"), F.when(F.col("id") % 3 == 0, F.lit(5)).otherwise(F.col("id")).alias("h"))
         out = shared_spans._repeated(rows)
-        assert out.count() == 20_000
+        assert out.count() == 20_001
         out.collect()
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert "skew=true" in plan
