@@ -154,6 +154,8 @@ def clear_margins(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def viterbi(emissions: np.ndarray, lengths: np.ndarray, t: np.ndarray, first: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Best tags (windows, steps) of sequences that end outside, and the tag each comes from. first: scores (windows, tags) of the tags before, 0 for outside; without it all come from outside."""
+    order = np.argsort(lengths, kind="stable")
+    emissions, lengths = emissions[order], lengths[order]
     n, steps, tags = emissions.shape
     back = np.empty((steps, n, tags), np.int8)
     if first is None:
@@ -161,26 +163,33 @@ def viterbi(emissions: np.ndarray, lengths: np.ndarray, t: np.ndarray, first: np
         score[:, 2::2] -= 30
         back[0] = 0
     else:
-        every = first[:, :, None] + t
+        every = first[order][:, :, None] + t
         back[0] = every.argmax(1)
         score = every.max(1) + emissions[:, 0]
+    # shorter sequences come first, so those still going on at a step are the last ones
+    going = np.searchsorted(lengths, np.arange(steps + 1), side="right")
     final = np.empty((n, tags), np.float32)
-    final[lengths == 1] = score[lengths == 1]
-    for s in range(1, steps):
+    for s in range(1, steps + 1):
+        done = going[s] - going[s - 1]
+        if done:
+            final[going[s - 1] : going[s]] = score[:done]
+            score = score[done:]
+        if going[s] == n:
+            break
         every = score[:, :, None] + t
-        back[s] = every.argmax(1)
+        back[s, going[s] :] = every.argmax(1)
         score = every.max(1)
-        score += emissions[:, s]
-        ended = lengths == s + 1
-        if ended.any():
-            final[ended] = score[ended]
+        score += emissions[going[s] :, s]
     tag = (final + t[:, 0]).argmax(1)
     out = np.zeros((n, steps), np.int8)
-    for s in range(steps - 1, -1, -1):
-        live = lengths > s
-        out[live, s] = tag[live]
-        tag = np.where(live, back[s][np.arange(n), tag], tag)
-    return out, tag
+    row = np.arange(n)
+    for s in range(int(lengths[-1]) - 1 if n else -1, -1, -1):
+        k = going[s]
+        out[k:, s] = tag[k:]
+        tag[k:] = back[s, row[k:], tag[k:]]
+    undo = np.empty(n, np.int64)
+    undo[order] = row
+    return out[undo], tag[undo]
 
 
 def gradients(m: Model, symbols: np.ndarray, tags: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
