@@ -5,16 +5,36 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+from collections.abc import Iterator
 from typing import Any
+from urllib.parse import unquote
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of a file that are in memory at once.
+CHUNK = 8 << 20
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        digests = []
+        for path in batch.column(0).to_pylist():
+            h = hashlib.sha256()
+            system, inner = fs.FileSystem.from_uri(path if "://" in path else "file://" + unquote(path.removeprefix("file:")))
+            with system.open_input_stream(inner) as f:
+                while piece := f.read(CHUNK):
+                    h.update(piece)
+            digests.append(h.hexdigest())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.string())], names=["path", "bytes", "sha256"])
+
 
 def artifacts(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, bytes, sha256) of every file below a folder, hashed where it lies."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    """(path, bytes, sha256) of every file below a folder, hashed where it lies: one task a file, in pieces of CHUNK bytes, so a file may have any size."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", F.col("length").alias("bytes"))
+    return files.repartition("path").mapInArrow(_hashed, "path string, bytes bigint, sha256 string")
 
 
 def verify(expected: DataFrame, actual: DataFrame) -> DataFrame:

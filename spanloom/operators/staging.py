@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -28,6 +29,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: A key is hot with more than this part of all rows, so at most this many are; below LEAST_HOT rows none is.
+HOT_PART, LEAST_HOT = 1000, 1000
+
+
+def join_hot(rows: DataFrame, per_key: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """rows joined with per_key(*keys, n, ...), which has one row a key and tells in n how many rows have it. The at most HOT_PART hot keys meet their rows where these lie; the others are shuffled,
+    and none of them makes a large part. Both are read twice: cut them before."""
+    total = per_key.agg(F.sum("n").alias("n")).first().n or 0
+    least = max(LEAST_HOT, total // HOT_PART)
+    hot, rest = per_key.where(F.col("n") > least).drop("n"), per_key.where(F.col("n") <= least).drop("n")
+    others = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(hot), keys, how).unionByName(others.join(rest, keys, how))
+
+
 #: Inputs of at most this size are spread over all cores before work in Python; larger ones come in enough parts.
 SMALL_BYTES = 32 << 20
 

@@ -193,6 +193,12 @@ def test_evidence(spark, tmp_path):
     want = have.withColumn("bytes", F.when(F.col("path").endswith("r.json"), 0).otherwise(F.col("bytes")).cast("bigint"))
     assert sorted(r.state for r in evidence.verify(want, have).collect()) == ["changed", "same", "same"]
     assert evidence.jsonl_sha256(spark.createDataFrame([(2, "b"), (1, "a")], "k int, t string"), "k", "t") == hashlib.sha256(b"a\nb\n").hexdigest()
+    assert {r.path.rsplit("/", 1)[1]: r.sha256 for r in have.collect()}["a.json"] == hashlib.sha256(a.read_bytes()).hexdigest()
+    rows = [(i, f"line {i}") for i in range(50)]
+    df = spark.createDataFrame(rows, "k int, t string")
+    same = evidence.lines_sha256(df, "k", "t")
+    assert same == evidence.lines_sha256(spark.createDataFrame(rows[::-1], "k int, t string").repartition(7), "k", "t")
+    assert len({same, evidence.lines_sha256(df.where("k > 0"), "k", "t"), evidence.lines_sha256(df.withColumn("t", F.upper("t")), "k", "t"), evidence.lines_sha256(df.unionByName(df.where("k = 0")), "k", "t"), evidence.lines_sha256(df.limit(0), "k", "t")}) == 5
 
 
 def test_overflow_windows_cut_the_whole_record(spark, tmp_path):
