@@ -17,6 +17,9 @@ U64 = np.uint64
 #: Odd base of the rolling hash and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 BASE_INV = pow(BASE, -1, 1 << 64)
+#: Base and addend of a second rolling hash, independent of the first: both together have 128 bits.
+BASE_2, ADD_1, ADD_2 = 0xC2B2AE3D27D4EB4F, 0x632BE59BD9B4E019, 0xA24BAED4963EE407
+BASE_2_INV = pow(BASE_2, -1, 1 << 64)
 #: Characters that are handled together; bounds the memory of one step, never what is read.
 STEP_CHARS = 1 << 20
 #: White space of the Unicode property White_Space (fixed values).
@@ -89,10 +92,11 @@ class Joined:
 class Hashed:
     """Prefix sums from which the hash of any window of codes comes in constant time."""
 
-    def __init__(self, codes: np.ndarray):
+    def __init__(self, codes: np.ndarray, second: bool = False):
         n = len(codes)
-        x = mix(codes.astype(U64) + U64(0x632BE59BD9B4E019))
-        x *= powers(n, BASE)
+        base, self.inverse = (BASE_2, BASE_2_INV) if second else (BASE, BASE_INV)
+        x = mix(codes.astype(U64) + U64(ADD_2 if second else ADD_1))
+        x *= powers(n, base)
         self.sums = np.empty(n + 1, U64)
         self.sums[0] = 0
         np.cumsum(x, dtype=U64, out=self.sums[1:])
@@ -100,13 +104,13 @@ class Hashed:
     def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Hashes of [start, end), the same wherever the same codes stand."""
         h = self.sums[ends] - self.sums[starts]
-        h *= powers(len(self.sums), BASE_INV)[starts]
+        h *= powers(len(self.sums), self.inverse)[starts]
         return h
 
     def windows(self, size: int) -> np.ndarray:
         """Hashes of all windows of a size, in order of their starts."""
         h = self.sums[size:] - self.sums[: len(self.sums) - size]
-        h *= powers(len(h), BASE_INV)
+        h *= powers(len(h), self.inverse)
         return h
 
 

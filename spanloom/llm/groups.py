@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.staging import cut
+from ..operators.staging import cut, join_hot
 from .differencing import difference
 
 SPLITS = {"train": 0.8, "dev": 0.1, "test": 0.1}
@@ -45,14 +45,14 @@ def components(links: DataFrame) -> DataFrame:
     """(node, component) from links(node bigint, key): nodes that share a key, also through others; component is the smallest node.
 
     Links with a null key or node join nothing; a node without any key is a component of its own. Each round takes the smallest label over each node's
-    keys (aggregated before the shuffle, so a hot key costs no more than a row a task), then follows labels to their labels. The joins of all nodes of a hot key, or of a large
-    component, have one row on their other side, so adaptive execution may split them wherever such a key makes a part too large.
+    keys (aggregated before the shuffle, so a hot key costs no more than a row a task), then follows labels to their labels. A hot key meets its nodes where they lie (join_hot). The joins of
+    all nodes of a large component have one row on their other side and a shuffle on both, so adaptive execution splits them where such a component makes a part too large.
     """
     nodes = links.where("node is not null").select("node").distinct()
-    shared = links.where("node is not null and key is not null").select("node", "key").distinct()
-    first = shared.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+    shared = cut(links.where("node is not null and key is not null").select("node", "key").distinct())
+    first = cut(shared.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").drop("high"))
     # a star for each key
-    star = shared.join(first.select("key", "low"), "key").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
+    star = join_hot(shared, first, ["key"]).where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
     star = cut(star.union(star.select("b", "a")))
     label = cut(star.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node")))
     while True:

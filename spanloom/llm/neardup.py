@@ -18,14 +18,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.staging import cut, spread
-from ._chars import U64, by_steps, char_runs, char_shingles, mix, word_runs, word_shingles
+from ._chars import by_steps, char_runs, char_shingles, word_runs, word_shingles
+from ._hot import grouped, shared_rows
 from .bagminhash import band_keys, signatures
 from .groups import components
 
 #: Classes that one task remembers so as not to send the bands of copies again; beyond it, it forgets them and sends some again.
 REMEMBERED = 200_000
-#: Classes of a step from which on a shared key is sent as one row; classes of a block of candidates.
-TOGETHER, BLOCK = 8, 1000
+#: Classes of a block of candidates.
+BLOCK = 1000
 
 
 def _some_words(size: int) -> Callable[[Column], Column]:
@@ -59,62 +60,6 @@ NAME = Likeness(char_shingles, char_runs, 3, 0.6, 5, 64)
 WORDS5 = Likeness(word_shingles, word_runs, 5, 0.8, 8, 32, weighted=True)
 
 
-#: Low bits of a key as it is sent: the side, and whether the row is of one class, tells a group, or tells a member of a group.
-SIDE, LONE, GROUP, MEMBER, LOW = 1, 0, 2, 4, 7
-
-
-def _grouped(key: np.ndarray, sid: np.ndarray, side: np.ndarray | None) -> pa.RecordBatch:
-    """Rows (key, sid) with the low bits of the key as above. Of a key that TOGETHER classes of the step and more share there is one row, which tells a group; the members of
-    the group are rows with the group's number for a key."""
-    key = (key.view(U64) & ~U64(LOW)) | (U64(0) if side is None else side.astype(U64))
-    sid = sid.view(U64)
-    order = np.argsort(key)
-    key, sid = key[order], sid[order]
-    edge = np.flatnonzero(np.concatenate((np.ones(1, bool), key[1:] != key[:-1])))
-    many = np.diff(edge, append=len(key))
-    hot = many >= TOGETHER
-    if not hot.any():
-        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(sid.view(np.int64))], names=["key", "sid"])
-    within = np.repeat(hot, many)
-    number = mix(key[edge[hot]] + mix(sid[edge[hot]]))
-    keys = (key[~within], key[edge[hot]] | U64(GROUP), np.repeat((number & ~U64(LOW)) | U64(MEMBER), many[hot]))
-    sids = (sid[~within], number, sid[within])
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (keys, sids)], names=["key", "sid"])
-
-
-def _shared(batches: Iterator[pa.RecordBatch], sides: bool) -> Iterator[pa.RecordBatch]:
-    """Of rows in order of key and sid those whose key, but for the low bits, another class (with `sides`: one of the other side) has too, groups that have their key alone, and all members."""
-    held_key, held_sid = np.zeros(0, U64), np.zeros(0, U64)
-
-    def told(key: np.ndarray, sid: np.ndarray) -> pa.RecordBatch:
-        own = key >> U64(3)
-        edge = np.flatnonzero(np.concatenate((np.ones(1, bool), own[1:] != own[:-1])))
-        many = np.diff(edge, append=len(key))
-        member = (key & U64(MEMBER)) > 0
-        if sides:
-            one = np.maximum.reduceat((key & U64(SIDE)).astype(np.uint8), edge) > np.minimum.reduceat((key & U64(SIDE)).astype(np.uint8), edge)
-        else:
-            one = (np.maximum.reduceat(sid, edge) != np.minimum.reduceat(sid, edge)) | (np.maximum.reduceat((key & U64(GROUP)).astype(np.uint8), edge) > 0)
-        keep = np.repeat(one, many) | member
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (sid[1:] != sid[:-1])
-        keep &= new
-        return pa.RecordBatch.from_arrays([pa.array(key[keep].view(np.int64)), pa.array(sid[keep].view(np.int64))], names=["key", "sid"])
-
-    for batch in batches:
-        key = np.concatenate((held_key, batch.column(0).to_numpy().view(U64)))
-        sid = np.concatenate((held_sid, batch.column(1).to_numpy().view(U64)))
-        if not len(key):
-            continue
-        # the last key may go on in the next batch; of a hot key there is a row a step only
-        cut_ = int(np.flatnonzero((key >> U64(3)) == (key[-1] >> U64(3)))[0]) if (key[0] >> U64(3)) != (key[-1] >> U64(3)) else 0
-        if cut_:
-            yield told(key[:cut_], sid[:cut_])
-        held_key, held_sid = key[cut_:], sid[cut_:]
-    if len(held_key):
-        yield told(held_key, held_sid)
-
-
 def _banded(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[pa.RecordBatch]:
     seen: set = set()
     for batch in batches:
@@ -136,7 +81,7 @@ def _banded(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[pa.Re
             if not len(own):
                 continue
             keys = band_keys(signatures((np.cumsum(some) - 1)[of], run, count if like.weighted else None, len(own), like.rows * like.bands), like.rows)
-            yield _grouped(keys.reshape(-1).view(np.int64), np.repeat(every[own], like.bands), None if sides is None else np.repeat(sides[own], like.bands))
+            yield grouped(keys.reshape(-1).view(np.int64), np.repeat(every[own], like.bands), None if sides is None else np.repeat(sides[own], like.bands))
 
 
 def _alike(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[pa.RecordBatch]:
@@ -167,15 +112,7 @@ def classed(rows: DataFrame, text: str, like: Likeness, *others: str) -> DataFra
 def shared_bands(classes: DataFrame, like: Likeness, side: str | None = None) -> DataFrame:
     """(key, sid[, side]): the classes of each band key that more than one class has; with side, of each that classes of both sides have. Computed once."""
     bands = spread(classes.select("sid", "text", *([side] if side else []))).mapInArrow(partial(_banded, like=like), "key bigint, sid bigint")
-    band = F.shiftright("key", 3)
-    # the low bits are no part of the key: rows are sent by the others and ordered by all
-    kept = cut(bands.repartition(band).sortWithinPartitions("key", "sid").mapInArrow(partial(_shared, sides=side is not None), "key bigint, sid bigint"))
-    kind = F.col("key").bitwiseAND(LOW - SIDE)
-    told = lambda d: d.select(band.alias("key"), "sid", (F.col("key").bitwiseAND(SIDE) == SIDE).alias("side"))
-    groups = told(kept.where(kind == GROUP)).withColumnRenamed("sid", "number").withColumn("number", F.shiftright("number", 3))
-    members = kept.where(kind == MEMBER).select(band.alias("number"), "sid")
-    out = told(kept.where(kind == LONE)).unionByName(groups.join(members, "number").select("key", "sid", "side"))
-    return out if side else out.select("key", "sid")
+    return shared_rows(bands, side is not None)
 
 
 def block_join(left: DataFrame, right: DataFrame, block: int = BLOCK) -> DataFrame:

@@ -6,25 +6,25 @@ stands. Only picks that another document repeats are extended to twice the lengt
 side at least go on to the whole length: there each position is a window of its own. Longer windows cover nothing that the windows of the wanted
 length don't cover together, so no candidate is left then. Neighbouring positions with one pick form a run. A run that another document
 repeats as a whole is a hit as a whole; positions are only looked at alone where runs with one pick differ, as at the ends of a shared stretch.
-Rolling hashes of 64 bits only choose candidates: what counts as equal at last, runs and positions, is told by digests of 128 bits of the characters themselves.
+A rolling hash of 64 bits only chooses candidates: what counts as equal at last, runs and positions, is told by two independent ones, of 128 bits together.
 
-Repetition is counted with the least and the greatest document of a hash, aggregated before the shuffle, so a window that stands in a third of
-all documents costs a row a task. Texts are only read again in documents that have candidates left.
+A window that stands in a third of all documents is one row a step of texts, and where rows are joined with what is known of their hash, the few hot hashes meet
+them where they lie (join_hot). Texts are only read again in documents that have candidates left.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
-from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.staging import cut, spread
+from ..operators.staging import cut, join_hot, spread
 from ._chars import U64, Hashed, Joined, by_steps, mix
+from ._hot import grouped, shared_rows
 
 MIN_CHARS = 160
 #: Documents with candidates up to which their ids (8 bytes each) may be sent to all tasks; beyond, both sides are shuffled.
@@ -84,12 +84,12 @@ class Picks:
 
 
 def _listed(of: np.ndarray, values: np.ndarray, lists: list) -> np.ndarray:
-    """Whether each value stands in the list of its text; of must ascend."""
+    """Whether each value stands, by its upper 61 bits, in the list of its text; of must ascend."""
     mask = np.zeros(len(of), bool)
     edge = np.searchsorted(of, np.arange(len(lists) + 1))
     for i, have in enumerate(lists):
         if edge[i] < edge[i + 1]:
-            mask[edge[i] : edge[i + 1]] = np.isin(values[edge[i] : edge[i + 1]], np.array(have, np.int64).view(U64))
+            mask[edge[i] : edge[i + 1]] = np.isin(values[edge[i] : edge[i + 1]].view(np.int64) >> 3, np.array(have, np.int64))
     return mask
 
 
@@ -98,12 +98,7 @@ def _rows(doc: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
     doc, h = doc[order], h[order]
     new = np.ones(len(h), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])
-    return pa.RecordBatch.from_arrays([pa.array(doc[new]), pa.array(h[new].view(np.int64))], names=["doc", "h"])
-
-
-def _digests(text: str, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """128-bit digests of the characters of [start, end)."""
-    return pa.array([blake2b(text[a:b].encode("utf-32-le", "surrogatepass"), digest_size=16).digest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], pa.binary())
+    return grouped(h[new].view(np.int64), doc[new], None)
 
 
 def _quarter(batches: Iterator[pa.RecordBatch], wanted: int) -> Iterator[pa.RecordBatch]:
@@ -133,8 +128,9 @@ def _whole(batches: Iterator[pa.RecordBatch], wanted: int) -> Iterator[pa.Record
             left, right = p.sides(wanted)
             p.keep(_listed(p.of, left, marks[lo:hi]) | _listed(p.of, right, marks[lo:hi]))
             base = p.joined.starts[p.of]
-            columns = [doc[lo:hi][p.of], p.low - base, p.high - base, p.hash.view(np.int64)]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), _digests(p.joined.text, p.low, p.high + wanted)], names=["doc", "low", "high", "pick", "run"])
+            run, again = (mix(h.spans(p.low, p.high + wanted) + (p.high - p.low).astype(U64)).view(np.int64) for h in (p.hashed, Hashed(p.joined.codes, second=True)))
+            columns = [doc[lo:hi][p.of], p.low - base, p.high - base, p.hash.view(np.int64), run, again]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], names=["doc", "low", "high", "pick", "run", "again"])
 
 
 def _positions(batches: Iterator[pa.RecordBatch], wanted: int) -> Iterator[pa.RecordBatch]:
@@ -148,13 +144,13 @@ def _positions(batches: Iterator[pa.RecordBatch], wanted: int) -> Iterator[pa.Re
             whose = np.repeat(of, many)
             at = np.arange(len(whose)) + np.repeat(low - (np.cumsum(many) - many), many)
             start = at + joined.starts[whose]
-            yield pa.RecordBatch.from_arrays([pa.array(doc[lo:hi][whose]), pa.array(at), _digests(joined.text, start, start + wanted)], names=["doc", "at", "h"])
+            h, again = (mix(Hashed(joined.codes, second).spans(start, start + wanted)).view(np.int64) for second in (False, True))
+            yield pa.RecordBatch.from_arrays([pa.array(doc[lo:hi][whose]), pa.array(at), pa.array(h), pa.array(again)], names=["doc", "at", "h", "again"])
 
 
-def _repeated(rows: DataFrame) -> DataFrame:
-    """The rows (doc, h, ...) whose h stands in more than one document."""
-    both = rows.groupBy("h").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("h")
-    return rows.join(both, "h", "left_semi")
+def _marks(sent: DataFrame) -> DataFrame:
+    """(doc, mark): the hashes of each document that another one has too."""
+    return shared_rows(sent).groupBy(F.col("sid").alias("doc")).agg(F.collect_set("key").alias("mark"))
 
 
 def _with_texts(texts: DataFrame, marks: DataFrame) -> DataFrame:
@@ -175,19 +171,20 @@ def shared_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", wante
     if wanted < 8:
         raise ValueError("at least 8 characters")
     texts = docs.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text")).where((F.length(text) >= wanted) & F.col(key).isNotNull())
-    level = spread(texts).mapInArrow(partial(_quarter, wanted=wanted), "doc bigint, h bigint")
-    marks = _repeated(level).groupBy("doc").agg(F.collect_set("h").alias("mark"))
-    level = _with_texts(texts, marks).mapInArrow(partial(_half, wanted=wanted), "doc bigint, h bigint")
-    marks = _repeated(level).groupBy("doc").agg(F.collect_set("h").alias("mark"))
-    runs = cut(_with_texts(texts, marks).mapInArrow(partial(_whole, wanted=wanted), "doc bigint, low bigint, high bigint, pick bigint, run binary"))
-
-    by_run = runs.groupBy("pick", "run").agg(F.min("doc").alias("a"), F.max("doc").alias("b"))
-    mixed = by_run.groupBy("pick").agg(F.min("run").alias("r"), F.max("run").alias("s"), F.min("a").alias("x"), F.max("b").alias("y")).where("r <> s and x < y").select("pick", F.lit(True).alias("mixed"))
-    told = cut(runs.join(by_run, ["pick", "run"]).join(mixed, "pick", "left"))
+    marks = _marks(spread(texts).mapInArrow(partial(_quarter, wanted=wanted), "key bigint, sid bigint"))
+    marks = _marks(_with_texts(texts, marks).mapInArrow(partial(_half, wanted=wanted), "key bigint, sid bigint"))
+    runs = cut(_with_texts(texts, marks).mapInArrow(partial(_whole, wanted=wanted), "doc bigint, low bigint, high bigint, pick bigint, run bigint, again bigint"))
+
+    count = F.count(F.lit(1)).alias("n")
+    by_run = cut(runs.groupBy("pick", "run", "again").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), count))
+    picks = cut(by_run.groupBy("pick").agg((F.min("run") != F.max("run")).alias("several"), F.min("a").alias("x"), F.max("b").alias("y"), count).selectExpr("pick", "several and x < y as mixed", "n"))
+    by_run = cut(join_hot(by_run.withColumnRenamed("n", "rows"), picks, ["pick"]).withColumnRenamed("rows", "n"))
+    told = cut(join_hot(runs, by_run, ["pick", "run", "again"]))
     hits = told.where("a < b").select("doc", F.col("low").alias("s"), (F.col("high") + wanted).alias("e"))
     alone = told.where("mixed and (a = b or doc = a or doc = b)").groupBy("doc").agg(F.collect_set(F.struct("low", "high")).alias("mark"))
-    spots = _with_texts(texts, alone).mapInArrow(partial(_positions, wanted=wanted), "doc bigint, at bigint, h binary")
-    spots = _repeated(spots).select("doc", F.col("at").alias("s"), (F.col("at") + wanted).alias("e"))
+    spots = cut(_with_texts(texts, alone).mapInArrow(partial(_positions, wanted=wanted), "doc bigint, at bigint, h bigint, again bigint"))
+    at = cut(spots.groupBy("h", "again").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), count).where("a < b").drop("a", "b"))
+    spots = join_hot(spots, at, ["h", "again"]).select("doc", F.col("at").alias("s"), (F.col("at") + wanted).alias("e"))
 
     order = Window.partitionBy("doc").orderBy("s", "e")
     spans = hits.unionByName(spots).withColumn("upto", F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1)))

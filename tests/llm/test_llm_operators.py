@@ -11,7 +11,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from spanloom.llm import bagminhash, crosssplit, cutting, differencing, groups, neardup, packing, segments, shared_spans, tokens
+from spanloom.llm import _hot, bagminhash, crosssplit, cutting, differencing, groups, neardup, packing, segments, shared_spans, tokens
 from spanloom.llm._chars import Joined, char_shingles, word_shingles
 
 SLOW = settings(max_examples=60, deadline=None, suppress_health_check=list(HealthCheck))
@@ -337,7 +337,7 @@ def test_hot_keys(spark):
     got = {r.k for r in classes.where("side").select("k", "sid").collect() if r.sid in met}
     assert got == {i for i in range(0, len(texts), 4) if any((min(i, j), max(i, j)) in want for j in range(len(texts)) if j % 4)}
     # what a step sends of a hot key is one row; its members go by the group's own number
-    rows = neardup._grouped(np.array([80] * 900 + [88, 96]), np.arange(902), None).to_pylist()
+    rows = _hot.grouped(np.array([80] * 900 + [88, 96]), np.arange(902), None).to_pylist()
     assert sum(x["key"] >> 3 in (10, 11, 12) for x in rows) == 3 and len(rows) == 903 and len({x["key"] for x in rows}) == 4
 
 
@@ -350,31 +350,33 @@ def test_shared_rows_in_any_batches():
         rows = sorted((r.randrange(40) * 8 + (r.randrange(2) if sides else 0), r.randrange(6)) for _ in range(120))
         for size in (1, 3, 50, 500):
             batches = [pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows[at : at + size]], pa.int64()) for i in (0, 1)], names=["key", "sid"]) for at in range(0, len(rows), size)]
-            got = [(x["key"], x["sid"]) for b in neardup._shared(iter(batches), sides) for x in b.to_pylist()]
+            got = [(x["key"], x["sid"]) for b in _hot._shared(iter(batches), sides) for x in b.to_pylist()]
             by = {}
             for k, s in rows:
                 by.setdefault(k >> 3, set()).add((k & 1) if sides else s)
             assert got == sorted({x for x in rows if len(by[x[0] >> 3]) > 1})
 
 
-def test_hot_joins_are_split(spark):
-    """Adaptive execution splits the join of a hot key with its one row (components, shared spans)."""
+def test_hot_keys_of_shared_spans(spark):
+    """A third of all documents share one stretch, as a whole and in part."""
+    r = random.Random(9)
+    noise = lambda n: "".join(r.choice("cdefg hij") for _ in range(n))
+    hot = "".join(r.choice("abkl ") for _ in range(60))
+    docs = [(k, noise(30) + (hot if k % 3 else hot[5:40]) + noise(30)) for k in range(40)] + [(100 + k, noise(120)) for k in range(80)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    assert {tuple(x) for x in shared_spans.shared_spans(df, wanted=20).collect()} == shared_twin(docs, 20)
+
+
+def test_join_hot(spark, monkeypatch):
     from pyspark.sql import functions as F
 
-    conf = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "12"}
-    keep = {k: spark.conf.get(k, None) for k in conf}
-    for k, v in conf.items():
-        spark.conf.set(k, v)
-    try:
-        rows = spark.range(0, 60_000, 1, 6).select((F.col("id") * 7919 + 1).alias("doc"), F.when(F.col("id") % 3 == 0, F.lit(5)).otherwise(F.col("id")).alias("h"))
-        out = shared_spans._repeated(rows)
-        assert out.count() == 20_001
-        out.collect()
-        plan = out._jdf.queryExecution().executedPlan().toString()
-        assert "skew=true" in plan
-    finally:
-        for k, v in keep.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    from spanloom.operators import staging
+
+    monkeypatch.setattr(staging, "LEAST_HOT", 5)
+    rows = spark.createDataFrame([(1, i) for i in range(50)] + [(k, k) for k in range(2, 30)] + [(None, 7)], "k bigint, x bigint")
+    per = rows.where("k <> 9").groupBy("k").agg(F.max("x").alias("m"), F.count(F.lit(1)).alias("n"))
+    want = sorted((r.k, r.x, 49 if r.k == 1 else r.k) for r in rows.collect() if r.k is not None and r.k != 9)
+    assert sorted((r.k, r.x, r.m) for r in staging.join_hot(rows, per, ["k"]).collect()) == want
 
 
 def test_weighted_likeness(spark):
