@@ -427,13 +427,25 @@ def merge_statistics(t: Tables) -> DataFrame:
 # ---- tokens and scores
 
 
-@query()
+_TOKENS = """lw AS (SELECT record_idx, window_index, arg_max(offset_mapping, {'a': aligned_at, 'n': len(offset_mapping)}) AS m FROM align_window GROUP BY 1, 2), tk AS (SELECT record_idx, window_index, i - 1 AS tok_idx, m[i].tok_start AS ts, m[i].tok_end AS te FROM (SELECT *, unnest(generate_series(1, len(m))) AS i FROM lw WHERE len(m) > 0) q WHERE m[i].tok_end > m[i].tok_start),
+  rt AS (SELECT record_idx, ts, te, row_number() OVER (PARTITION BY record_idx ORDER BY ts, te) - 1 AS tok_idx FROM (SELECT DISTINCT record_idx, ts, te FROM tk) q)"""
+
+
+@query(f"""WITH {_GOLD}, {_TOKENS}, mx AS (SELECT record_idx, max(tok_idx) AS last FROM rt GROUP BY 1), lh AS (SELECT rt.*, greatest(0, ceil((tok_idx - 383) / 256.0)::BIGINT) AS low, least(floor(tok_idx / 256.0)::BIGINT, greatest(0, ceil((last + 1 - 384) / 256.0)::BIGINT)) AS high FROM rt JOIN mx USING (record_idx)),
+  ow AS (SELECT record_idx, w AS window_index, tok_idx - w * 256 AS pos, ts, te FROM (SELECT *, unnest(generate_series(low, greatest(low, high))) AS w FROM lh) q), hit AS (SELECT ow.*, gold_idx FROM ow JOIN allgold g ON g.record_idx = ow.record_idx AND ts < g.e AND g.s < te),
+  fi AS (SELECT *, min(pos) OVER (PARTITION BY record_idx, window_index, gold_idx) AS f FROM hit), tg AS (SELECT record_idx, window_index, pos, count(*) AS n, min(f) AS f FROM fi GROUP BY 1, 2, 3)
+SELECT ow.record_idx, ow.window_index::INT AS window_index, count(*) AS tokens, count(*) FILTER (n = 1 AND f = pos) AS begins, count(*) FILTER (n > 1) AS ignored FROM ow LEFT JOIN tg USING (record_idx, window_index, pos) GROUP BY 1, 2""")
 def overflow_windows(t: Tables) -> DataFrame:
     tagged = decoding.bio_tags(decoding.overflow_windows(decoding.record_tokens(t.align_window)), t.gold)
     return tagged.groupBy("record_idx", "window_index").agg(F.count(F.lit(1)).alias("tokens"), F.count_if(F.col("tag").startswith("B-")).alias("begins"), F.count_if(F.col("tag") == "IGNORE").alias("ignored"))
 
 
-@query()
+@query(f"""WITH {_GOLD}, {_TOKENS}, hit AS (SELECT tk.*, gold_idx, s, e FROM tk JOIN allgold g ON g.record_idx = tk.record_idx AND ts < e AND s < te), sh AS (SELECT record_idx, window_index, tok_idx, count(*) AS k FROM hit GROUP BY 1, 2, 3),
+  per AS (SELECT h.record_idx, h.window_index, gold_idx, s, e, min(ts) AS a, max(te) AS b, max(k) AS k FROM hit h JOIN sh USING (record_idx, window_index, tok_idx) GROUP BY 1, 2, 3, 4, 5),
+  ch AS (SELECT p.record_idx, window_index, gold_idx, c FROM (SELECT *, unnest(generate_series(s, e - 1)) AS c FROM per) p JOIN split_record USING (record_idx) WHERE NOT regexp_full_match(substring(text, c + 1, 1), '[\\s\\x0B]')),
+  un AS (SELECT DISTINCT record_idx, window_index, gold_idx FROM ch WHERE NOT EXISTS (SELECT 1 FROM hit h WHERE h.record_idx = ch.record_idx AND h.window_index = ch.window_index AND h.gold_idx = ch.gold_idx AND h.ts <= c AND c < h.te)),
+  st AS (SELECT p.record_idx, p.gold_idx, max(CASE WHEN u.gold_idx IS NOT NULL THEN 2 WHEN k > 1 THEN 4 WHEN abs(a - s) + abs(b - e) > 3 THEN 3 WHEN abs(a - s) + abs(b - e) > 0 THEN 5 ELSE 6 END) AS state FROM per p LEFT JOIN un u USING (record_idx, window_index, gold_idx) GROUP BY 1, 2)
+SELECT CASE state WHEN 6 THEN 'aligned' WHEN 5 THEN 'boundary_adjusted' WHEN 4 THEN 'collision' WHEN 3 THEN 'excessive' WHEN 2 THEN 'truncated' ELSE 'failed' END AS status, count(*) AS spans FROM allgold LEFT JOIN st USING (record_idx, gold_idx) WHERE record_idx IN (SELECT record_idx FROM align_window) GROUP BY 1""")
 def span_token_alignment(t: Tables) -> DataFrame:
     a = decoding.align_spans(t.gold, t.align_window, t.split_record)
     return a.groupBy("status").agg(F.count(F.lit(1)).alias("spans"))
@@ -720,10 +732,6 @@ def ssn_context(t: Tables) -> DataFrame:
     return outcomes.label_in_context(t.scored_gold, t.pred.join(scored, "record_idx", "left_semi"), "SSN", "BUSINESS_ID")
 
 
-_TOKENS = """lw AS (SELECT record_idx, window_index, arg_max(offset_mapping, {'a': aligned_at, 'n': len(offset_mapping)}) AS m FROM align_window GROUP BY 1, 2), tk AS (SELECT record_idx, window_index, i - 1 AS tok_idx, m[i].tok_start AS ts, m[i].tok_end AS te FROM (SELECT *, unnest(generate_series(1, len(m))) AS i FROM lw WHERE len(m) > 0) q WHERE m[i].tok_end > m[i].tok_start),
-  rt AS (SELECT record_idx, ts, te, row_number() OVER (PARTITION BY record_idx ORDER BY ts, te) - 1 AS tok_idx FROM (SELECT DISTINCT record_idx, ts, te FROM tk) q)"""
-
-
 @query(f"""WITH {_GOLD}, {_TOKENS}, ft AS (SELECT * FROM rt WHERE tok_idx < 384), ch AS (SELECT g.record_idx, g.gold_idx, g.label, unnest(generate_series(g.s, g.e - 1)) AS c, text FROM allgold g JOIN split_record USING (record_idx) WHERE g.record_idx IN (SELECT record_idx FROM rt)),
   un AS (SELECT DISTINCT record_idx, gold_idx, label FROM ch WHERE NOT regexp_full_match(substring(text, c + 1, 1), '[\\s\\p{{Z}}]') AND NOT EXISTS (SELECT 1 FROM ft WHERE ft.record_idx = ch.record_idx AND ft.ts <= c AND c < ft.te)) SELECT label, count(*) AS truncated FROM un GROUP BY 1""")
 def truncated_spans(t: Tables) -> DataFrame:

@@ -37,7 +37,7 @@ def gold(record):
 
 
 def test_every_query_without_sql_has_a_twin():
-    assert set(QUERIES) - set(SQL) == {"converted_records", "overflow_windows", "span_token_alignment", "template_skeletons", "family_most_similar", "synthetic_records", "synthetic_negatives", "synthetic_pairs"}
+    assert set(QUERIES) - set(SQL) == {"converted_records", "template_skeletons", "family_most_similar", "synthetic_records", "synthetic_negatives", "synthetic_pairs"}
 
 
 def test_span_token_alignment(spark, records, windows):
