@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.staging import cut, spread
+from ..operators.staging import cut, join_hot, spread
 from ._chars import by_steps, char_runs, char_shingles, word_runs, word_shingles
 from ._hot import grouped, shared_rows
 from .bagminhash import band_keys, signatures
@@ -159,17 +159,20 @@ def near_duplicate_pairs(rows: DataFrame, key: str, text: str, like: Likeness) -
 
 
 def near_duplicate_groups(rows: DataFrame, key: str, text: str, like: Likeness) -> DataFrame:
-    """(key, group_id, class_rows, links): for each row with shingles its group through links (its smallest class), how many rows have its very
+    """(key, group_id, class_rows, links): for each row with shingles its group through links (the smallest key in it), how many rows have its very
     text, and with how many other texts it is linked. Copies are never paired."""
     classes = classed(rows.select(F.col(key).alias("k"), F.col(text).alias("t")), "t", like, "k")
     member = cut(classes.select("k", "sid").distinct())
     links = cut(similar_classes(classes, like).select("a", "b"))
-    ends = links.union(links.select("b", "a"))
+    ends = links.union(links.select("b", "a")).groupBy(F.col("a").alias("sid")).agg(F.count(F.lit(1)).alias("links"))
     edge = F.xxhash64("a", "b")
     nodes = links.select(F.col("a").alias("node"), edge.alias("key")).union(links.select(F.col("b"), edge))
-    group = components(nodes).toDF("sid", "group_id")
-    sizes = member.groupBy("sid").agg(F.count(F.lit(1)).alias("class_rows")).join(ends.groupBy(F.col("a").alias("sid")).agg(F.count(F.lit(1)).alias("links")), "sid", "left").join(group, "sid", "left")
-    return member.join(sizes, "sid").select(F.col("k").alias(key), F.coalesce("group_id", "sid").alias("group_id"), "class_rows", F.coalesce("links", F.lit(0)).alias("links"))
+    group = components(nodes).toDF("sid", "component")
+    own = member.groupBy("sid").agg(F.count(F.lit(1)).alias("class_rows"), F.min("k").alias("least")).join(ends, "sid", "left").join(group, "sid", "left")
+    own = cut(own.select("sid", F.coalesce("component", "sid").alias("component"), "class_rows", F.coalesce("links", F.lit(0)).cast("bigint").alias("links"), "least"))
+    first = cut(own.groupBy("component").agg(F.min("least").alias("group_id"), F.count(F.lit(1)).alias("n")))
+    told = cut(join_hot(own, first, ["component"]).select("sid", "group_id", "class_rows", "links", F.col("class_rows").alias("n")))
+    return join_hot(member, told, ["sid"]).select(F.col("k").alias(key), "group_id", "class_rows", "links")
 
 
 def across_classes(classes: DataFrame, ids: DataFrame, like: Likeness, side: str) -> DataFrame:

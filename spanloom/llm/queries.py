@@ -129,3 +129,14 @@ SQL: dict[str, str] = {
       {_KIND.format("source_id", "sid")} UNION ALL {_KIND.format("family", "fam")} UNION ALL {_KIND.format("value_hash", "vh")}
       UNION ALL SELECT DISTINCT p, 'text' FROM d JOIN r a ON a.record_idx = p JOIN r b ON b.record_idx = q WHERE a.sp IN ('dev', 'test') AND b.sp = 'train'""",
 }
+
+_P5 = SQL["p5_found"]
+SQL["p5_report"] = f"""WITH found AS ({_P5}), q AS (SELECT record_idx, {_SPLIT} AS split, meta.source AS source FROM split_record), n AS (SELECT split, source, count(*) AS records FROM q WHERE split IN ('dev', 'test') GROUP BY 1, 2)
+SELECT q.split, q.source, overlap_kind, records, count(DISTINCT record_idx) AS overlapping FROM found JOIN q USING (record_idx) JOIN n ON n.split = q.split AND n.source IS NOT DISTINCT FROM q.source GROUP BY 1, 2, 3, 4"""
+_GROUPED = """e AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs), base AS (SELECT k, text FROM w JOIN split_record ON record_idx = k WHERE k IN (SELECT k FROM s)), r(k, g) AS (SELECT k, k FROM base UNION SELECT e.b, r.g FROM r JOIN e ON e.a = r.k),
+  g AS (SELECT k, min(g) AS group_id FROM r GROUP BY 1), c AS (SELECT text, count(*) AS class_rows FROM base GROUP BY 1), l AS (SELECT e.a AS k, count(DISTINCT y.text) AS links FROM e JOIN base x ON x.k = e.a JOIN base y ON y.k = e.b WHERE x.text <> y.text GROUP BY 1)
+SELECT k AS record_idx, group_id, class_rows, coalesce(links, 0) AS links FROM base JOIN g USING (k) JOIN c USING (text) LEFT JOIN l USING (k)"""
+SQL["p2_groups"] = f"WITH RECURSIVE {_TEXT_PAIRS}, {_GROUPED}"
+SQL["p2_weighted"] = f"""WITH RECURSIVE w AS (SELECT record_idx AS k, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM split_record WHERE text IS NOT NULL),
+  s AS (SELECT k, h, count(*) AS c FROM (SELECT k, unnest(list_transform(generate_series(1, len(w) - 4), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4])) AS h FROM w WHERE len(w) > 4) q GROUP BY 1, 2), n AS (SELECT k, sum(c) AS n FROM s GROUP BY 1),
+  o AS (SELECT a.k AS a, b.k AS b, sum(least(a.c, b.c)) AS v FROM s a JOIN s b USING (h) WHERE a.k < b.k GROUP BY 1, 2), pairs AS (SELECT a, b FROM o JOIN n x ON x.k = a JOIN n y ON y.k = b WHERE 10 * v >= 8 * (x.n + y.n - v)), {_GROUPED}"""
