@@ -367,18 +367,6 @@ def test_hot_keys_of_shared_spans(spark):
     assert {tuple(x) for x in shared_spans.shared_spans(df, wanted=20).collect()} == shared_twin(docs, 20)
 
 
-def test_join_hot(spark, monkeypatch):
-    from pyspark.sql import functions as F
-
-    from spanloom.operators import staging
-
-    monkeypatch.setattr(staging, "LEAST_HOT", 5)
-    rows = spark.createDataFrame([(1, i) for i in range(50)] + [(k, k) for k in range(2, 30)] + [(None, 7)], "k bigint, x bigint")
-    per = rows.where("k <> 9").groupBy("k").agg(F.max("x").alias("m"), F.count(F.lit(1)).alias("n"))
-    want = sorted((r.k, r.x, 49 if r.k == 1 else r.k) for r in rows.collect() if r.k is not None and r.k != 9)
-    assert sorted((r.k, r.x, r.m) for r in staging.join_hot(rows, per, ["k"]).collect()) == want
-
-
 def test_weighted_likeness(spark):
     base = " ".join(f"w{i}" for i in range(60))
     df = spark.createDataFrame([(1, base), (2, base.replace("w30", "x")), (3, base + " " + base), (4, base)], "k bigint, t string")
