@@ -5,7 +5,6 @@ from __future__ import annotations
 from itertools import product
 
 import numpy as np
-import pyarrow.parquet as pq
 import pytest
 
 from spanloom.llm import pii, train_pii
