@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.metrics import r6, ratio
 from ..functions.text import jaccard, sequence_ratio, token_trigrams
-from . import corpus, outcomes, spans
+from . import corpus, likeness, outcomes, spans
 
 # The order in which tags of an error are told; subtypes of business ids that were not seen in training; formats and styles that are structured.
 TAGS = ("morphology-over-context", "context-over-morphology", "ambiguous-key", "unseen-business-subtype", "structured-field-confusion")
@@ -98,71 +93,33 @@ def most_similar(left: DataFrame, right: DataFrame) -> DataFrame:
     return best.select("name", "other", "trigram", F.round(sequence_ratio("ta", "tb"), 6).alias("ratio"))
 
 
-#: Templates of one block of the search for the greatest ratio.
-BLOCK = 300
-
-
-def _best_ratios(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each left template its greatest ratio in a block of right ones, first name on ties. The characters in common bound the ratio, so pairs are compared by falling bound until no other can reach the best."""
-    from difflib import SequenceMatcher
-
-    def counts(texts: list[str], spot: dict[str, int]) -> np.ndarray:
-        out = np.zeros((len(texts), len(spot)), np.int32)
-        for i, x in enumerate(texts):
-            for c, n in Counter(x).items():
-                out[i, spot[c]] = n
-        return out
-
-    for batch in batches:
-        rows = []
-        for left, right in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            a, b = [x["template"] or "" for x in left], [x["template"] or "" for x in right]
-            spot = {c: i for i, c in enumerate(sorted(set("".join(a) + "".join(b))))}
-            have, sizes = counts(b, spot), np.array([len(x) for x in b])
-            for x, text, own in zip(left, a, counts(a, spot), strict=True):
-                total, least = sizes + len(text), x["least"] or 0.0
-                bound = np.where(total > 0, 2.0 * np.minimum(have, own).sum(1) / np.maximum(total, 1), 1.0)
-                best = None
-                for k in np.argsort(-bound, kind="stable").tolist():
-                    if bound[k] < max(-best[0] if best else 0.0, least) - 1e-12:
-                        break
-                    if right[k]["name"] != x["name"]:
-                        got = (-SequenceMatcher(None, text, b[k], autojunk=False).ratio(), right[k]["name"])
-                        best = min(best, got) if best else got
-                if best:
-                    rows.append((x["name"], best[1], -best[0]))
-        name, other, ratio_ = zip(*rows, strict=True) if rows else ((), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(name, pa.string()), pa.array(other, pa.string()), pa.array(ratio_, pa.float64())], names=["name", "other", "ratio"])
-
-
-def greatest_ratios(left: DataFrame, right: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """(name, other, ratio): for each name of left(name, template) the greatest sequence ratio with any template of right of another name, first name on ties. By definition all pairs are in question: both sides are cut into
-    blocks of about BLOCK templates, and each pair of blocks is searched by itself. known(name, ratio): a ratio that some template of right is known to reach; what cannot reach it is not compared."""
-    def blocks(d: DataFrame, name: str) -> DataFrame:
-        many = -(-d.count() // BLOCK) or 1
-        return d.groupBy(F.pmod(F.xxhash64("name", "template"), F.lit(many)).alias("k")).agg(F.collect_list(F.struct(*d.columns)).alias(name)).select(name)
-
-    left = left.select("name", "template")
-    least = left.withColumn("least", F.lit(0.0)) if known is None else left.join(known.groupBy("name").agg(F.max("ratio").alias("least")), "name", "left")
-    pairs = blocks(least, "a").crossJoin(blocks(right.select("name", "template"), "b"))
-    pairs = pairs.repartition(left.sparkSession.sparkContext.defaultParallelism, F.xxhash64("a", "b"))
-    best = pairs.mapInArrow(_best_ratios, "name string, other string, ratio double")
+#: Templates that one step of the search for the greatest ratio meets.
+BLOCK = 8192
+
+
+def greatest_ratios(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(name, other, ratio): for each name of left(name, template) the greatest sequence ratio with any template of right of another name, first name on ties. By definition all pairs are in question: each task has a share of left,
+    and all of right in steps of BLOCK."""
+    tasks, block = 2 * left.sparkSession.sparkContext.defaultParallelism, BLOCK
+    side = lambda d, other, task: d.where("name is not null").select(F.lit(other).alias("other"), "name", "template", task.alias("task"))
+    rows = side(left, False, F.pmod(F.xxhash64("name", "template"), F.lit(tasks)).cast("int")).unionByName(side(right, True, F.explode(F.sequence(F.lit(0), F.lit(tasks - 1)))))
+    # long templates apart, so that few steps need several words; else in no order, so that the best is soon high
+    words = F.when(F.col("other"), F.ceil(F.length("template") / 64))
+    rows = rows.repartitionById(tasks, "task").sortWithinPartitions("other", words, F.xxhash64("template", "name"))
+    best = rows.select("other", "name", "template").mapInArrow(lambda batches: likeness.best_ratios(batches, block), "name string, other string, ratio double")
     return best.groupBy("name").agg(F.min(F.struct((-F.col("ratio")).alias("less"), "other")).alias("x")).select("name", F.col("x.other").alias("other"), F.round(-F.col("x.less"), 6).alias("ratio"))
 
 
 def greatest_similarities(left: DataFrame, right: DataFrame) -> DataFrame:
     """(name, other, trigram, ratio_other, ratio): for every name of left the greatest share of token trigrams and, apart from it, the greatest sequence ratio over all templates of right of another name, each with the first name that has it.
     Where no trigram is shared the share is 0 and other null; two templates without trigrams share all."""
-    near = most_similar(left, right)
-    # the ratio of the best pair by trigrams, to six places, is reached for sure but for the rounding
-    known = near.select("name", (F.col("ratio") - 1e-6).alias("ratio"))
-    by_grams = near.select("name", "other", "trigram")
+    by_grams = most_similar(left, right).select("name", "other", "trigram")
     none = F.size(token_trigrams(F.col("template"))) == 0
     least = right.where(none).groupBy("name").agg(F.lit(1)).select("name").orderBy("name").limit(2).agg(F.sort_array(F.collect_list("name")).alias("l"))
     bare = left.where(none).select("name").distinct().crossJoin(least).select("name", F.filter("l", lambda x: x != F.col("name")).alias("l")).where("size(l) > 0")
     by_grams = by_grams.unionByName(bare.select("name", F.element_at("l", 1).alias("other"), F.lit(1.0).alias("trigram")))
     by_grams = by_grams.groupBy("name").agg(F.min(F.struct((-F.col("trigram")).alias("less"), "other")).alias("x")).select("name", F.col("x.other").alias("other"), (-F.col("x.less")).alias("trigram"))
-    by_order = greatest_ratios(left, right, known).select("name", F.col("other").alias("ratio_other"), "ratio")
+    by_order = greatest_ratios(left, right).select("name", F.col("other").alias("ratio_other"), "ratio")
     out = left.select("name").distinct().join(by_grams, "name", "left").join(by_order, "name", "left")
     return out.select("name", "other", F.coalesce("trigram", F.lit(0.0)).alias("trigram"), "ratio_other", F.coalesce("ratio", F.lit(0.0)).alias("ratio"))
 
